@@ -1,0 +1,5 @@
+"""Streaming jobs: there are none.
+
+Every input of the engine is a table and every answer a table, so nothing here
+needs watermarks or state.
+"""
