@@ -213,3 +213,389 @@ def candidates(conditions: str = ALL_CONDITIONS, where: str = "true") -> str:
     return with_tables(
         "candidatas", f"SELECT {CANDIDATE_COLUMNS} FROM candidatas WHERE {where}", conditions
     )
+
+
+QUESTION_ENDINGS = [
+    "¿Qué hacer este fin de semana?",
+    "Què fer aquest cap de setmana?",
+    "Eventos gratuitos para niños",
+    "Esdeveniments gratuïts per a nens",
+    "Actividades al aire libre cerca de mi",
+    "Activitats a l'aire lliure prop meu",
+    "Conciertos promo en un radio de 20 kilómetros",
+    "Concerts en un radi de 35 quilòmetres",
+    "¿Dónde hay algo estándard hoy por menos de 12,50 euros?",
+    "¿Cuándo? mañana o esta semana",
+    "esta semana, small economy a 150 km",
+    "demà, menys de 30 €",
+    "este sábado en los alrededores",
+    "avui",
+    "negocios y promociones",
+]
+
+
+def _haversine(lat0: str, lng0: str, lat1: str, lng1: str) -> str:
+    a = (
+        f"(pow(sin(radians({lat1} - {lat0}) / 2), 2) + cos(radians({lat0})) * cos(radians({lat1}))"
+        f" * pow(sin(radians({lng1} - {lng0}) / 2), 2))"
+    )
+    return f"round(2 * 6371e0 * atan2(sqrt({a}), sqrt(1 - {a})), 2)"
+
+
+_TAG_LIST = (
+    "CASE WHEN {t} IS NULL OR {t} = '' THEN [] ELSE "
+    "CAST(json_extract_string(nullif({t}, ''), '$[*]') AS VARCHAR[]) END"
+)
+
+
+def _results(categories: str, distance: str, hour: str) -> str:
+    tags = _TAG_LIST.format(t="tags_json")
+    return with_tables(
+        "resultados evento_categorias",
+        f"""SELECT request_id, CAST(rank AS INTEGER) AS rank, r.id_unico_evento, titulo,
+  descripcion AS descripcion_corta, descripcion AS descripcion_larga, cp_evento, poblacion_nombre,
+  lugar_nombre, direccion_fisica AS direccion_completa, fecha_inicio, fecha_fin,
+  {hour} AS hora_inicio, hora_fin, es_gratuito,
+  CASE WHEN precio_euros <> 0 THEN precio_euros END AS precio_euros,
+  {categories} AS categorias, array_to_string({tags}, ',') AS tags,
+  link_entradas_inscripcion AS url_evento, imagen_principal_url AS url_imagen,
+  {distance} AS distancia_km, round(score, 3) + 0e0 AS similitud_score
+FROM resultados r""",
+    )
+
+
+def _words(text: str) -> str:
+    return f"' ' || regexp_replace(strip_accents(lower({text})), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') || ' '"
+
+
+def _annotation() -> str:
+    endings = ", ".join("'" + e.replace("'", "''") + "'" for e in QUESTION_ENDINGS)
+    saturday = "as_of + CAST((6 - dayofweek(as_of) + 7) % 7 AS INTEGER)"
+    sunday = "as_of + CAST((7 - dayofweek(as_of)) % 7 AS INTEGER)"
+    iso = "strftime({}, '%Y-%m-%d')"
+    limit = (
+        "nullif(regexp_extract(t, '(?:menos de|menys de|maximo|maxim)\\s+"
+        "(\\d{1,7}(?:[.,]\\d{1,2})?)\\s*(?:euros?|€)', 1), '')"
+    )
+    return with_tables(
+        "categorias",
+        f"""SELECT conv_id, turn, as_of,
+  CASE WHEN contains(lower(pregunta), 'qué') OR contains(lower(pregunta), 'dónde')
+         OR contains(lower(pregunta), 'cuándo') THEN 'es' ELSE 'ca' END AS idioma,
+  fechas,
+  CASE WHEN semana THEN as_of END AS fecha_inicio,
+  CASE WHEN semana THEN {sunday} END AS fecha_fin,
+  CASE WHEN km <= 100 THEN km
+       WHEN regexp_matches(t, '\\b(cerca|alrededores|a la redonda|prop|voltants|a la rodona)\\b') THEN 20 END AS radio_km,
+  coalesce(categorias, '') AS categorias, pregunta AS conceptos,
+  CASE WHEN regexp_matches(t, '\\b(gratis|gratuit[oa]?s?|gratuites)\\b') THEN true END AS es_gratuito,
+  CAST(replace(limite, ',', '.') AS DOUBLE) AS precio_max
+FROM (SELECT *, fechas IS NULL AND regexp_matches(t, '\\b(esta semana|aquesta setmana)\\b') AS semana
+  FROM (SELECT *, CASE
+      WHEN regexp_matches(t, '\\b(fin de semana|cap de setmana)\\b')
+        THEN {iso.format(saturday)} || ',' || {iso.format(saturday + " + 1")}
+      WHEN regexp_matches(t, '\\b(este sabado|aquest dissabte)\\b') THEN {iso.format(saturday)}
+      WHEN regexp_matches(t, '\\b(manana|dema)\\b') THEN {iso.format("as_of + 1")}
+      WHEN regexp_matches(t, '\\b(hoy|avui)\\b') THEN {iso.format("as_of")} END AS fechas,
+      CAST(nullif(regexp_extract(t, '(\\d{{1,5}})\\s*(?:km|kilometros?|quilometres?)\\b', 1), '') AS INTEGER) AS km,
+      {limit} AS limite,
+      (SELECT string_agg(slug, ',' ORDER BY slug) FROM categorias
+       WHERE contains({_words('pregunta')}, {_words('nombre_es')})
+          OR contains({_words('pregunta')}, {_words('nombre_cat')})) AS categorias
+    FROM (SELECT *, strip_accents(lower(pregunta)) AS t FROM (
+      SELECT conv_id, turn, text || ' ' || [{endings}][CAST((conv_id + turn) % {len(QUESTION_ENDINGS)} AS INTEGER) + 1] AS pregunta,
+             DATE '2024-01-01' + CAST(conv_id % 7 AS INTEGER) AS as_of FROM conversations))))""",
+    )
+
+
+_EVENTS_DAMAGED = """
+  SELECT id_unico_evento, clave, CASE WHEN clave % 19 = 0 THEN 'BORRADOR' ELSE estado END AS estado,
+         CASE WHEN clave % 23 <> 0 THEN cp_evento END AS cp_evento, id_ciudad, poblacion_nombre,
+         CASE WHEN clave % 29 <> 0 THEN titulo_es END AS titulo_es
+  FROM eventos JOIN (VALUES (0), (1)) c(copia) ON copia = 0 OR clave % 7 = 0
+  WHERE clave % 13 <> 0"""
+_PAIRS = f"""
+  SELECT {_EVENT.format('l_orderkey')} AS id_unico_evento, id_categoria
+  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN categorias ON p_type = nombre_es"""
+
+
+def _orphans() -> str:
+    rules = [
+        ("codigos_postales", "id_ciudad", "codigos_postales", "ciudades WHERE id_ciudad % 6 <> 0", "id_ciudad"),
+        ("fuentes_familia", "id_ciudad", "fuentes_familia", "ciudades WHERE id_ciudad % 6 <> 0", "id_ciudad"),
+        ("eventos_master", "cp_evento", "danados", "codigos_postales", "cp"),
+        ("eventos_master", "id_ciudad", "danados", "ciudades WHERE id_ciudad % 6 <> 0", "id_ciudad"),
+        ("evento_categorias", "id_unico_evento", "pares", "danados", "id_unico_evento"),
+        ("evento_categorias", "id_categoria", "pares", "categorias WHERE id_categoria <> 2", "id_categoria"),
+        ("evento_horarios", "id_unico_evento", "horarios", "danados", "id_unico_evento"),
+        ("auditoria_scraping", "id_unico_evento", "auditoria", "danados", "id_unico_evento"),
+    ]
+    parts = [
+        f"SELECT '{table}' AS tabla, '{column}' AS columna, CAST({column} AS VARCHAR) AS valor, count(*) AS filas "
+        f"FROM {child} WHERE {column} IS NOT NULL AND {column} NOT IN (SELECT {key} FROM {parent}) GROUP BY {column}"
+        for table, column, child, parent, key in rules
+    ]
+    return _damaged("ciudades codigos_postales fuentes_familia horarios auditoria", "\nUNION ALL\n".join(parts))
+
+
+def _damaged(names: str, body: str) -> str:
+    base = with_tables(f"eventos categorias {names}", "")
+    return f"{base.rstrip()},\ndanados AS ({_EVENTS_DAMAGED}),\npares AS ({_PAIRS})\n{body}"
+
+
+def _violations() -> str:
+    rules = [
+        ("eventos_master", "id_unico_evento", "nulo", "id_unico_evento IS NULL", "danados"),
+        ("eventos_master", "estado", "nulo", "estado IS NULL", "danados"),
+        ("eventos_master", "cp_evento", "nulo", "cp_evento IS NULL", "danados"),
+        ("eventos_master", "poblacion_nombre", "nulo", "poblacion_nombre IS NULL", "danados"),
+        ("eventos_master", "titulo_es", "nulo", "titulo_es IS NULL", "danados"),
+        ("eventos_master", "estado", "dominio", "estado NOT IN ('ACTIVO', 'CANCELADO', 'APLAZADO')", "danados"),
+        ("auditoria_scraping", "id_auditoria", "nulo", "id_auditoria IS NULL", "auditoria"),
+        ("auditoria_scraping", "resultado", "nulo", "resultado IS NULL", "auditoria"),
+        ("auditoria_scraping", "fecha_ejecucion", "nulo", "false", "auditoria"),
+        (
+            "auditoria_scraping", "resultado", "dominio",
+            "id_auditoria % 31 = 0 OR resultado NOT IN ('OK', 'WARNING', 'ERROR')", "auditoria",
+        ),
+    ]
+    parts = [
+        f"SELECT '{table}' AS tabla, '{column}' AS columna, '{rule}' AS regla, "
+        f"count(*) FILTER (WHERE {test}) AS filas FROM {source}"
+        for table, column, rule, test, source in rules
+    ]
+    return _damaged("auditoria", "\nUNION ALL\n".join(parts))
+
+
+def statements() -> dict[str, str]:
+    names = "CASE WHEN len(s.fechas) > 0 THEN list_contains(s.fechas, f.fecha_inicio) ELSE true END"
+    by_range = (
+        "f.fecha_inicio >= coalesce(s.fecha_inicio, f.fecha_inicio)"
+        " AND f.fecha_inicio <= coalesce(s.fecha_fin, f.fecha_inicio)"
+    )
+    distance = _haversine("lat0", "lng0", "latitud", "longitud")
+    category_names = """coalesce((SELECT string_agg(DISTINCT CASE WHEN r.idioma = 'es' THEN nombre_es ELSE nombre_cat END,
+    ',' ORDER BY CASE WHEN r.idioma = 'es' THEN nombre_es ELSE nombre_cat END)
+    FROM evento_categorias ec JOIN categorias USING (id_categoria)
+    WHERE ec.id_unico_evento = r.id_unico_evento), '')"""
+    midnight = "CASE WHEN hora_inicio <> '00:00:00' THEN hora_inicio END"
+    semantic = """SELECT request_id, orden, id_unico_evento, fecha_inicio, round(score, 3) + 0e0 AS score
+FROM ordenadas WHERE con_conceptos AND hay = {}"""
+    trim_set = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ' || chr(160) || chr(8195)"
+    given = """'{"idioma":"' || CASE WHEN conv_id % 2 = 0 THEN 'es' ELSE 'ca' END || '","radio_km":' ||
+      CAST(conv_id % 130 AS VARCHAR) || ',"categorias":["Música","x' || CAST(conv_id % 3 AS VARCHAR) || '"],' """
+    return {
+        "active_events_by_start": with_tables(
+            "filas",
+            """SELECT id_unico_evento, titulo_es AS titulo, desc_larga_es AS descripcion_corta,
+  desc_larga_es AS descripcion_larga, cp_evento, poblacion_nombre, lugar_nombre,
+  direccion_fisica AS direccion_completa, fecha_inicio, fecha_fin, hora_inicio, hora_fin, es_gratuito,
+  precio_euros, link_entradas_inscripcion AS url_evento, imagen_principal_url AS url_imagen,
+  tags_es AS tags_json
+FROM filas ORDER BY fecha_inicio, hora_inicio NULLS FIRST, id_unico_evento""",
+        ),
+        "batch_prefilter_top50": candidates(),
+        "unknown_origin_unfiltered": candidates(where="request_id < 0"),
+        "postcodes_in_radius": with_tables(
+            "alcance",
+            """SELECT cp_usuario AS cp_origen, radio_km, cp, round(distancia_km, 2) AS distancia_km
+FROM alcance""",
+        ),
+        "origin_coordinates": with_tables(
+            "solicitudes codigos_postales",
+            """SELECT request_id, cp_usuario, latitud, longitud
+FROM solicitudes LEFT JOIN codigos_postales ON cp = cp_usuario""",
+        ),
+        "event_distance": with_tables(
+            "eventos codigos_postales",
+            f"""SELECT id_unico_evento, o.cp AS cp_usuario,
+  {_haversine("o.latitud", "o.longitud", "d.latitud", "d.longitud")} AS distancia_km
+FROM eventos e JOIN (SELECT id_ciudad, min(cp) AS cp FROM codigos_postales GROUP BY 1) c
+  ON e.id_ciudad = c.id_ciudad
+JOIN codigos_postales o ON o.cp = c.cp JOIN codigos_postales d ON d.cp = e.cp_evento""",
+        ),
+        "category_semi_join": candidates(CONDITIONS["categoria"]),
+        "date_list_filter": candidates(names),
+        "date_range_filter": candidates(by_range),
+        "price_filters": candidates(CONDITIONS["precio"]),
+        "cosine_scores": with_tables(
+            "puntuadas",
+            "SELECT request_id, id_unico_evento, round(score, 3) + 0e0 AS score FROM puntuadas",
+            candidatas=f"""SELECT o_custkey AS request_id, e.*
+  FROM eventos e JOIN orders o ON e.clave = o.o_orderkey""",
+        ),
+        "semantic_threshold": with_tables("ordenadas", semantic.format(1)),
+        "semantic_fallback_top10": with_tables("ordenadas", semantic.format(0)),
+        "search_results": _results("''", distance, midnight),
+        "search_results_categories": _results(
+            category_names,
+            f"CASE WHEN {distance} <> 0 THEN {distance} END",
+            f"regexp_replace({midnight}, '^0', '')",
+        ),
+        "search_envelope": with_tables(
+            "resultados solicitudes",
+            """SELECT s.request_id, s.idioma AS idioma_respuesta, CAST(coalesce(total, 0) AS INTEGER) AS total,
+  CASE WHEN total IS NULL AND s.idioma = 'ca'
+         THEN 'Ho sento, no he trobat cap esdeveniment que coincideixi amb la teva cerca.'
+       WHEN total IS NULL THEN 'Lo siento, no he encontrado ningún evento que coincida con tu búsqueda.'
+       WHEN s.idioma = 'ca' THEN 'He trobat ' || CAST(total AS VARCHAR) || ' esdeveniments per a tu.'
+       ELSE 'He encontrado ' || CAST(total AS VARCHAR) || ' eventos para ti.' END AS respuesta_texto,
+  coalesce(ids, '') AS eventos, coalesce(resumen, '') AS resumen
+FROM solicitudes s LEFT JOIN (
+  SELECT request_id, count(*) AS total, string_agg(id_unico_evento, ',' ORDER BY rank) AS ids,
+    string_agg(CAST(rank AS VARCHAR) || '. ' || titulo || ' - ' || poblacion_nombre || ' ('
+      || strftime(fecha_inicio, '%Y-%m-%d') || ')' || CASE WHEN es_gratuito THEN ' [GRATUITO]' ELSE '' END,
+      chr(10) ORDER BY rank) FILTER (WHERE rank <= 5) AS resumen
+  FROM resultados GROUP BY request_id) r USING (request_id)""",
+        ),
+        "search_debug": with_tables(
+            "ordenadas",
+            """SELECT s.request_id, radio_km, coalesce(codigos, '') AS codigos_postales,
+  CAST(coalesce(n, 0) AS INTEGER) AS num_codigos,
+  coalesce(antes, 0) AS eventos_pre_filtrado, coalesce(despues, 0) AS eventos_post_semantica
+FROM solicitudes s
+LEFT JOIN (SELECT request_id, string_agg(cp, ',' ORDER BY cp) AS codigos, count(cp) AS n
+           FROM lugares GROUP BY 1) USING (request_id)
+LEFT JOIN (SELECT request_id, count(*) AS antes FROM candidatas GROUP BY 1) USING (request_id)
+LEFT JOIN (SELECT request_id, count(*) AS despues FROM ordenadas GROUP BY 1) USING (request_id)
+WHERE s.debug""",
+        ),
+        "complete_events_view": with_tables(
+            "eventos horarios codigos_postales evento_categorias",
+            """SELECT e.* EXCLUDE (clave, v_es, v_cat), fecha_inicio, fecha_fin, hora_inicio, hora_fin,
+  latitud AS cp_latitud, longitud AS cp_longitud, categorias_es, categorias_cat, categorias_slugs
+FROM eventos e JOIN horarios h USING (id_unico_evento) JOIN codigos_postales p ON e.cp_evento = p.cp
+LEFT JOIN (SELECT id_unico_evento,
+    string_agg(DISTINCT nombre_es, ', ' ORDER BY nombre_es) AS categorias_es,
+    string_agg(DISTINCT nombre_cat, ', ' ORDER BY nombre_cat) AS categorias_cat,
+    string_agg(DISTINCT slug, ',' ORDER BY slug) AS categorias_slugs
+  FROM evento_categorias JOIN categorias USING (id_categoria) GROUP BY 1) c USING (id_unico_evento)
+WHERE estado = 'ACTIVO'""",
+        ),
+        "category_catalog": with_tables(
+            "categorias",
+            """SELECT id_categoria AS id, nombre_es AS nombre, slug, 'es' AS idioma FROM categorias WHERE activo
+UNION ALL SELECT id_categoria, nombre_cat, slug, 'ca' FROM categorias WHERE activo""",
+        ),
+        "upsert_events": with_tables(
+            "eventos",
+            """SELECT id_unico_evento,
+  CASE WHEN clave % 2 = 0 THEN 'Otro ' ELSE 'Nuevo ' END || CAST(clave AS VARCHAR) AS titulo_es,
+  CASE WHEN clave % 3 = 0 THEN 'Nou' ELSE titulo_cat END AS titulo_cat, precio_euros, estado
+FROM eventos""",
+        ),
+        "upsert_postcodes": with_tables(
+            "codigos_postales",
+            """SELECT cp, id_ciudad, latitud + 0.5e0 AS latitud, longitud FROM codigos_postales
+UNION ALL SELECT 'n' || lpad(CAST(s_suppkey AS VARCHAR), 4, '0'), s_nationkey, 41.5e0, 2.5e0 FROM supplier""",
+        ),
+        "upsert_cities": with_tables(
+            "ciudades",
+            """SELECT id_ciudad, CASE WHEN EXISTS (SELECT 1 FROM supplier WHERE s_suppkey % 2 = 0
+      AND 'NATION_' || CAST(s_nationkey AS VARCHAR) = nombre)
+    THEN replace(nombre, 'NATION_', 'nátion_') ELSE nombre END AS nombre, provincia
+FROM ciudades
+UNION ALL
+SELECT CAST(min(s_suppkey) + 1000 AS INTEGER), 'Villa ' || CAST(s_suppkey % 9 AS VARCHAR), 'NUEVA'
+FROM supplier WHERE s_suppkey % 2 <> 0 GROUP BY s_suppkey % 9""",
+        ),
+        "insert_missing_event_categories": with_tables(
+            "evento_categorias", "SELECT * FROM evento_categorias"
+        ),
+        "append_schedules": with_tables(
+            "horarios",
+            """SELECT id_horario, id_unico_evento, fecha_inicio, fecha_fin, hora_inicio, hora_fin FROM horarios
+UNION ALL
+SELECT (SELECT max(id_horario) FROM horarios) + row_number() OVER (ORDER BY sha256(concat_ws('|',
+    '=' || id_unico_evento, '=' || CAST(fecha_inicio + 364 AS VARCHAR), '=' || CAST(fecha_fin AS VARCHAR),
+    coalesce('=' || hora_inicio, '-'), coalesce('=' || hora_fin, '-'), '=0'))),
+  id_unico_evento, fecha_inicio + 364, fecha_fin, hora_inicio, hora_fin FROM horarios""",
+        ),
+        "event_keys": with_tables(
+            "eventos",
+            """SELECT id_unico_evento,
+  sha256(titulo_es || strftime(fecha_creacion, '%Y-%m-%d') || CAST(id_ciudad AS VARCHAR)) AS clave,
+  sha256(titulo_es || strftime(fecha_creacion + 60, '%Y-%m-%d') || CAST(id_ciudad AS VARCHAR)) AS clave_posterior,
+  strftime(fecha_creacion + 60, '%Y-%m-%d') AS fecha_posterior
+FROM eventos""",
+        ),
+        "events_loaded": with_tables("eventos", "SELECT count(*) AS total FROM eventos"),
+        "tags_json_roundtrip": with_tables(
+            "eventos",
+            """SELECT id_unico_evento, tags_cat <> 'null' AS convertible,
+  CASE WHEN tags_cat = '' THEN 0 WHEN tags_cat <> 'null' THEN 2 END AS num_tags,
+  CASE WHEN tags_cat = '' THEN '[]' WHEN tags_cat <> 'null' THEN tags_cat END AS tags_json
+FROM eventos""",
+        ),
+        "fk_orphans": _orphans(),
+        "key_duplicates": _damaged(
+            "",
+            """SELECT 'eventos_master' AS tabla, id_unico_evento AS clave, count(*) AS filas
+FROM danados GROUP BY 2 HAVING count(*) > 1
+UNION ALL
+SELECT 'evento_categorias', id_unico_evento || '/' || CAST(id_categoria AS VARCHAR), count(*)
+FROM pares GROUP BY 2 HAVING count(*) > 1""",
+        ),
+        "null_and_enum_violations": _violations(),
+        "cascade_delete": with_tables(
+            "eventos horarios evento_categorias",
+            """SELECT 'evento_horarios' AS tabla, id_unico_evento, id_horario AS id FROM horarios
+WHERE id_unico_evento NOT IN (SELECT id_unico_evento FROM eventos WHERE estado = 'CANCELADO')
+UNION ALL
+SELECT 'evento_categorias', id_unico_evento, CAST(id_categoria AS BIGINT) FROM evento_categorias
+WHERE id_unico_evento NOT IN (SELECT id_unico_evento FROM eventos WHERE estado = 'CANCELADO')""",
+        ),
+        "set_null_delete": with_tables(
+            "eventos auditoria",
+            """SELECT id_auditoria, resultado, CASE WHEN id_unico_evento NOT IN
+  (SELECT id_unico_evento FROM eventos WHERE estado = 'CANCELADO') THEN id_unico_evento END AS id_unico_evento
+FROM auditoria""",
+        ),
+        "restricted_delete": with_tables(
+            "ciudades codigos_postales fuentes_familia eventos",
+            "\nUNION ALL\n".join(
+                f"SELECT '{name}' AS tabla, CAST(id_ciudad AS VARCHAR) AS valor, count(*) AS filas FROM {source} "
+                "WHERE id_ciudad IN (SELECT id_ciudad FROM ciudades WHERE provincia = 'ASIA') GROUP BY id_ciudad"
+                for name, source in [
+                    ("codigos_postales", "codigos_postales"),
+                    ("fuentes_familia", "fuentes_familia"),
+                    ("eventos_master", "eventos"),
+                ]
+            ),
+        ),
+        "column_defaults": with_tables(
+            "eventos", "SELECT id_unico_evento, estado, false AS es_patrocinado FROM (SELECT * REPLACE ("
+            "CASE WHEN estado = 'ACTIVO' THEN 'ACTIVO' ELSE estado END AS estado) FROM eventos)",
+        ),
+        "embedding_dimension": with_tables(
+            "eventos vectores",
+            """SELECT CAST(len(v) AS INTEGER) AS dimension, count(*) AS filas, len(v) = 64 AS correcta
+FROM eventos JOIN vectores ON v_es = vec_id GROUP BY len(v)""",
+        ),
+        "request_validation": f"""SELECT conv_id, turn, trim(q, {trim_set}) AS pregunta, cp_usuario,
+  CASE WHEN q IS NULL THEN 'pregunta ausente' WHEN length(q) < 3 THEN 'pregunta corta'
+       WHEN length(q) > 500 THEN 'pregunta larga' WHEN trim(q, {trim_set}) = '' THEN 'pregunta en blanco'
+       WHEN cp_usuario IS NULL THEN 'cp ausente'
+       WHEN NOT regexp_full_match(cp_usuario, '[0-9]{{5}}') THEN 'cp invalido' END AS motivo
+FROM (SELECT conv_id, turn,
+    CASE WHEN turn % 5 = 1 THEN substr(text, 1, 2)
+         WHEN turn % 5 = 2 THEN '  ' || chr(9) || text || ' ' || chr(10) || chr(160)
+         WHEN turn % 5 = 3 THEN '   ' || chr(8195) || chr(10)
+         WHEN conv_id % 11 <> 5 THEN text END AS q,
+    CASE WHEN conv_id % 7 = 1 THEN substr(c, 3, 3) WHEN conv_id % 7 = 2 THEN c || chr(10)
+         WHEN conv_id % 7 = 3 THEN 'x' || substr(c, 2, 4) WHEN conv_id % 21 <> 4 THEN c END AS cp_usuario
+  FROM (SELECT *, lpad(CAST(conv_id AS VARCHAR), 5, '0') AS c FROM conversations))""",
+        "parameter_validation": """SELECT conv_id, turn, ok AS extraidos,
+  CASE WHEN ok THEN CASE WHEN conv_id % 2 = 0 THEN 'es' ELSE 'ca' END
+       WHEN contains(lower(text), 'qué') OR contains(lower(text), 'dónde') OR contains(lower(text), 'cuándo')
+       THEN 'es' ELSE 'ca' END AS idioma,
+  CASE WHEN ok THEN DATE '2024-05-01' + CAST(conv_id % 28 AS INTEGER) END AS fecha_inicio,
+  CAST(NULL AS DATE) AS fecha_fin,
+  CASE WHEN ok THEN CAST(conv_id % 130 AS INTEGER) END AS radio_km,
+  CASE WHEN ok THEN 'Música,x' || CAST(conv_id % 3 AS VARCHAR) ELSE '' END AS categorias,
+  CASE WHEN ok THEN '' ELSE text END AS conceptos,
+  CASE WHEN ok AND conv_id % 3 = 0 THEN true END AS es_gratuito,
+  CASE WHEN ok THEN CAST(conv_id % 40 - 5 AS DOUBLE) + 0.5e0 END AS precio_max
+FROM (SELECT *, conv_id % 9 < 7 AND conv_id % 130 <= 100 AND conv_id % 40 >= 5 AS ok FROM conversations)""",
+        "annotate_questions": _annotation(),
+    }
