@@ -10,9 +10,10 @@ from convoca.sources.catalog import Catalog
 from convoca.sources.staging import full_width
 
 # side of the grid cells, in degrees
-CELL = 0.25
+CELL = 0.125
 _CELLS_AROUND = int(360 / CELL)
-# widens the search box, never the result, against rounding at its edges
+# widens the search box and narrows what counts as inside, against rounding at
+# their edges; never the result
 _SLACK = 1e-6
 
 
@@ -20,6 +21,25 @@ def _cell(degrees: Column) -> Column:
     return F.floor(degrees / CELL)
 
 
+def _around(cell_lng: Column) -> Column:
+    return F.pmod(cell_lng, F.lit(_CELLS_AROUND))
+
+
+def with_cell(places: DataFrame) -> DataFrame:
+    """Add the grid cell (``cell_lat``, ``cell_lng``) of ``lat``, ``lng``."""
+    return places.withColumn("cell_lat", _cell(F.col("lat"))).withColumn(
+        "cell_lng", _around(_cell(F.col("lng")))
+    )
+
+
+def located(postcodes: DataFrame) -> DataFrame:
+    return postcodes.select(
+        "cp",
+        F.col("latitud").cast("double").alias("lat"),
+        F.col("longitud").cast("double").alias("lng"),
+    )
+
+
 def _box(lat: Column, radius: Column) -> tuple[Column, Column]:
     """Half height and half width in degrees of the box around a circle."""
     half_lat = radius / KM_PER_DEGREE + _SLACK
@@ -31,55 +51,78 @@ def _box(lat: Column, radius: Column) -> tuple[Column, Column]:
     return half_lat, half_lng
 
 
-def postcodes_within(origins: DataFrame, catalog: Catalog) -> DataFrame:
-    """All postcodes within each (``cp_origen``, ``radio_km``) of ``origins``.
+def _cells_around(origins: DataFrame, catalog: Catalog) -> DataFrame:
+    """The grid cells the box around each distinct (``cp_origen``, ``radio_km``) touches.
 
-    Returns ``cp_origen, radio_km, cp, distancia_km``; origins the catalog does
-    not know give no rows. Origins meet only the postcodes of the grid cells
-    their box touches, then the exact distance decides, so pairs far apart are
-    never built. Origins are spread by themselves and not by cell: a crowded
-    cell is shared by many tasks.
+    Origins are spread by themselves and not by cell: a crowded cell is shared
+    by many tasks.
     """
-    place = catalog.postcodes.select(
-        "cp",
-        F.col("latitud").cast("double").alias("lat"),
-        F.col("longitud").cast("double").alias("lng"),
-    )
+    asked = full_width(origins.select("cp_origen", "radio_km").distinct(), "cp_origen", "radio_km")
     half_lat, half_lng = _box(F.col("lat0"), F.col("radio_km").cast("double"))
     west = _cell(F.col("lng0") - F.col("half_lng"))
     east = _cell(F.col("lng0") + F.col("half_lng"))
-    asked = full_width(origins.select("cp_origen", "radio_km").distinct(), "cp_origen", "radio_km")
-    start = (
-        asked.join(catalog.sized(place.toDF("cp_origen", "lat0", "lng0")), "cp_origen")
+    south = _cell(F.col("lat0") - F.col("half_lat"))
+    north = _cell(F.col("lat0") + F.col("half_lat"))
+    return (
+        asked.join(
+            catalog.sized(located(catalog.postcodes).toDF("cp_origen", "lat0", "lng0")), "cp_origen"
+        )
         .withColumn("half_lat", half_lat)
         .withColumn("half_lng", half_lng)
-        .withColumn(
-            "cell_lat",
-            F.explode(
-                F.sequence(
-                    _cell(F.col("lat0") - F.col("half_lat")),
-                    _cell(F.col("lat0") + F.col("half_lat")),
-                )
-            ),
-        )
-        .withColumn(
-            "cell_lng",
-            F.explode(F.sequence(west, F.least(east, west + _CELLS_AROUND - 1))),
-        )
-        .withColumn("cell_lng", F.pmod("cell_lng", F.lit(_CELLS_AROUND)))
+        .withColumn("cell_lat", F.explode(F.sequence(south, north)))
+        .withColumn("cell_lng", F.explode(F.sequence(west, F.least(east, west + _CELLS_AROUND - 1))))
+        .withColumn("cell_lng", _around(F.col("cell_lng")))
         .select("cp_origen", "radio_km", "lat0", "lng0", "cell_lat", "cell_lng")
     )
-    cells = place.select(
-        "cp",
-        "lat",
-        "lng",
-        _cell(F.col("lat")).alias("cell_lat"),
-        F.pmod(_cell(F.col("lng")), F.lit(_CELLS_AROUND)).alias("cell_lng"),
-    )
+
+
+def _members(cells: DataFrame, catalog: Catalog) -> DataFrame:
+    """Postcodes of the given cells whose exact distance is within the radius."""
+    places = with_cell(located(catalog.postcodes))
     distance = law_of_cosines_km(F.col("lat0"), F.col("lng0"), F.col("lat"), F.col("lng"))
     return (
-        start.join(catalog.sized(cells), ["cell_lat", "cell_lng"])
+        cells.join(catalog.sized(places), ["cell_lat", "cell_lng"])
         .withColumn("distancia_km", distance)
         .filter(F.col("distancia_km") <= F.col("radio_km"))
         .select("cp_origen", "radio_km", "cp", "distancia_km")
     )
+
+
+def postcodes_within(origins: DataFrame, catalog: Catalog) -> DataFrame:
+    """All postcodes within each (``cp_origen``, ``radio_km``) of ``origins``.
+
+    Returns ``cp_origen, radio_km, cp, distancia_km``; origins the catalog does
+    not know give no rows. Origins meet only the postcodes of the grid cells
+    their box touches, then the exact distance decides, so pairs far apart are
+    never built.
+    """
+    return _members(_cells_around(origins, catalog), catalog)
+
+
+def cell_name(cell_lat: Column, cell_lng: Column) -> Column:
+    return F.concat_ws(":", F.lit("celda"), cell_lat.cast("string"), cell_lng.cast("string"))
+
+
+def places_within(origins: DataFrame, catalog: Catalog) -> DataFrame:
+    """What lies within each (``cp_origen``, ``radio_km``), as few places as possible.
+
+    Grid cells that lie inside the circle as a whole are given by name; only of
+    the cells on its edge the single postcodes are looked at. Together they hold
+    the postcodes of ``postcodes_within``. Returns ``cp_origen, radio_km, lugar``.
+    """
+    lat, lng = (F.col("cell_lat") + 0.5) * CELL, (F.col("cell_lng") + 0.5) * CELL
+    center = law_of_cosines_km(F.col("lat0"), F.col("lng0"), lat, lng)
+    # no point of a cell is farther from its center than a corner
+    corner = F.greatest(
+        law_of_cosines_km(lat, lng, lat + CELL / 2, lng + CELL / 2),
+        law_of_cosines_km(lat, lng, lat - CELL / 2, lng + CELL / 2),
+    )
+    cells = _cells_around(origins, catalog).withColumn(
+        "dentro", center + corner + 1e-3 <= F.col("radio_km")
+    )
+    used = with_cell(located(catalog.postcodes)).select("cell_lat", "cell_lng").distinct()
+    whole = cells.filter("dentro").join(catalog.sized(used), ["cell_lat", "cell_lng"], "left_semi")
+    edge = _members(cells.filter("not dentro"), catalog)
+    return whole.select(
+        "cp_origen", "radio_km", cell_name(F.col("cell_lat"), F.col("cell_lng")).alias("lugar")
+    ).unionByName(edge.select("cp_origen", "radio_km", F.col("cp").alias("lugar")))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from convoca.functions.geo import haversine_km
 from convoca.functions.text import decode_tags, short_hour
-from convoca.operators.earliest import earliest_candidates, reach, signed
+from convoca.operators.earliest import earliest_candidates
+from convoca.operators.radius import postcodes_within
 from convoca.operators.rank import LANGUAGES, convertible, only_needed, semantic_rank
 from convoca.sources.catalog import Catalog
 from convoca.sources.staging import stage
@@ -255,10 +256,15 @@ def debug_info(
 ) -> DataFrame:
     """For requests with ``debug``: parameters, postcodes looked at and both counts."""
     asking = requests.filter("debug")
-    normal = signed(asking)
+    place = asking.select(
+        F.col("cp_usuario").alias("cp_origen"),
+        F.coalesce("radio_km", F.lit(0)).alias("radio_km"),
+    ).distinct()
+    around = postcodes_within(place.filter("radio_km > 0"), catalog).drop("distancia_km")
+    own = place.filter("radio_km = 0").withColumn("cp", F.col("cp_origen"))
     codes = (
-        reach(normal, catalog)
-        .groupBy("cp_usuario", "radio_km")
+        around.unionByName(own)
+        .groupBy(F.col("cp_origen").alias("cp_usuario"), F.col("radio_km").alias("_radio"))
         .agg(F.array_sort(F.collect_set("cp")).alias("codigos_postales"))
     )
 
@@ -278,9 +284,13 @@ def debug_info(
     )
     before, after = "eventos_pre_filtrado", "eventos_post_semantica"
     return (
-        asking.select("request_id", parameters.alias("parametros_extraidos"))
-        .join(normal.select("request_id", "cp_usuario", "radio_km"), "request_id")
-        .join(codes, ["cp_usuario", "radio_km"], "left")
+        asking.select(
+            "request_id",
+            "cp_usuario",
+            F.coalesce("radio_km", F.lit(0)).alias("_radio"),
+            parameters.alias("parametros_extraidos"),
+        )
+        .join(codes, ["cp_usuario", "_radio"], "left")
         .join(counted(candidates, before), "request_id", "left")
         .join(counted(ranked, after), "request_id", "left")
         .select(

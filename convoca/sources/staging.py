@@ -45,10 +45,10 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def full_width(df: DataFrame, *keys: str) -> DataFrame:
-    """``df`` hash-partitioned on ``keys`` over all shuffle partitions.
+    """``df`` hash-partitioned on ``keys`` over twice the shuffle partitions.
 
     For steps that multiply their rows: adaptive execution sizes partitions by
     the bytes coming in and would merge them into a few tasks.
     """
-    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    width = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(width, *keys)
