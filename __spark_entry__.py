@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import oracles
-from convoca.functions.text import decode_tags, encode_list
+from convoca.functions.text import decode_tags, encode_list, full_title, short_description
 from convoca.operators.annotate import annotate
 from convoca.operators.earliest import earliest_candidates
 from convoca.operators.quality import (
@@ -246,6 +246,30 @@ def append_schedules(spark: SparkSession, folder: str) -> DataFrame:
     return append_numbered(target, batch, "id_horario")
 
 
+def left_out_rows(spark: SparkSession, folder: str) -> DataFrame:
+    data = DriverTables(spark, folder)
+    _, ranked = _ranked(data)
+    rows = S.left_out(ranked, data.requests(), data.catalog())
+    return rows.withColumn("orden", F.col("orden").cast("bigint"))
+
+
+def event_texts(spark: SparkSession, folder: str) -> DataFrame:
+    data = DriverTables(spark, folder)
+    names = data.categorias().select("id_categoria", "nombre_es", "nombre_cat")
+    return (
+        data.evento_categorias()
+        .join(data.catalog().sized(names, of="categories"), "id_categoria")
+        .join(data.eventos_master(), "id_unico_evento")
+        .select(
+            "id_unico_evento",
+            "id_categoria",
+            full_title(F.col("titulo_es"), F.col("poblacion_nombre")).alias("titulo"),
+            short_description("es", F.col("nombre_es"), F.col("poblacion_nombre")).alias("desc_es"),
+            short_description("ca", F.col("nombre_cat"), F.col("poblacion_nombre")).alias("desc_cat"),
+        )
+    )
+
+
 def event_keys(spark: SparkSession, folder: str) -> DataFrame:
     later = F.date_add("fecha_creacion", 60)
     return DriverTables(spark, folder).eventos_master().select(
@@ -477,6 +501,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "insert_missing_event_categories": insert_missing_event_categories,
         "append_schedules": append_schedules,
         "event_keys": event_keys,
+        "event_texts": event_texts,
+        "left_out_rows": left_out_rows,
         "events_loaded": events_loaded,
         "tags_json_roundtrip": tags_json_roundtrip,
         "fk_orphans": fk_orphans,

@@ -75,3 +75,12 @@ def decode_vector(df: DataFrame, name: str) -> Column:
 
 def encode_list(values: Column) -> Column:
     return F.to_json(values)
+
+
+def full_title(title: Column, town: Column) -> Column:
+    return F.concat(title, F.lit(" - "), town)
+
+
+def short_description(idioma: str, category: Column, town: Column) -> Column:
+    template = "Evento de %s en %s" if idioma == "es" else "Esdeveniment de %s a %s"
+    return F.format_string(template, F.lower(category), town)

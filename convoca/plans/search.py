@@ -73,14 +73,11 @@ def localized(events: DataFrame, language: str) -> DataFrame:
     )
 
 
-def in_language(
-    rows: DataFrame, events: DataFrame, needed: DataFrame | None = None
-) -> DataFrame:
+def in_language(rows: DataFrame, events: DataFrame) -> DataFrame:
     """Join ``rows`` (id_unico_evento, idioma, ...) with the event columns of their language."""
-    needed = rows if needed is None else needed
     parts = [
         rows.filter(applies).join(
-            only_needed(localized(events, language), needed.filter(applies)), "id_unico_evento"
+            only_needed(localized(events, language), rows.filter(applies)), "id_unico_evento"
         )
         for language, applies in LANGUAGES.items()
     ]
@@ -90,7 +87,7 @@ def in_language(
 def with_distance(rows: DataFrame, catalog: Catalog, zero_distance_null: bool = False) -> DataFrame:
     """``distancia_km`` from ``cp_usuario`` to ``cp_evento``; NULL for unknown places."""
     point = catalog.postcodes.select("cp", "latitud", "longitud")
-    located = rows.join(
+    placed = rows.join(
         catalog.sized(point.toDF("cp_usuario", "lat0", "lng0")), "cp_usuario", "left"
     ).join(catalog.sized(point.toDF("cp_evento", "lat1", "lng1")), "cp_evento", "left")
     distance = F.round(
@@ -100,7 +97,7 @@ def with_distance(rows: DataFrame, catalog: Catalog, zero_distance_null: bool =
     known = (F.col("lat1") != 0) & (F.col("lng1") != 0)
     if zero_distance_null:
         known = known & (distance != 0)
-    return located.withColumn("distancia_km", F.when(known, distance)).drop(
+    return placed.withColumn("distancia_km", F.when(known, distance)).drop(
         "lat0", "lng0", "lat1", "lng1"
     )
 
@@ -109,7 +106,7 @@ def event_category_names(catalog: Catalog) -> DataFrame:
     """Names of each event's categories, ``nombres_es`` and ``nombres_cat``."""
     names = catalog.categories.select("id_categoria", "nombre_es", "nombre_cat")
     return (
-        catalog.event_categories.join(names, "id_categoria")
+        catalog.event_categories.join(catalog.sized(names, of="categories"), "id_categoria")
         .groupBy("id_unico_evento")
         .agg(
             F.array_sort(F.collect_set("nombre_es")).alias("nombres_es"),
@@ -124,15 +121,7 @@ def _hour(name: str, short: bool) -> Column:
     return short_hour(hour) if short else hour
 
 
-def results(
-    ranked: DataFrame,
-    requests: DataFrame,
-    catalog: Catalog,
-    with_categories: bool = False,
-    zero_distance_null: bool = False,
-    short_hours: bool = False,
-) -> DataFrame:
-    """Ranked candidates as result rows; rows that cannot be converted are left out."""
+def _detailed(ranked: DataFrame, requests: DataFrame, catalog: Catalog) -> DataFrame:
     ranked = ranked.select(
         "request_id",
         "orden",
@@ -144,7 +133,25 @@ def results(
         "similitud",
     )
     rows = ranked.join(requests.select("request_id", "idioma", "cp_usuario"), "request_id")
-    full = in_language(rows, catalog.events, needed=rows).filter("convertible")
+    return in_language(rows, catalog.events)
+
+
+def left_out(ranked: DataFrame, requests: DataFrame, catalog: Catalog) -> DataFrame:
+    """Ranked candidates that cannot be converted to a result, which ``results`` skips."""
+    rows = _detailed(ranked, requests, catalog).filter(~F.coalesce("convertible", F.lit(False)))
+    return rows.select("request_id", "orden", "id_unico_evento", "idioma")
+
+
+def results(
+    ranked: DataFrame,
+    requests: DataFrame,
+    catalog: Catalog,
+    with_categories: bool = False,
+    zero_distance_null: bool = False,
+    short_hours: bool = False,
+) -> DataFrame:
+    """Ranked candidates as result rows; rows that cannot be converted are left out."""
+    full = _detailed(ranked, requests, catalog).filter("convertible")
     full = with_distance(full, catalog, zero_distance_null)
     none = F.array().cast("array<string>")
     if with_categories:
@@ -260,12 +267,14 @@ def debug_info(
         F.col("cp_usuario").alias("cp_origen"),
         F.coalesce("radio_km", F.lit(0)).alias("radio_km"),
     ).distinct()
-    around = postcodes_within(place.filter("radio_km > 0"), catalog).drop("distancia_km")
+    around = postcodes_within(place.filter("radio_km > 0"), catalog)
     own = place.filter("radio_km = 0").withColumn("cp", F.col("cp_origen"))
+    # nearest first, to the metre, then by code
+    code = F.struct(F.round("distancia_km", 3), "cp")
     codes = (
-        around.unionByName(own)
+        around.unionByName(own, allowMissingColumns=True)
         .groupBy(F.col("cp_origen").alias("cp_usuario"), F.col("radio_km").alias("_radio"))
-        .agg(F.array_sort(F.collect_set("cp")).alias("codigos_postales"))
+        .agg(F.array_sort(F.collect_list(code))["cp"].alias("codigos_postales"))
     )
 
     def counted(rows: DataFrame, name: str) -> DataFrame:

@@ -36,11 +36,12 @@ class Catalog:
         source = self.events if self.vectors is None else self.vectors
         return source.select("id_unico_evento", "tags_embedding_es", "tags_embedding_cat")
 
-    def sized(self, places: DataFrame) -> DataFrame:
-        """A table with a row per postcode, broadcast if the postcodes are few."""
-        if "postcodes" not in self._small:
-            self._small["postcodes"] = broadcast_if_small(self.postcodes) is not self.postcodes
-        return places.hint("broadcast") if self._small["postcodes"] else places
+    def sized(self, rows: DataFrame, of: str = "postcodes") -> DataFrame:
+        """``rows``, no more than the table ``of`` has, broadcast if that table is small."""
+        if of not in self._small:
+            table = getattr(self, of)
+            self._small[of] = broadcast_if_small(table) is not table
+        return rows.hint("broadcast") if self._small[of] else rows
 
 
 def _catalog(read) -> Catalog:

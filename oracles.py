@@ -454,8 +454,10 @@ FROM solicitudes s LEFT JOIN (
   CAST(coalesce(n, 0) AS INTEGER) AS num_codigos,
   coalesce(antes, 0) AS eventos_pre_filtrado, coalesce(despues, 0) AS eventos_post_semantica
 FROM solicitudes s
-LEFT JOIN (SELECT request_id, string_agg(cp, ',' ORDER BY cp) AS codigos, count(cp) AS n
-           FROM lugares GROUP BY 1) USING (request_id)
+LEFT JOIN (SELECT l.request_id, string_agg(l.cp, ',' ORDER BY round(distancia_km, 3), l.cp) AS codigos, count(l.cp) AS n
+           FROM lugares l JOIN solicitudes USING (request_id)
+           LEFT JOIN alcance a ON a.cp_usuario = solicitudes.cp_usuario AND a.radio_km = solicitudes.radio_km AND a.cp = l.cp
+           GROUP BY 1) USING (request_id)
 LEFT JOIN (SELECT request_id, count(*) AS antes FROM candidatas GROUP BY 1) USING (request_id)
 LEFT JOIN (SELECT request_id, count(*) AS despues FROM ordenadas GROUP BY 1) USING (request_id)
 WHERE s.debug""",
@@ -518,6 +520,18 @@ SELECT (SELECT max(id_horario) FROM horarios) + row_number() OVER (ORDER BY sha2
   sha256(titulo_es || strftime(fecha_creacion + 60, '%Y-%m-%d') || CAST(id_ciudad AS VARCHAR)) AS clave_posterior,
   strftime(fecha_creacion + 60, '%Y-%m-%d') AS fecha_posterior
 FROM eventos""",
+        ),
+        "event_texts": with_tables(
+            "eventos evento_categorias",
+            """SELECT id_unico_evento, id_categoria, titulo_es || ' - ' || poblacion_nombre AS titulo,
+  'Evento de ' || lower(nombre_es) || ' en ' || poblacion_nombre AS desc_es,
+  'Esdeveniment de ' || lower(nombre_cat) || ' a ' || poblacion_nombre AS desc_cat
+FROM evento_categorias JOIN categorias USING (id_categoria) JOIN eventos USING (id_unico_evento)""",
+        ),
+        "left_out_rows": with_tables(
+            "ordenadas",
+            """SELECT request_id, orden, id_unico_evento, idioma FROM ordenadas
+WHERE idioma <> 'es' AND tags_cat = 'null'""",
         ),
         "events_loaded": with_tables("eventos", "SELECT count(*) AS total FROM eventos"),
         "tags_json_roundtrip": with_tables(

@@ -24,6 +24,7 @@ SHARED = {
     "semantic_fallback_top10",
     "search_results",
     "search_debug",
+    "left_out_rows",
 }
 
 

@@ -129,6 +129,9 @@ def test_debug_counts_and_options(spark, world):
     assert info[5].codigos_postales == [] and info[5].eventos_pre_filtrado == 8
     assert info[1].parametros_extraidos.conceptos == ["x"]
 
+    lost = S.left_out(ranked, asked, world).collect()
+    assert {(r.request_id, r.id_unico_evento) for r in lost} == {(n, "d") for n in (1, 2, 3, 5)}
+
     out = S.results(ranked, asked, world, zero_distance_null=True, short_hours=True)
     rows = out.filter("request_id = 1").orderBy("rank").collect()
     assert [r.hora_inicio for r in rows] == [None, "9:00:00", None]
