@@ -77,7 +77,7 @@ CTES = {
          CASE WHEN k % 10 = 7 THEN [dia, dia + 1, dia + 30] ELSE [] END AS fechas,
          CASE WHEN k % 3 = 0 THEN dia END AS fecha_inicio,
          CASE WHEN k % 3 = 0 THEN dia + 365 END AS fecha_fin,
-         radio_km,
+         CAST(radio_km AS INTEGER) AS radio_km,
          CASE WHEN k % 5 = 0 THEN ['ECÓNOMY'] WHEN k % 5 = 1 THEN ['standard', 'Promo', 'Standard']
               WHEN k % 35 = 2 THEN ['PROMO CAT'] ELSE [] END AS categorias,
          k % 2 = 1 AS con_conceptos,
@@ -211,7 +211,7 @@ CANDIDATE_COLUMNS = "request_id, posicion, id_unico_evento, fecha_inicio, hora_i
 
 def candidates(conditions: str = ALL_CONDITIONS, where: str = "true") -> str:
     return with_tables(
-        "candidatas", f"SELECT {CANDIDATE_COLUMNS} FROM candidatas WHERE {where}", conditions
+        "candidatas", f"SELECT {CANDIDATE_COLUMNS} FROM (SELECT * REPLACE (CAST(posicion AS INTEGER) AS posicion) FROM candidatas) WHERE {where}", conditions
     )
 
 
