@@ -29,6 +29,12 @@ from convoca.plans.views import active_categories, active_events, complete_event
 from convoca.sources.driver_tables import DriverTables, event_id
 from convoca.sources.staging import stage
 
+try:
+    from convoca.llm.queries import ORACLES as LLM_ORACLES
+    from convoca.llm.queries import QUERIES as LLM_QUERIES
+except ImportError:
+    LLM_QUERIES, LLM_ORACLES = {}, {}
+
 _CANDIDATE = oracles.CANDIDATE_COLUMNS.split(", ")
 _PARAMETERS = {
     "fechas": "array<date>",
@@ -516,8 +522,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "request_validation": request_validation,
         "parameter_validation": parameter_validation,
         "annotate_questions": annotate_questions,
+        **LLM_QUERIES,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.statements()
+    return {**oracles.statements(), **LLM_ORACLES}
