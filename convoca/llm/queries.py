@@ -6,9 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convoca.llm import oracles
+from convoca.llm.bpe import encode_decode
 from convoca.llm.common import read
+from convoca.llm.licenses import scan
 from convoca.llm.line_dedup import dedup_lines
 from convoca.llm.simhash import near_duplicate_classes
+from convoca.llm.token_counts import token_counts
+
+
+def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts(read(spark, folder, "documents"))
+
+
+def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return scan(read(spark, folder, "documents")).drop("blocks")
 
 
 def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -23,9 +34,22 @@ def op5_simhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    made = encode_decode(read(spark, folder, "documents"))
+    return made.select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
+    "op1_token_counts": op1_token_counts,
+    "op3_license_scan": op3_license_scan,
     "op4_line_dedup": op4_line_dedup,
     "op5_simhash_near_duplicates": op5_simhash_near_duplicates,
+    "op9_bpe_round_trip": op9_bpe_round_trip,
 }
 
 ORACLES = {"op4_line_dedup": oracles.LINE_DEDUP}
