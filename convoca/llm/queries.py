@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import os
+from functools import wraps
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convoca.llm import oracles
+from convoca.llm import oracles, toxicity
 from convoca.llm.bpe import encode_decode
 from convoca.llm.common import read
 from convoca.llm.licenses import scan
@@ -13,6 +17,21 @@ from convoca.llm.line_dedup import dedup_lines
 from convoca.llm.simhash import near_duplicate_classes
 from convoca.llm.token_counts import token_counts
 
+ROOT = str(Path(__file__).resolve().parents[2])
+
+
+def _with_path(query):
+    """``query``, with this package in reach of workers that do not start in the repository."""
+
+    @wraps(query)
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        known = spark.sparkContext.environment.get("PYTHONPATH", "")
+        if ROOT not in known.split(os.pathsep):
+            spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, known]))
+        return query(spark, folder)
+
+    return run
+
 
 def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(read(spark, folder, "documents"))
@@ -44,12 +63,22 @@ def op9_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    labels = read(spark, folder, "labels").filter(~toxicity.held_out())
+    scored = toxicity.score(docs, toxicity.train(docs, labels))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op3_license_scan": op3_license_scan,
     "op4_line_dedup": op4_line_dedup,
     "op5_simhash_near_duplicates": op5_simhash_near_duplicates,
     "op9_bpe_round_trip": op9_bpe_round_trip,
+    "op10_toxicity": op10_toxicity,
 }
 
+QUERIES = {name: _with_path(query) for name, query in QUERIES.items()}
+
 ORACLES = {"op4_line_dedup": oracles.LINE_DEDUP}
