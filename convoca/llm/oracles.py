@@ -21,3 +21,40 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """
+
+_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+DECONTAMINATION = f"""
+WITH docs AS (
+  SELECT doc_id, {_WORDS} AS w FROM documents
+), items AS (
+  SELECT DISTINCT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL
+), item_windows AS (
+  SELECT DISTINCT item_id, size, array_to_string(w[i:i + size - 1], ' ') AS words
+  FROM (
+    SELECT *, unnest(generate_series(1, len(w) - size + 1)) AS i
+    FROM (SELECT *, least(13, len(w)) AS size FROM items WHERE len(w) > 0)
+  )
+), sizes AS (
+  SELECT DISTINCT size FROM item_windows
+), doc_windows AS (
+  SELECT doc_id, i, size, array_to_string(w[i:i + size - 1], ' ') AS words
+  FROM (
+    SELECT doc_id, w, size, unnest(generate_series(1, len(w) - size + 1)) AS i
+    FROM docs, sizes WHERE len(w) >= size
+  )
+), hits AS (
+  SELECT doc_id, i, size, item_id FROM doc_windows JOIN item_windows USING (size, words)
+), hit_words AS (
+  SELECT doc_id, count(*) AS n_hit
+  FROM (SELECT DISTINCT doc_id, unnest(generate_series(i, i + size - 1)) AS p FROM hits)
+  GROUP BY doc_id
+), hit_items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits)
+  GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
+FROM docs LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
+"""

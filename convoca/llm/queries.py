@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from convoca.llm import oracles, toxicity
 from convoca.llm.bpe import encode_decode
 from convoca.llm.common import read
+from convoca.llm.decontaminate import contamination
 from convoca.llm.licenses import scan
 from convoca.llm.line_dedup import dedup_lines
 from convoca.llm.simhash import near_duplicate_classes
@@ -20,14 +21,17 @@ from convoca.llm.token_counts import token_counts
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
-def _with_path(query):
-    """``query``, with this package in reach of workers that do not start in the repository."""
+def in_reach(spark: SparkSession) -> None:
+    """Put this package in reach of workers that do not start in the repository."""
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if ROOT not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, known]))
 
+
+def _prepared(query):
     @wraps(query)
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        known = spark.sparkContext.environment.get("PYTHONPATH", "")
-        if ROOT not in known.split(os.pathsep):
-            spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, known]))
+        in_reach(spark)
         return query(spark, folder)
 
     return run
@@ -37,6 +41,18 @@ def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(read(spark, folder, "documents"))
 
 
+def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = contamination(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
 def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return scan(read(spark, folder, "documents")).drop("blocks")
 
@@ -72,6 +88,7 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_decontamination": op2_decontamination,
     "op3_license_scan": op3_license_scan,
     "op4_line_dedup": op4_line_dedup,
     "op5_simhash_near_duplicates": op5_simhash_near_duplicates,
@@ -79,6 +96,6 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
 }
 
-QUERIES = {name: _with_path(query) for name, query in QUERIES.items()}
+QUERIES = {name: _prepared(query) for name, query in QUERIES.items()}
 
-ORACLES = {"op4_line_dedup": oracles.LINE_DEDUP}
+ORACLES = {"op2_decontamination": oracles.DECONTAMINATION, "op4_line_dedup": oracles.LINE_DEDUP}
