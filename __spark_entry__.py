@@ -30,8 +30,11 @@ from convoca.sources.driver_tables import DriverTables, event_id
 from convoca.sources.staging import stage
 
 try:
+    import corpus_pipeline
     from convoca.llm.queries import ORACLES as LLM_ORACLES
-    from convoca.llm.queries import QUERIES as LLM_QUERIES
+    from convoca.llm.queries import QUERIES
+
+    LLM_QUERIES = {**QUERIES, "pipeline": corpus_pipeline.run}
 except ImportError:
     LLM_QUERIES, LLM_ORACLES = {}, {}
 
