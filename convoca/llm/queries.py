@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convoca.llm import oracles, toxicity
+from convoca.llm import oracles, pii, toxicity
 from convoca.llm.bpe import encode_decode
 from convoca.llm.common import read
 from convoca.llm.decontaminate import contamination
@@ -69,6 +69,17 @@ def op5_simhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.find(read(spark, folder, "documents")).withColumn("base", F.filter("spans", lambda s: s["base"]))
+
+    def count(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", *map(count, pii.KINDS), F.sha2(pii.joined("base"), 256).alias("base_sha256"), pii.joined("spans").alias("spans")
+    )
+
+
 def op9_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     made = encode_decode(read(spark, folder, "documents"))
     return made.select(
@@ -92,6 +103,7 @@ QUERIES = {
     "op3_license_scan": op3_license_scan,
     "op4_line_dedup": op4_line_dedup,
     "op5_simhash_near_duplicates": op5_simhash_near_duplicates,
+    "op8_personal_data": op8_personal_data,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_toxicity": op10_toxicity,
 }
