@@ -15,6 +15,7 @@ from convoca.llm.common import read
 from convoca.llm.decontaminate import contamination
 from convoca.llm.licenses import scan
 from convoca.llm.line_dedup import dedup_lines
+from convoca.llm.neighbours import nearest, valid
 from convoca.llm.simhash import near_duplicate_classes
 from convoca.llm.token_counts import token_counts
 
@@ -69,6 +70,11 @@ def op5_simhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = valid(read(spark, folder, "embeddings"))
+    return nearest(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
 def op8_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     found = pii.find(read(spark, folder, "documents")).withColumn("base", F.filter("spans", lambda s: s["base"]))
 
@@ -103,6 +109,7 @@ QUERIES = {
     "op3_license_scan": op3_license_scan,
     "op4_line_dedup": op4_line_dedup,
     "op5_simhash_near_duplicates": op5_simhash_near_duplicates,
+    "op7_nearest_neighbours": op7_nearest_neighbours,
     "op8_personal_data": op8_personal_data,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_toxicity": op10_toxicity,
