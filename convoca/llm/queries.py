@@ -13,6 +13,7 @@ from convoca.llm import oracles, pii, toxicity
 from convoca.llm.bpe import encode_decode
 from convoca.llm.common import read
 from convoca.llm.decontaminate import contamination
+from convoca.llm.katz import scores
 from convoca.llm.licenses import scan
 from convoca.llm.line_dedup import dedup_lines
 from convoca.llm.neighbours import nearest, valid
@@ -70,6 +71,10 @@ def op5_simhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    return scores(read(spark, folder, "documents"))
+
+
 def op7_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     vectors = valid(read(spark, folder, "embeddings"))
     return nearest(vectors, vectors.filter("vec_id % 20 = 0"))
@@ -109,6 +114,7 @@ QUERIES = {
     "op3_license_scan": op3_license_scan,
     "op4_line_dedup": op4_line_dedup,
     "op5_simhash_near_duplicates": op5_simhash_near_duplicates,
+    "op6_language_model": op6_language_model,
     "op7_nearest_neighbours": op7_nearest_neighbours,
     "op8_personal_data": op8_personal_data,
     "op9_bpe_round_trip": op9_bpe_round_trip,
