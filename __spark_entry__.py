@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import oracles
-from convoca.functions.text import decode_tags, encode_list, full_title, short_description
+from convoca.functions.text import decode_tags, encode_list, full_title, padded, short_description
 from convoca.operators.annotate import annotate
 from convoca.operators.earliest import earliest_candidates
 from convoca.operators.quality import (
@@ -205,12 +205,12 @@ def upsert_postcodes(spark: SparkSession, folder: str) -> DataFrame:
         "cp", F.lit(-1).alias("id_ciudad"), (F.col("latitud") + 0.5).alias("latitud"), "longitud"
     )
     new = data.table("supplier").select(
-        F.concat(F.lit("n"), F.lpad(F.col("s_suppkey").cast("string"), 4, "0")).alias("cp"),
+        F.concat(F.lit("n"), padded(F.col("s_suppkey"), 4)).alias("cp"),
         F.col("s_nationkey").alias("id_ciudad"),
         F.lit(41.5).alias("latitud"),
         F.lit(2.5).alias("longitud"),
     )
-    batch = moved.unionByName(new).withColumn("seq", F.monotonically_increasing_id())
+    batch = moved.unionByName(new).withColumn("seq", F.lit(1))
     return upsert(target, batch, ["cp"], ["latitud", "longitud"], "seq")
 
 
@@ -412,7 +412,7 @@ def events_loaded(spark: SparkSession, folder: str) -> DataFrame:
 
 def request_validation(spark: SparkSession, folder: str) -> DataFrame:
     turns = DriverTables(spark, folder).table("conversations")
-    code = F.lpad(F.col("conv_id").cast("string"), 5, "0")
+    code = padded(F.col("conv_id"), 5)
     place = (
         F.when(F.col("conv_id") % 7 == 1, F.substring(code, 3, 3))
         .when(F.col("conv_id") % 7 == 2, F.concat(code, F.lit("\n")))
@@ -443,10 +443,12 @@ def parameter_validation(spark: SparkSession, folder: str) -> DataFrame:
         F.when(c % 3 == 0, "true").otherwise("null"),
         c % 40 - 5,
     )
+    odd = F.array(*[F.lit(text) for text in oracles.ODD_PARAMETERS])
     content = (
-        F.when(c % 9 == 7, F.lit('{"radio_km":5}'))
-        .when(c % 9 == 8, F.substring(given, 1, 30))
-        .otherwise(given)
+        F.when(c % 18 < 7, given)
+        .when(c % 18 == 7, F.lit('{"radio_km":5}'))
+        .when(c % 18 == 8, F.substring(given, 1, 30))
+        .otherwise(F.get(odd, (c % 18 - 9).cast("int")))
     )
     rows = turns.select("conv_id", "turn", F.col("text").alias("pregunta"), content.alias("json"))
     typed = parameters_from_json(rows, "json")

@@ -77,6 +77,12 @@ def encode_list(values: Column) -> Column:
     return F.to_json(values)
 
 
+def padded(number: Column, width: int) -> Column:
+    """A number as text with zeros in front, never shortened."""
+    text = number.cast("string")
+    return F.lpad(text, F.greatest(F.lit(width), F.length(text)), F.lit("0"))
+
+
 def full_title(title: Column, town: Column) -> Column:
     return F.concat(title, F.lit(" - "), town)
 

@@ -19,9 +19,16 @@ _WEEKEND = r"\b(fin de semana|cap de setmana)\b"
 _WEEK = r"\b(esta semana|aquesta setmana)\b"
 _NEAR = r"\b(cerca|alrededores|a la redonda|prop|voltants|a la rodona)\b"
 _FREE = r"\b(gratis|gratuit[oa]?s?|gratuites)\b"
-_KILOMETRES = r"(\d{1,5})\s*(?:km|kilometros?|quilometres?)\b"
-_EUROS = r"(?:menos de|menys de|maximo|maxim)\s+(\d{1,7}(?:[.,]\d{1,2})?)\s*(?:euros?|€)"
-NEAR_KM = 20
+_KILOMETRES = r"(?:^|[^\d.,])(\d{1,3}(?:\.\d{3})+|\d+)\s*(?:km|kilometros?|quilometres?)\b"
+_EUROS = (
+    r"(?:menos de|menys de|maximo|maxim)\s+"
+    r"(\d{1,3}(?:\.\d{3})+(?:,\d{1,2})?|\d+(?:[.,]\d{1,2})?)\s*(?:euros?|€)"
+)
+NEAR_KM, MOST_KM = 20, 100
+
+_EXTRACTED = [
+    "fechas", "fecha_inicio", "fecha_fin", "radio_km", "categorias", "es_gratuito", "precio_max"
+]
 
 
 def _coming(as_of: Column, day: str) -> Column:
@@ -41,6 +48,8 @@ def annotate(
 
     Categories are the slugs whose Spanish or Catalan name occurs as words.
     ``categories`` is the closed list of the catalog, gathered as one value.
+    A radius beyond 100 km makes the whole question invalid, as it does for
+    extracted parameters: it gets the default ones.
     """
     names = categories.agg(
         F.collect_set(
@@ -60,8 +69,12 @@ def annotate(
         .when(text.rlike(_TODAY), F.array(today))
     )
     week = F.col("fechas").isNull() & text.rlike(_WEEK)
-    stated = F.nullif(F.regexp_extract(text, _KILOMETRES, 1), F.lit("")).cast("int")
+    distance = F.nullif(F.regexp_extract(text, _KILOMETRES, 1), F.lit(""))
+    stated = F.replace(distance, F.lit(".")).try_cast("int")
     limit = F.nullif(F.regexp_extract(text, _EUROS, 1), F.lit(""))
+    limit = F.when(limit.rlike(r"^\d+(\.\d{3})+"), F.replace(limit, F.lit("."))).otherwise(limit)
+    # a number too long for the type is out of range as well
+    valid = distance.isNull() | F.coalesce(stated <= MOST_KM, F.lit(False))
     found = F.filter(
         "_nombres",
         lambda n: F.contains("_palabras", n["es"]) | F.contains("_palabras", n["cat"]),
@@ -77,11 +90,14 @@ def annotate(
         .withColumn("fecha_fin", F.when(week, _coming(today, "SUN")))
         .withColumn(
             "radio_km",
-            F.when(stated <= 100, stated).when(text.rlike(_NEAR), F.lit(NEAR_KM)),
+            F.when(distance.isNotNull(), stated).when(text.rlike(_NEAR), F.lit(NEAR_KM)),
         )
         .withColumn("categorias", F.array_sort(F.transform(found, lambda n: n["slug"])))
         .withColumn("conceptos", F.array(F.col(question)))
         .withColumn("es_gratuito", F.when(text.rlike(_FREE), F.lit(True)))
-        .withColumn("precio_max", F.replace(limit, F.lit(","), F.lit(".")).cast("double"))
-        .drop("_texto", "_palabras", "_nombres")
+        .withColumn("precio_max", F.replace(limit, F.lit(","), F.lit(".")).try_cast("double"))
+        .withColumn("_valida", valid)
+        .withColumns({name: F.when(F.col("_valida"), F.col(name)) for name in _EXTRACTED})
+        .withColumn("categorias", F.coalesce("categorias", F.array().cast("array<string>")))
+        .drop("_texto", "_palabras", "_nombres", "_valida")
     )

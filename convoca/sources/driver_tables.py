@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from convoca.functions.text import padded
 from convoca.sources.catalog import Catalog
 
 
@@ -34,21 +35,12 @@ class DriverTables:
         )
 
     def codigos_postales(self) -> DataFrame:
-        # five digits hold 100,000 codes: further customers share one, the first defines it
-        k = F.col("k")
-        return (
-            self.table("customer")
-            .groupBy(_cp(F.col("c_custkey")).alias("cp"))
-            .agg(
-                F.min("c_custkey").alias("k"),
-                F.min_by("c_nationkey", "c_custkey").alias("id_ciudad"),
-            )
-            .select(
-                "cp",
-                "id_ciudad",
-                (40 + ((k * 7919) % 10000).cast("double") / 5000).alias("latitud"),
-                (1 + ((k * 104729) % 10000).cast("double") / 4000).alias("longitud"),
-            )
+        k = F.col("c_custkey")
+        return self.table("customer").select(
+            _cp(k).alias("cp"),
+            F.col("c_nationkey").alias("id_ciudad"),
+            (40 + ((k * 7919) % 10000).cast("double") / 5000).alias("latitud"),
+            (1 + ((k * 104729) % 10000).cast("double") / 4000).alias("longitud"),
         )
 
     def categorias(self) -> DataFrame:
@@ -286,7 +278,7 @@ class DriverTables:
             self.table("supplier").select(
                 (-1 - k).alias("request_id"),
                 k.alias("k"),
-                F.concat(F.lit("x"), F.lpad(k.cast("string"), 4, "0")).alias("cp_usuario"),
+                F.concat(F.lit("x"), padded(k, 4)).alias("cp_usuario"),
                 (20 + 40 * (k % 3)).cast("int").alias("radio_km"),
             )
         )
@@ -300,4 +292,4 @@ def event_id(key: Column) -> Column:
 
 
 def _cp(key: Column) -> Column:
-    return F.lpad(key.cast("string"), 5, "0")
+    return padded(key, 5)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-_CP = "lpad(CAST({} AS VARCHAR), 5, '0')"
+_PAD = "lpad(CAST({0} AS VARCHAR), CAST(greatest({1}, length(CAST({0} AS VARCHAR))) AS INTEGER), '0')"
+_CP = _PAD.replace("{1}", "5")
 _EVENT = "sha256('orden-' || CAST({} AS VARCHAR))"
 
 CTES = {
@@ -10,12 +11,10 @@ CTES = {
   SELECT n_nationkey AS id_ciudad, n_name AS nombre, r_name AS provincia
   FROM nation JOIN region ON n_regionkey = r_regionkey""",
     "codigos_postales": f"""
-  SELECT cp, id_ciudad,
-         40e0 + CAST((k * 7919) % 10000 AS DOUBLE) / 5000e0 AS latitud,
-         1e0 + CAST((k * 104729) % 10000 AS DOUBLE) / 4000e0 AS longitud
-  FROM (SELECT {_CP.format('c_custkey')} AS cp, min(c_custkey) AS k,
-               arg_min(c_nationkey, c_custkey) AS id_ciudad
-        FROM customer GROUP BY 1)""",
+  SELECT {_CP.format('c_custkey')} AS cp, c_nationkey AS id_ciudad,
+         40e0 + CAST((c_custkey * 7919) % 10000 AS DOUBLE) / 5000e0 AS latitud,
+         1e0 + CAST((c_custkey * 104729) % 10000 AS DOUBLE) / 4000e0 AS longitud
+  FROM customer""",
     "categorias": """
   SELECT CAST(row_number() OVER (ORDER BY p_type) AS INTEGER) AS id_categoria,
          p_type AS nombre_es, p_type || ' CAT' AS nombre_cat, lower(p_type) AS slug,
@@ -90,7 +89,7 @@ CTES = {
            CASE c_custkey % 4 WHEN 1 THEN 0 WHEN 2 THEN 20 WHEN 3 THEN 60 END AS radio_km
     FROM customer
     UNION ALL
-    SELECT -1 - s_suppkey, s_suppkey, 'x' || lpad(CAST(s_suppkey AS VARCHAR), 4, '0'),
+    SELECT -1 - s_suppkey, s_suppkey, 'x' || {_PAD.format('s_suppkey', 4)},
            20 + 40 * (s_suppkey % 3) FROM supplier))""",
     "alcance": """
   SELECT DISTINCT s.cp_usuario, s.radio_km, b.cp,
@@ -215,6 +214,18 @@ def candidates(conditions: str = ALL_CONDITIONS, where: str = "true") -> str:
     )
 
 
+# parameters as a model may send them: the first six are refused, the others converted
+ODD_PARAMETERS = [
+    '{"idioma":"es","radio_km":"abc"}',
+    '{"idioma":"es","radio_km":20.5}',
+    '{"idioma":"es","categorias":null}',
+    '{"idioma":"es","fechas":["mala"]}',
+    '{"idioma":"es"} y nada más',
+    '{"idioma":5}',
+    '{"idioma":"es","radio_km":"20"}',
+    '{"idioma":"es","precio_max":"12.5"}',
+    '{"idioma":"es","es_gratuito":"true","fecha_inicio":"2024-05-03","otro":[1,{"a":null}]}',
+]
 QUESTION_ENDINGS = [
     "¿Qué hacer este fin de semana?",
     "Què fer aquest cap de setmana?",
@@ -231,6 +242,10 @@ QUESTION_ENDINGS = [
     "este sábado en los alrededores",
     "avui",
     "negocios y promociones",
+    "gratis en 2000000 km",
+    "algo cerca, a 100020 km",
+    "menos de 12345678 euros",
+    "máximo 1.500,50 euros, a 7 km",
 ]
 
 
@@ -275,29 +290,30 @@ def _annotation() -> str:
     iso = "strftime({}, '%Y-%m-%d')"
     limit = (
         "nullif(regexp_extract(t, '(?:menos de|menys de|maximo|maxim)\\s+"
-        "(\\d{1,7}(?:[.,]\\d{1,2})?)\\s*(?:euros?|€)', 1), '')"
+        "(\\d{1,3}(?:\\.\\d{3})+(?:,\\d{1,2})?|\\d+(?:[.,]\\d{1,2})?)\\s*(?:euros?|€)', 1), '')"
     )
     return with_tables(
         "categorias",
         f"""SELECT conv_id, turn, as_of,
   CASE WHEN contains(lower(pregunta), 'qué') OR contains(lower(pregunta), 'dónde')
          OR contains(lower(pregunta), 'cuándo') THEN 'es' ELSE 'ca' END AS idioma,
-  fechas,
-  CASE WHEN semana THEN as_of END AS fecha_inicio,
-  CASE WHEN semana THEN {sunday} END AS fecha_fin,
-  CASE WHEN km <= 100 THEN km
+  CASE WHEN valida THEN fechas END AS fechas,
+  CASE WHEN valida AND semana THEN as_of END AS fecha_inicio,
+  CASE WHEN valida AND semana THEN {sunday} END AS fecha_fin,
+  CASE WHEN NOT valida THEN NULL WHEN km IS NOT NULL THEN CAST(km AS INTEGER)
        WHEN regexp_matches(t, '\\b(cerca|alrededores|a la redonda|prop|voltants|a la rodona)\\b') THEN 20 END AS radio_km,
-  coalesce(categorias, '') AS categorias, pregunta AS conceptos,
-  CASE WHEN regexp_matches(t, '\\b(gratis|gratuit[oa]?s?|gratuites)\\b') THEN true END AS es_gratuito,
-  CAST(replace(limite, ',', '.') AS DOUBLE) AS precio_max
-FROM (SELECT *, fechas IS NULL AND regexp_matches(t, '\\b(esta semana|aquesta setmana)\\b') AS semana
+  CASE WHEN valida THEN coalesce(categorias, '') ELSE '' END AS categorias, pregunta AS conceptos,
+  CASE WHEN valida AND regexp_matches(t, '\\b(gratis|gratuit[oa]?s?|gratuites)\\b') THEN true END AS es_gratuito,
+  CASE WHEN valida THEN CAST(replace(CASE WHEN regexp_matches(limite, '^\\d+(\\.\\d{{3}})+') THEN replace(limite, '.', '') ELSE limite END,
+    ',', '.') AS DOUBLE) END AS precio_max
+FROM (SELECT *, coalesce(km, 0) <= 100 AS valida, fechas IS NULL AND regexp_matches(t, '\\b(esta semana|aquesta setmana)\\b') AS semana
   FROM (SELECT *, CASE
       WHEN regexp_matches(t, '\\b(fin de semana|cap de setmana)\\b')
         THEN {iso.format(saturday)} || ',' || {iso.format(saturday + " + 1")}
       WHEN regexp_matches(t, '\\b(este sabado|aquest dissabte)\\b') THEN {iso.format(saturday)}
       WHEN regexp_matches(t, '\\b(manana|dema)\\b') THEN {iso.format("as_of + 1")}
       WHEN regexp_matches(t, '\\b(hoy|avui)\\b') THEN {iso.format("as_of")} END AS fechas,
-      CAST(nullif(regexp_extract(t, '(\\d{{1,5}})\\s*(?:km|kilometros?|quilometres?)\\b', 1), '') AS INTEGER) AS km,
+      CAST(nullif(replace(regexp_extract(t, '(?:^|[^\\d.,])(\\d{{1,3}}(?:\\.\\d{{3}})+|\\d+)\\s*(?:km|kilometros?|quilometres?)\\b', 1), '.', ''), '') AS HUGEINT) AS km,
       {limit} AS limite,
       (SELECT string_agg(slug, ',' ORDER BY slug) FROM categorias
        WHERE contains({_words('pregunta')}, {_words('nombre_es')})
@@ -488,8 +504,8 @@ FROM eventos""",
         ),
         "upsert_postcodes": with_tables(
             "codigos_postales",
-            """SELECT cp, id_ciudad, latitud + 0.5e0 AS latitud, longitud FROM codigos_postales
-UNION ALL SELECT 'n' || lpad(CAST(s_suppkey AS VARCHAR), 4, '0'), s_nationkey, 41.5e0, 2.5e0 FROM supplier""",
+            f"""SELECT cp, id_ciudad, latitud + 0.5e0 AS latitud, longitud FROM codigos_postales
+UNION ALL SELECT 'n' || {_PAD.format('s_suppkey', 4)}, s_nationkey, 41.5e0, 2.5e0 FROM supplier""",
         ),
         "upsert_cities": with_tables(
             "ciudades",
@@ -598,18 +614,19 @@ FROM (SELECT conv_id, turn,
          WHEN conv_id % 11 <> 5 THEN text END AS q,
     CASE WHEN conv_id % 7 = 1 THEN substr(c, 3, 3) WHEN conv_id % 7 = 2 THEN c || chr(10)
          WHEN conv_id % 7 = 3 THEN 'x' || substr(c, 2, 4) WHEN conv_id % 21 <> 4 THEN c END AS cp_usuario
-  FROM (SELECT *, lpad(CAST(conv_id AS VARCHAR), 5, '0') AS c FROM conversations))""",
+  FROM (SELECT *, {_CP.format('conv_id')} AS c FROM conversations))""",
         "parameter_validation": """SELECT conv_id, turn, ok AS extraidos,
-  CASE WHEN ok THEN CASE WHEN conv_id % 2 = 0 THEN 'es' ELSE 'ca' END
+  CASE WHEN p >= 15 THEN 'es' WHEN ok THEN CASE WHEN conv_id % 2 = 0 THEN 'es' ELSE 'ca' END
        WHEN contains(lower(text), 'qué') OR contains(lower(text), 'dónde') OR contains(lower(text), 'cuándo')
        THEN 'es' ELSE 'ca' END AS idioma,
-  CASE WHEN ok THEN DATE '2024-05-01' + CAST(conv_id % 28 AS INTEGER) END AS fecha_inicio,
+  CASE WHEN p = 17 THEN DATE '2024-05-03' WHEN p < 7 AND ok THEN DATE '2024-05-01' + CAST(conv_id % 28 AS INTEGER) END AS fecha_inicio,
   CAST(NULL AS DATE) AS fecha_fin,
-  CASE WHEN ok THEN CAST(conv_id % 130 AS INTEGER) END AS radio_km,
-  CASE WHEN ok THEN 'Música,x' || CAST(conv_id % 3 AS VARCHAR) ELSE '' END AS categorias,
+  CASE WHEN p = 15 THEN 20 WHEN p < 7 AND ok THEN CAST(conv_id % 130 AS INTEGER) END AS radio_km,
+  CASE WHEN p < 7 AND ok THEN 'Música,x' || CAST(conv_id % 3 AS VARCHAR) ELSE '' END AS categorias,
   CASE WHEN ok THEN '' ELSE text END AS conceptos,
-  CASE WHEN ok AND conv_id % 3 = 0 THEN true END AS es_gratuito,
-  CASE WHEN ok THEN CAST(conv_id % 40 - 5 AS DOUBLE) + 0.5e0 END AS precio_max
-FROM (SELECT *, conv_id % 9 < 7 AND conv_id % 130 <= 100 AND conv_id % 40 >= 5 AS ok FROM conversations)""",
+  CASE WHEN p = 17 OR p < 7 AND ok AND conv_id % 3 = 0 THEN true END AS es_gratuito,
+  CASE WHEN p = 16 THEN 12.5e0 WHEN p < 7 AND ok THEN CAST(conv_id % 40 - 5 AS DOUBLE) + 0.5e0 END AS precio_max
+FROM (SELECT *, conv_id % 18 AS p, conv_id % 18 >= 15 OR
+        conv_id % 18 < 7 AND conv_id % 130 <= 100 AND conv_id % 40 >= 5 AS ok FROM conversations)""",
         "annotate_questions": _annotation(),
     }
