@@ -8,28 +8,56 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+STAGED = "staged-"
 # rows of a narrow table that every executor can hold
 BROADCAST_ROWS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder of the session; a local one only where none is set."""
+    """The checkpoint folder of the session.
+
+    Where none is set, one below the user's home on the default file system is
+    made; only a session in a single process, whose default is the local disk,
+    takes a temporary folder.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="convoca-")
-        )
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and context.master.startswith("local") and not context.master.startswith("local-"):
+            folder = tempfile.mkdtemp(prefix="convoca-")
+        if folder is None:
+            files = _file_system(spark)
+            if files.getUri().getScheme() == "file":
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = f"{files.getHomeDirectory()}/.convoca-staging"
+        context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
+def _file_system(spark: SparkSession):
+    jvm = spark.sparkContext._jvm
+    return jvm.org.apache.hadoop.fs.FileSystem.get(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def clear_staged(spark: SparkSession) -> None:
+    """Remove what ``stage`` has written in this session. Tables read from it are gone with it."""
+    folder = spark.sparkContext.getCheckpointDir()
+    if folder is not None:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for status in files.listStatus(path) if files.exists(path) else []:
+            if status.getPath().getName().startswith(STAGED):
+                files.delete(status.getPath(), True)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and continue from the files.
 
     Everything before is done once however often the result is used, a lost
     executor costs no recomputation, and the file sizes give the planner real
-    statistics.
+    statistics. ``clear_staged`` removes the files.
     """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/{STAGED}{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
