@@ -277,8 +277,8 @@ def _known_parts(docs: DataFrame, head: Head) -> DataFrame:
                     *batch.columns[:3],
                     pa.array(np.bincount(doc, minlength=m).astype(np.int64)),
                     pa.array(np.bincount(doc[inside], minlength=m).astype(np.int64)),
-                    pa.array(np.bincount(doc[inside], logs, minlength=m)),
-                    pa.array(np.bincount(doc[seen], part, minlength=m)),
+                    pa.array(np.bincount(doc[inside], logs, minlength=m), pa.float64()),
+                    pa.array(np.bincount(doc[seen], part, minlength=m), pa.float64()),
                     pa.ListArray.from_arrays(offsets, pairs),
                 ],
                 names=["row", "doc_id", "held_out", "n_tokens", "head_known", "head_logs", "pairs_part", "others"],
@@ -449,7 +449,7 @@ def _evaluated(summaries: DataFrame, d: np.ndarray, hot_alpha: np.ndarray) -> Da
                     weight = np.where(hot >= 0, hot_alpha[np.maximum(hot, 0)], alpha[one["un_context"]])
                     at = np.searchsorted(rows, one["un_rows"])
                     part = part + np.bincount(at, one["un_n"] * weight + one["un_logs"], minlength=len(rows))
-                yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(part)], names=["row", "part"])
+                yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(part, pa.float64())], names=["row", "part"])
 
     columns = ["rows", "known", "few", "un_rows", "un_context", "un_hot", "un_n", "un_logs", "context_stats"]
     return summaries.select(*columns).mapInArrow(run, "row bigint, part double")
