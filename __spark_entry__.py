@@ -3,18 +3,29 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import oracles
-from convoca.functions.text import decode_tags, encode_list, full_title, padded, short_description
+from convoca import schemas
+from convoca.functions.text import (
+    decode_tags,
+    decode_vector,
+    embedding_text,
+    encode_list,
+    full_title,
+    padded,
+    short_description,
+)
+from convoca.functions.vectors import norm, usable
 from convoca.operators.annotate import annotate
 from convoca.operators.earliest import earliest_candidates
 from convoca.operators.quality import (
+    all_duplicates,
     blockers,
     delete_parents,
-    duplicate_keys,
     orphans,
     vector_sizes,
     violations,
@@ -25,7 +36,8 @@ from convoca.operators.rank import semantic_rank, with_scores
 from convoca.operators.upsert import append_numbered, event_key, insert_missing, resolve_unique, upsert
 from convoca.operators.validate import check_requests, parameters_from_json
 from convoca.plans import search as S
-from convoca.plans.views import active_categories, active_events, complete_events
+from convoca.plans.ingest import load_batch
+from convoca.plans.views import COMPLETE_EVENTS, active_categories, active_events, complete_events, register_views
 from convoca.sources.driver_tables import DriverTables, event_id
 from convoca.sources.staging import stage
 
@@ -74,7 +86,8 @@ def _ranked(data: DriverTables) -> tuple[DataFrame, DataFrame]:
 
 def active_events_by_start(spark: SparkSession, folder: str) -> DataFrame:
     catalog = DriverTables(spark, folder).catalog()
-    return active_events(catalog, "es").drop("latitud", "longitud")
+    spanish = active_events(catalog, "es").withColumn("idioma", F.lit("es"))
+    return spanish.unionByName(active_events(catalog, "ca").withColumn("idioma", F.lit("ca")))
 
 
 def unknown_origin_unfiltered(spark: SparkSession, folder: str) -> DataFrame:
@@ -152,6 +165,10 @@ def search_envelope(spark: SparkSession, folder: str) -> DataFrame:
     return answers.withColumn("eventos", ids)
 
 
+def _days(days):
+    return F.array_join(F.transform(days, lambda d: F.date_format(d, "yyyy-MM-dd")), ",")
+
+
 def search_debug(spark: SparkSession, folder: str) -> DataFrame:
     data = DriverTables(spark, folder)
     candidates, ranked = _ranked(data)
@@ -160,7 +177,13 @@ def search_debug(spark: SparkSession, folder: str) -> DataFrame:
         "request_id",
         F.array_join("codigos_postales", ",").alias("codigos_postales"),
         "num_codigos",
-        F.col("parametros_extraidos.radio_km").alias("radio_km"),
+        *[
+            F.col(f"parametros_extraidos.{name}").alias(name)
+            for name in ("idioma", "fecha_inicio", "fecha_fin", "radio_km", "es_gratuito", "precio_max")
+        ],
+        _days(F.array_distinct("parametros_extraidos.fechas")).alias("fechas"),
+        F.array_join("parametros_extraidos.categorias", ",").alias("categorias"),
+        embedding_text(F.col("parametros_extraidos.conceptos")).alias("texto_consulta"),
         "eventos_pre_filtrado",
         "eventos_post_semantica",
     )
@@ -172,9 +195,9 @@ def complete_events_view(spark: SparkSession, folder: str) -> DataFrame:
 
 def category_catalog(spark: SparkSession, folder: str) -> DataFrame:
     categories = DriverTables(spark, folder).categorias()
-    spanish = active_categories(categories, "es").withColumn("idioma", F.lit("es"))
+    spanish = active_categories(categories, "es", ordered=False).withColumn("idioma", F.lit("es"))
     return spanish.unionByName(
-        active_categories(categories, "ca").withColumn("idioma", F.lit("ca"))
+        active_categories(categories, "ca", ordered=False).withColumn("idioma", F.lit("ca"))
     )
 
 
@@ -291,47 +314,92 @@ def event_keys(spark: SparkSession, folder: str) -> DataFrame:
 
 def tags_json_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     events = DriverTables(spark, folder).eventos_master()
-    tags = decode_tags(events, "tags_cat")
-    return events.select(
-        "id_unico_evento",
-        tags.isNotNull().alias("convertible"),
-        F.when(tags.isNotNull(), F.size(tags)).alias("num_tags"),
-        encode_list(tags).alias("tags_json"),
+
+    def decoded(name: str) -> DataFrame:
+        tags = decode_tags(events, f"tags_{name}")
+        return events.select(
+            "id_unico_evento",
+            F.lit(name).alias("idioma"),
+            tags.isNotNull().alias("convertible"),
+            F.when(tags.isNotNull(), F.size(tags)).alias("num_tags"),
+            encode_list(tags).alias("tags_json"),
+        )
+
+    return decoded("es").unionByName(decoded("cat"))
+
+
+def json_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors kept as JSON text: some absent, cut short, or of something else than numbers."""
+    vectors = DriverTables(spark, folder).table("embeddings")
+    number = F.col("vec_id")
+    text = F.to_json(F.col("embedding").cast("array<double>"))
+    stored = vectors.select(
+        "vec_id",
+        F.when(number % 7 == 1, F.substring(text, 1, 20))
+        .when(number % 7 == 2, F.lit('{"a":1}'))
+        .when(number % 7 == 3, F.lit(None).cast("string"))
+        .when(number % 7 == 4, F.lit("[1.0,null,2.0]"))
+        .otherwise(text)
+        .alias("texto"),
     )
+    vector = usable(decode_vector(stored, "texto"))
+    return stored.select("vec_id", F.size(vector).alias("dimension"), F.round(norm(vector), 3).alias("norma"))
+
+
+def _twice(df: DataFrame, again) -> DataFrame:
+    return df.unionByName(df.filter(again))
 
 
 def _damaged(data: DriverTables) -> dict[str, DataFrame]:
     """Tables with missing parents, repeated rows, NULLs and foreign values."""
     number = F.substring("titulo_es", 8, 30).cast("bigint")
     events = data.eventos_master().withColumn("clave", number).filter("clave % 13 <> 0")
-    events = events.unionByName(events.filter("clave % 7 = 0")).select(
+    key = F.col("clave")
+    events = _twice(events, "clave % 7 = 0").select(
         "id_unico_evento",
-        F.when(F.col("clave") % 19 == 0, "BORRADOR").otherwise(F.col("estado")).alias("estado"),
-        F.when(F.col("clave") % 23 != 0, F.col("cp_evento")).alias("cp_evento"),
+        F.when(key % 41 == 0, "ROBOT").otherwise(F.col("metodo_ingesta")).alias("metodo_ingesta"),
+        F.when(key % 43 == 0, "OTRA").otherwise(F.col("fuente_id")).alias("fuente_id"),
+        F.when(key % 19 == 0, "BORRADOR").otherwise(F.col("estado")).alias("estado"),
+        F.when(key % 47 == 0, "NADIE").when(key % 3 == 0, "PUBLICO").when(key % 3 == 1, "PRIVADO").alias(
+            "tipo_organizador"
+        ),
+        F.when(key % 23 != 0, F.col("cp_evento")).alias("cp_evento"),
         "id_ciudad",
+        "id_familia",
         "poblacion_nombre",
-        F.when(F.col("clave") % 29 != 0, F.col("titulo_es")).alias("titulo_es"),
+        "es_gratuito",
+        F.when(key % 29 != 0, F.col("titulo_es")).alias("titulo_es"),
     )
     audit = data.auditoria_scraping().withColumn(
         "resultado",
         F.when(F.col("id_auditoria") % 31 == 0, "FATAL").otherwise(F.col("resultado")),
     )
     kind = data.table("part").select("p_partkey", F.col("p_type").alias("nombre_es"))
-    number = data.categorias().select("nombre_es", "id_categoria")
+    numbers = data.categorias().select("nombre_es", "id_categoria")
     repeated = (
         data.table("lineitem")
-        .join(kind.join(number, "nombre_es"), F.col("l_partkey") == F.col("p_partkey"))
+        .join(kind.join(numbers, "nombre_es"), F.col("l_partkey") == F.col("p_partkey"))
         .select(event_id(F.col("l_orderkey")).alias("id_unico_evento"), "id_categoria")
     )
+    # the same names in another spelling, under other numbers
+    cities = data.ciudades().filter("id_ciudad % 6 <> 0")
+    other = cities.filter("id_ciudad % 4 = 1").withColumns(
+        {"id_ciudad": F.col("id_ciudad") + 100, "nombre": F.translate(F.lower("nombre"), "a", "á")}
+    )
+    categories = data.categorias().filter("id_categoria <> 2")
+    shouted = categories.filter("id_categoria % 3 = 0").withColumns(
+        {"id_categoria": F.col("id_categoria") + 100, "slug": F.upper("slug")}
+    )
     return {
-        "ciudades": data.ciudades().filter("id_ciudad % 6 <> 0"),
-        "codigos_postales": data.codigos_postales(),
-        "categorias": data.categorias().filter("id_categoria <> 2"),
-        "fuentes_familia": data.fuentes_familia(),
+        "ciudades": cities.unionByName(other),
+        "codigos_postales": _twice(data.codigos_postales(), "cast(cp as bigint) % 9 = 0"),
+        "categorias": categories.unionByName(shouted),
+        "fuentes_familia": _twice(data.fuentes_familia(), "cast(id_familia as bigint) % 4 = 0"),
         "eventos_master": events,
         "evento_categorias": repeated,
-        "evento_horarios": data.evento_horarios(),
-        "auditoria_scraping": audit,
+        "evento_horarios": _twice(data.evento_horarios(), "id_horario % 11 = 0"),
+        "binarios_storage": _twice(data.binarios_storage(), "id_binario % 5 = 0"),
+        "auditoria_scraping": _twice(audit, "id_auditoria % 37 = 0"),
     }
 
 
@@ -340,23 +408,12 @@ def fk_orphans(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def key_duplicates(spark: SparkSession, folder: str) -> DataFrame:
-    tables = _damaged(DriverTables(spark, folder))
-    events = duplicate_keys(tables["eventos_master"], ["id_unico_evento"]).select(
-        F.lit("eventos_master").alias("tabla"), F.col("id_unico_evento").alias("clave"), "filas"
-    )
-    pairs = duplicate_keys(tables["evento_categorias"], ["id_unico_evento", "id_categoria"]).select(
-        F.lit("evento_categorias").alias("tabla"),
-        F.concat_ws("/", "id_unico_evento", F.col("id_categoria").cast("string")).alias("clave"),
-        "filas",
-    )
-    return events.unionByName(pairs)
+    return all_duplicates(_damaged(DriverTables(spark, folder)))
 
 
 def null_and_enum_violations(spark: SparkSession, folder: str) -> DataFrame:
     tables = _damaged(DriverTables(spark, folder))
-    return violations(tables["eventos_master"], "eventos_master").unionByName(
-        violations(tables["auditoria_scraping"], "auditoria_scraping")
-    )
+    return reduce(DataFrame.unionByName, [violations(df, name) for name, df in tables.items()])
 
 
 def _after_delete(data: DriverTables, *names: str) -> dict[str, DataFrame]:
@@ -387,23 +444,119 @@ def restricted_delete(spark: SparkSession, folder: str) -> DataFrame:
     data = DriverTables(spark, folder)
     tables = {
         name: getattr(data, name)()
-        for name in ("ciudades", "codigos_postales", "fuentes_familia", "eventos_master")
+        for name in (
+            "ciudades", "codigos_postales", "fuentes_familia", "categorias", "eventos_master", "evento_categorias"
+        )
+    }
+    deleted = {
+        "ciudades": "provincia = 'ASIA'",
+        "codigos_postales": "cast(cp as bigint) % 10 = 7",
+        "fuentes_familia": "cast(id_familia as bigint) % 5 = 0",
+        "categorias": "id_categoria = 1",
     }
-    return blockers(tables, "ciudades", tables["ciudades"].filter("provincia = 'ASIA'"))
+    held = [
+        blockers(tables, name, tables[name].filter(which)).withColumn("padre", F.lit(name))
+        for name, which in deleted.items()
+    ]
+    return reduce(DataFrame.unionByName, held)
 
 
 def column_defaults(spark: SparkSession, folder: str) -> DataFrame:
-    events = DriverTables(spark, folder).eventos_master().withColumn(
-        "estado", F.when(F.col("estado") != "ACTIVO", F.col("estado"))
-    )
-    return with_defaults(events, "eventos_master").select(
-        "id_unico_evento", "estado", "es_patrocinado"
-    )
+    """Columns that have a default, some NULL and some absent, as they are stored."""
+    data = DriverTables(spark, folder)
+    tables = {
+        "categorias": data.categorias().drop("activo").withColumn("orden", F.when(F.col("id_categoria") % 2 == 0, F.col("orden"))),
+        "eventos_master": data.eventos_master()
+        .drop("fecha_creacion")
+        .withColumn("estado", F.when(F.col("estado") != "ACTIVO", F.col("estado"))),
+        "evento_horarios": data.evento_horarios(),
+        "binarios_storage": data.binarios_storage().withColumn(
+            "fecha_sincronizacion", F.when(F.col("id_binario") % 2 == 0, F.col("fecha_sincronizacion"))
+        ),
+        "auditoria_scraping": data.auditoria_scraping().withColumn(
+            "resultado", F.when(F.col("resultado") != "WARNING", F.col("resultado"))
+        ),
+    }
+    shown = {
+        "categorias": ["orden", "activo"],
+        "eventos_master": ["estado", "es_patrocinado"],
+        "evento_horarios": ["es_recurrente"],
+        "binarios_storage": [],
+        "auditoria_scraping": ["resultado"],
+    }
+    stamps = {"eventos_master": "fecha_creacion", "binarios_storage": "fecha_sincronizacion", "auditoria_scraping": "fecha_ejecucion"}
+    out = []
+    for name, df in tables.items():
+        filled = with_defaults(df, name)
+        values = [F.col(c).cast("string") for c in shown[name]]
+        # a load time has no fixed value
+        values += [F.col(stamps[name]).isNotNull().cast("string")] if name in stamps else []
+        key = F.concat_ws("/", *[F.col(c).cast("string") for c in schemas.PRIMARY_KEYS[name]])
+        out.append(filled.select(F.lit(name).alias("tabla"), key.alias("clave"), F.concat_ws("/", *values).alias("valores")))
+    return reduce(DataFrame.unionByName, out)
 
 
 def embedding_dimension(spark: SparkSession, folder: str) -> DataFrame:
     vectors = DriverTables(spark, folder).evento_vectores()
-    return vector_sizes(vectors, "tags_embedding_es", 64)
+    sizes = [
+        vector_sizes(vectors, name, 64).withColumn("columna", F.lit(name))
+        for name in ("tags_embedding_es", "tags_embedding_cat")
+    ]
+    return sizes[0].unionByName(sizes[1])
+
+
+def upsert_categories(spark: SparkSession, folder: str) -> DataFrame:
+    """Half of the categories come again under other numbers: their slug says which they are."""
+    target = DriverTables(spark, folder).categorias()
+    again = target.filter("id_categoria % 2 = 0").select(
+        (F.col("id_categoria") + 1000).alias("id_categoria"),
+        F.concat("nombre_es", F.lit(" nuevo")).alias("nombre_es"),
+        F.lit("nou").alias("nombre_cat"),
+        F.upper("slug").alias("slug"),
+        F.lit(99).alias("orden"),
+        F.lit(False).alias("activo"),
+        F.lit(1).alias("seq"),
+    )
+    other = target.filter("id_categoria = 1").select(
+        F.lit(500).alias("id_categoria"), F.lit("Otra").alias("nombre_es"), F.lit("Altra").alias("nombre_cat"),
+        F.lit("otra").alias("slug"), "orden", F.lit(True).alias("activo"), F.lit(2).alias("seq"),
+    )
+    batch = resolve_unique(target, again.unionByName(other), "id_categoria", "slug", "seq")
+    return upsert(target, batch, ["id_categoria"], schemas.UPSERT_UPDATES["categorias"], "seq")
+
+
+def load_batch_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """A batch of rows for every table; rows and a checksum of the keys of each afterwards."""
+    data = DriverTables(spark, folder)
+    tables = {name: getattr(data, name)() for name in schemas.TABLES}
+    batch = {name: df.limit(0).withColumn("seq", F.lit(1)) for name, df in tables.items()}
+    batch |= {
+        name: tables[name].withColumn("seq", F.lit(1))
+        for name in ("ciudades", "codigos_postales", "categorias", "evento_categorias", "binarios_storage")
+    }
+    batch["fuentes_familia"] = tables["fuentes_familia"].withColumns(
+        {"id_familia": F.concat(F.lit("n"), "id_familia"), "seq": F.lit(1)}
+    )
+    batch["auditoria_scraping"] = tables["auditoria_scraping"].filter("id_auditoria % 2 = 0").withColumn("seq", F.lit(1))
+    loaded = load_batch(tables, batch)
+    out = []
+    for name, df in loaded.items():
+        key = F.concat_ws("/", *[F.col(c).cast("string") for c in schemas.PRIMARY_KEYS[name]])
+        out.append(
+            df.select(key.alias("k")).agg(
+                F.lit(name).alias("tabla"), F.count(F.lit(1)).alias("filas"), F.sum(F.length("k")).alias("largo"), F.min("k").alias("primera")
+            )
+        )
+    return reduce(DataFrame.unionByName, out)
+
+
+def events_view_by_town(spark: SparkSession, folder: str) -> DataFrame:
+    """The view of complete events, asked in SQL."""
+    register_views(DriverTables(spark, folder).catalog())
+    return spark.sql(
+        f"""SELECT poblacion_nombre, categorias_slugs, count(*) AS filas, min(fecha_inicio) AS primera
+        FROM {COMPLETE_EVENTS} WHERE es_gratuito GROUP BY poblacion_nombre, categorias_slugs"""
+    )
 
 
 def events_loaded(spark: SparkSession, folder: str) -> DataFrame:
@@ -468,7 +621,7 @@ def annotate_questions(spark: SparkSession, folder: str) -> DataFrame:
         F.concat("text", F.lit(" "), ending).alias("pregunta"),
         F.date_add(F.lit("2024-01-01").cast("date"), (c % 7).cast("int")).alias("as_of"),
     )
-    days = F.array_join(F.transform("fechas", lambda d: F.date_format(d, "yyyy-MM-dd")), ",")
+    days = _days("fechas")
     return (
         annotate(rows, data.categorias())
         .withColumn("fechas", days)
@@ -527,6 +680,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "request_validation": request_validation,
         "parameter_validation": parameter_validation,
         "annotate_questions": annotate_questions,
+        "json_vectors": json_vectors,
+        "upsert_categories": upsert_categories,
+        "load_batch_tables": load_batch_tables,
+        "events_view_by_town": events_view_by_town,
         **LLM_QUERIES,
     }
 

@@ -83,6 +83,14 @@ def padded(number: Column, width: int) -> Column:
     return F.lpad(text, F.greatest(F.lit(width), F.length(text)), F.lit("0"))
 
 
+def embedding_text(concepts: Column) -> Column:
+    """The text whose embedding stands for a question: its concepts, joined by blanks."""
+    return F.array_join(concepts, " ")
+
+
+# --- fixed values: the templates of titles and descriptions
+
+
 def full_title(title: Column, town: Column) -> Column:
     return F.concat(title, F.lit(" - "), town)
 

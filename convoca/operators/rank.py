@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from convoca.functions.text import decode_tags, decode_vector
 from convoca.functions.vectors import cosine, norm, usable
 from convoca.sources.catalog import Catalog
-from convoca.sources.staging import broadcast_if_small
+from convoca.sources.staging import broadcast_if_small, stage
 
 # column suffix -> the requests that read it; anything but 'es' means Catalan
 LANGUAGES = {"es": "idioma = 'es'", "cat": "idioma is distinct from 'es'"}
@@ -34,21 +34,27 @@ def with_scores(
     ``missing``. Each language reads only its own vector column, and only for
     events that are candidates of a request that has concepts.
     """
-    asking = requests.select(
-        "request_id",
-        "idioma",
-        (F.size(F.coalesce("conceptos", F.array().cast("array<string>"))) > 0).alias("semantica"),
-        F.col("query_embedding").alias("consulta"),
+    semantic = F.size(F.coalesce("conceptos", F.array().cast("array<string>"))) > 0
+    asking = stage(requests.select("request_id", "idioma", semantic.alias("semantica")), "consultas")
+    # the norm of a question's vector is worked out once, before it meets its candidates
+    queries = stage(
+        requests.filter(semantic).select(
+            "request_id",
+            "idioma",
+            F.col("query_embedding").alias("consulta"),
+            norm(usable(F.col("query_embedding"))).alias("norma_consulta"),
+        ),
+        "vectores-consulta",
     )
     scored = []
     for language, applies in LANGUAGES.items():
+        ids = candidates.join(asking.filter("semantica").filter(applies), "request_id", "left_semi")
         ours = candidates.join(
-            asking.filter("semantica").filter(applies).select("request_id", "consulta"), "request_id"
+            queries.filter(applies).select("request_id", "consulta", "norma_consulta"), "request_id"
         )
-        ours = ours.withColumn("norma_consulta", norm(usable(F.col("consulta"))))
         column = f"tags_embedding_{language}"
         events = (
-            only_needed(vectors.select("id_unico_evento", column), ours)
+            only_needed(vectors.select("id_unico_evento", column), ids)
             .select("id_unico_evento", usable(decode_vector(vectors, column)).alias("vector"))
             .withColumn("norma", norm(F.col("vector")))
         )

@@ -24,6 +24,7 @@ _FOUND = {
     "es": "He encontrado %d eventos para ti.",
 }
 
+# --- fixed values: the columns of a result
 RESULT_COLUMNS = [
     "request_id",
     "rank",
@@ -133,7 +134,7 @@ def _detailed(ranked: DataFrame, requests: DataFrame, catalog: Catalog) -> DataF
         "similitud",
     )
     rows = ranked.join(requests.select("request_id", "idioma", "cp_usuario"), "request_id")
-    return in_language(rows, catalog.events)
+    return in_language(stage(rows, "por-idioma"), catalog.events)
 
 
 def left_out(ranked: DataFrame, requests: DataFrame, catalog: Catalog) -> DataFrame:

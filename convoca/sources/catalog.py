@@ -96,7 +96,3 @@ def load_catalog(spark: SparkSession, database: str | None = None) -> Catalog:
     prefix = "" if database is None else f"{database}."
     return _catalog(lambda name: spark.table(f"{prefix}{name}"))
 
-
-def fetch(df: DataFrame, one: bool = False) -> DataFrame:
-    """All rows, or any one of them."""
-    return df.limit(1) if one else df

@@ -112,6 +112,7 @@ class DriverTables:
                 .alias("link_entradas_inscripcion"),
                 F.lit(None).cast("string").alias("imagen_principal_url"),
                 F.col("o_orderdate").cast("date").alias("fecha_creacion"),
+                (key % 130).cast("string").alias("id_familia"),
             )
         )
 
@@ -198,6 +199,19 @@ class DriverTables:
             F.col("ts").alias("fecha_ejecucion"),
         )
 
+    def binarios_storage(self) -> DataFrame:
+        """A file per part, of the event whose number it has."""
+        key = F.col("p_partkey")
+        kinds = F.array(*[F.lit(k) for k in ("PDF", "JPG", "PNG", "WEBP", "DOCX", "EXE")])
+        return self.table("part").select(
+            key.alias("id_binario"),
+            event_id(key).alias("id_unico_evento"),
+            F.concat(F.lit("fichero "), key.cast("string")).alias("nombre_archivo"),
+            F.get(kinds, (key % 6).cast("int")).alias("tipo_archivo"),
+            F.concat(F.lit("https://ejemplo.cat/f/"), key.cast("string")).alias("url_almacenamiento_nube"),
+            F.lit("2024-01-01").cast("timestamp").alias("fecha_sincronizacion"),
+        )
+
     def catalog(self) -> Catalog:
         return Catalog(
             events=self.eventos_master(),

@@ -40,7 +40,7 @@ CTES = {
          CASE WHEN o_orderkey % 3 = 0 THEN 'https://ejemplo.cat/e/' || CAST(o_orderkey AS VARCHAR) END
            AS link_entradas_inscripcion,
          CAST(NULL AS VARCHAR) AS imagen_principal_url,
-         CAST(o_orderdate AS DATE) AS fecha_creacion,
+         CAST(o_orderdate AS DATE) AS fecha_creacion, CAST(o_orderkey % 130 AS VARCHAR) AS id_familia,
          CASE WHEN o_orderkey % 10 <> 0 THEN o_orderkey % 500 END AS v_es,
          CASE WHEN o_orderkey % 10 <> 0 THEN (o_orderkey + 1) % 500 END AS v_cat
   FROM (SELECT *, '["#' || lower(substr(o_orderpriority, 3)) || '","#k'
@@ -65,6 +65,10 @@ CTES = {
     "fuentes_familia": """
   SELECT CAST(s_suppkey AS VARCHAR) AS id_familia, s_nationkey AS id_ciudad, s_name AS nombre_entidad
   FROM supplier""",
+    "binarios": f"""
+  SELECT p_partkey AS id_binario, {_EVENT.format('p_partkey')} AS id_unico_evento,
+         ['PDF', 'JPG', 'PNG', 'WEBP', 'DOCX', 'EXE'][CAST(p_partkey % 6 AS INTEGER) + 1] AS tipo_archivo
+  FROM part""",
     "auditoria": f"""
   SELECT event_id AS id_auditoria, {_EVENT.format('event_id')} AS id_unico_evento,
          CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'view' THEN 'WARNING' ELSE 'OK' END AS resultado
@@ -324,63 +328,126 @@ FROM (SELECT *, coalesce(km, 0) <= 100 AS valida, fechas IS NULL AND regexp_matc
     )
 
 
-_EVENTS_DAMAGED = """
-  SELECT id_unico_evento, clave, CASE WHEN clave % 19 = 0 THEN 'BORRADOR' ELSE estado END AS estado,
-         CASE WHEN clave % 23 <> 0 THEN cp_evento END AS cp_evento, id_ciudad, poblacion_nombre,
+def _twice(table: str, again: str) -> str:
+    return f"SELECT * FROM {table} UNION ALL SELECT * FROM {table} WHERE {again}"
+
+
+_DAMAGED = {
+    "d_ciudades": """SELECT id_ciudad, nombre FROM ciudades WHERE id_ciudad % 6 <> 0
+  UNION ALL SELECT id_ciudad + 100, replace(lower(nombre), 'a', 'á') FROM ciudades
+  WHERE id_ciudad % 6 <> 0 AND id_ciudad % 4 = 1""",
+    "d_codigos_postales": _twice("codigos_postales", "CAST(cp AS BIGINT) % 9 = 0"),
+    "d_categorias": """SELECT id_categoria, slug FROM categorias WHERE id_categoria <> 2
+  UNION ALL SELECT id_categoria + 100, upper(slug) FROM categorias WHERE id_categoria <> 2 AND id_categoria % 3 = 0""",
+    "d_fuentes_familia": _twice("fuentes_familia", "CAST(id_familia AS BIGINT) % 4 = 0"),
+    "d_eventos_master": """
+  SELECT id_unico_evento, clave, CASE WHEN clave % 41 = 0 THEN 'ROBOT' ELSE metodo_ingesta END AS metodo_ingesta,
+         CASE WHEN clave % 43 = 0 THEN 'OTRA' ELSE fuente_id END AS fuente_id,
+         CASE WHEN clave % 19 = 0 THEN 'BORRADOR' ELSE estado END AS estado,
+         CASE WHEN clave % 47 = 0 THEN 'NADIE' WHEN clave % 3 = 0 THEN 'PUBLICO' WHEN clave % 3 = 1 THEN 'PRIVADO' END
+           AS tipo_organizador,
+         CASE WHEN clave % 23 <> 0 THEN cp_evento END AS cp_evento, id_ciudad, id_familia, poblacion_nombre, es_gratuito,
          CASE WHEN clave % 29 <> 0 THEN titulo_es END AS titulo_es
   FROM eventos JOIN (VALUES (0), (1)) c(copia) ON copia = 0 OR clave % 7 = 0
-  WHERE clave % 13 <> 0"""
-_PAIRS = f"""
+  WHERE clave % 13 <> 0""",
+    "d_evento_categorias": f"""
   SELECT {_EVENT.format('l_orderkey')} AS id_unico_evento, id_categoria
-  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN categorias ON p_type = nombre_es"""
+  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN categorias ON p_type = nombre_es""",
+    "d_evento_horarios": _twice("horarios", "id_horario % 11 = 0"),
+    "d_binarios_storage": _twice("binarios", "id_binario % 5 = 0"),
+    "d_auditoria_scraping": _twice(
+        "(SELECT * REPLACE (CASE WHEN id_auditoria % 31 = 0 THEN 'FATAL' ELSE resultado END AS resultado) FROM auditoria)",
+        "id_auditoria % 37 = 0",
+    ),
+}
+
+
+def _damaged(body: str) -> str:
+    base = with_tables(
+        "ciudades codigos_postales categorias fuentes_familia eventos horarios binarios auditoria", ""
+    )
+    parts = [f"{name} AS MATERIALIZED ({text})" for name, text in _DAMAGED.items()]
+    return f"{base.rstrip()},\n" + ",\n".join(parts) + "\n" + body
 
 
 def _orphans() -> str:
     rules = [
-        ("codigos_postales", "id_ciudad", "codigos_postales", "ciudades WHERE id_ciudad % 6 <> 0", "id_ciudad"),
-        ("fuentes_familia", "id_ciudad", "fuentes_familia", "ciudades WHERE id_ciudad % 6 <> 0", "id_ciudad"),
-        ("eventos_master", "cp_evento", "danados", "codigos_postales", "cp"),
-        ("eventos_master", "id_ciudad", "danados", "ciudades WHERE id_ciudad % 6 <> 0", "id_ciudad"),
-        ("evento_categorias", "id_unico_evento", "pares", "danados", "id_unico_evento"),
-        ("evento_categorias", "id_categoria", "pares", "categorias WHERE id_categoria <> 2", "id_categoria"),
-        ("evento_horarios", "id_unico_evento", "horarios", "danados", "id_unico_evento"),
-        ("auditoria_scraping", "id_unico_evento", "auditoria", "danados", "id_unico_evento"),
+        ("codigos_postales", "id_ciudad", "ciudades", "id_ciudad"),
+        ("fuentes_familia", "id_ciudad", "ciudades", "id_ciudad"),
+        ("eventos_master", "cp_evento", "codigos_postales", "cp"),
+        ("eventos_master", "id_ciudad", "ciudades", "id_ciudad"),
+        ("eventos_master", "id_familia", "fuentes_familia", "id_familia"),
+        ("evento_categorias", "id_unico_evento", "eventos_master", "id_unico_evento"),
+        ("evento_categorias", "id_categoria", "categorias", "id_categoria"),
+        ("evento_horarios", "id_unico_evento", "eventos_master", "id_unico_evento"),
+        ("binarios_storage", "id_unico_evento", "eventos_master", "id_unico_evento"),
+        ("auditoria_scraping", "id_unico_evento", "eventos_master", "id_unico_evento"),
     ]
     parts = [
         f"SELECT '{table}' AS tabla, '{column}' AS columna, CAST({column} AS VARCHAR) AS valor, count(*) AS filas "
-        f"FROM {child} WHERE {column} IS NOT NULL AND {column} NOT IN (SELECT {key} FROM {parent}) GROUP BY {column}"
-        for table, column, child, parent, key in rules
+        f"FROM d_{table} WHERE {column} IS NOT NULL AND {column} NOT IN (SELECT {key} FROM d_{parent}) GROUP BY {column}"
+        for table, column, parent, key in rules
     ]
-    return _damaged("ciudades codigos_postales fuentes_familia horarios auditoria", "\nUNION ALL\n".join(parts))
-
-
-def _damaged(names: str, body: str) -> str:
-    base = with_tables(f"eventos categorias {names}", "")
-    return f"{base.rstrip()},\ndanados AS ({_EVENTS_DAMAGED}),\npares AS ({_PAIRS})\n{body}"
+    return _damaged("\nUNION ALL\n".join(parts))
+
+
+def _duplicates() -> str:
+    keys = [
+        ("ciudades", ["id_ciudad"]), ("codigos_postales", ["cp"]), ("categorias", ["id_categoria"]),
+        ("fuentes_familia", ["id_familia"]), ("eventos_master", ["id_unico_evento"]),
+        ("evento_categorias", ["id_unico_evento", "id_categoria"]), ("evento_horarios", ["id_horario"]),
+        ("binarios_storage", ["id_binario"]), ("auditoria_scraping", ["id_auditoria"]),
+    ]
+    parts = []
+    for table, columns in keys:
+        value = " || '/' || ".join(f"CAST({c} AS VARCHAR)" for c in columns)
+        parts.append(
+            f"SELECT '{table}' AS tabla, '{'/'.join(columns)}' AS columnas, {value} AS clave, count(*) AS filas "
+            f"FROM d_{table} GROUP BY 3 HAVING count(*) > 1"
+        )
+    parts += [
+        f"SELECT '{table}', '{column}', min({column}), count(*) FROM d_{table} "
+        f"GROUP BY strip_accents(lower({column})) HAVING count(*) > 1"
+        for table, column in [("ciudades", "nombre"), ("categorias", "slug")]
+    ]
+    return _damaged("\nUNION ALL\n".join(parts))
 
 
 def _violations() -> str:
+    required = {
+        "ciudades": "id_ciudad nombre",
+        "codigos_postales": "cp latitud longitud",
+        "categorias": "id_categoria nombre_es nombre_cat slug orden activo",
+        "fuentes_familia": "id_familia id_ciudad nombre_entidad url_raiz_global",
+        "eventos_master": "id_unico_evento metodo_ingesta fuente_id estado cp_evento poblacion_nombre titulo_es es_gratuito",
+        "evento_categorias": "id_unico_evento id_categoria",
+        "evento_horarios": "id_horario id_unico_evento fecha_inicio",
+        "binarios_storage": "id_binario id_unico_evento nombre_archivo tipo_archivo url_almacenamiento_nube fecha_sincronizacion",
+        "auditoria_scraping": "id_auditoria resultado fecha_ejecucion",
+    }
+    # columns the damaged tables above leave out are never NULL
+    whole = {"nombre_es", "nombre_cat", "orden", "activo", "url_raiz_global", "nombre_archivo",
+             "url_almacenamiento_nube", "fecha_sincronizacion", "fecha_ejecucion"}
+    domains = {
+        ("eventos_master", "metodo_ingesta"): "'SCRAPING', 'MANUAL'",
+        ("eventos_master", "fuente_id"): "'URL_ESTRUCTURAL', 'SOCIAL_VISUAL', 'SOCIAL_SEMANTICA'",
+        ("eventos_master", "estado"): "'ACTIVO', 'CANCELADO', 'APLAZADO'",
+        ("eventos_master", "tipo_organizador"): "'PUBLICO', 'PRIVADO', 'ASOCIACION'",
+        ("binarios_storage", "tipo_archivo"): "'PDF', 'JPG', 'JPEG', 'PNG', 'WEBP', 'DOCX'",
+        ("auditoria_scraping", "resultado"): "'OK', 'WARNING', 'ERROR'",
+    }
     rules = [
-        ("eventos_master", "id_unico_evento", "nulo", "id_unico_evento IS NULL", "danados"),
-        ("eventos_master", "estado", "nulo", "estado IS NULL", "danados"),
-        ("eventos_master", "cp_evento", "nulo", "cp_evento IS NULL", "danados"),
-        ("eventos_master", "poblacion_nombre", "nulo", "poblacion_nombre IS NULL", "danados"),
-        ("eventos_master", "titulo_es", "nulo", "titulo_es IS NULL", "danados"),
-        ("eventos_master", "estado", "dominio", "estado NOT IN ('ACTIVO', 'CANCELADO', 'APLAZADO')", "danados"),
-        ("auditoria_scraping", "id_auditoria", "nulo", "id_auditoria IS NULL", "auditoria"),
-        ("auditoria_scraping", "resultado", "nulo", "resultado IS NULL", "auditoria"),
-        ("auditoria_scraping", "fecha_ejecucion", "nulo", "false", "auditoria"),
-        (
-            "auditoria_scraping", "resultado", "dominio",
-            "id_auditoria % 31 = 0 OR resultado NOT IN ('OK', 'WARNING', 'ERROR')", "auditoria",
-        ),
+        (table, column, "nulo", "false" if column in whole else f"{column} IS NULL")
+        for table, columns in required.items()
+        for column in columns.split()
     ]
+    rules += [(table, column, "dominio", f"{column} NOT IN ({values})") for (table, column), values in domains.items()]
     parts = [
         f"SELECT '{table}' AS tabla, '{column}' AS columna, '{rule}' AS regla, "
-        f"count(*) FILTER (WHERE {test}) AS filas FROM {source}"
-        for table, column, rule, test, source in rules
+        f"count(*) FILTER (WHERE {test}) AS filas FROM d_{table}"
+        for table, column, rule, test in rules
     ]
-    return _damaged("auditoria", "\nUNION ALL\n".join(parts))
+    return _damaged("\nUNION ALL\n".join(parts))
 
 
 def statements() -> dict[str, str]:
@@ -403,12 +470,15 @@ FROM ordenadas WHERE con_conceptos AND hay = {}"""
     return {
         "active_events_by_start": with_tables(
             "filas",
-            """SELECT id_unico_evento, titulo_es AS titulo, desc_larga_es AS descripcion_corta,
-  desc_larga_es AS descripcion_larga, cp_evento, poblacion_nombre, lugar_nombre,
+            "\nUNION ALL\n".join(
+                f"""SELECT id_unico_evento, titulo_{suffix} AS titulo, desc_larga_{suffix} AS descripcion_corta,
+  desc_larga_{suffix} AS descripcion_larga, cp_evento, poblacion_nombre, lugar_nombre,
   direccion_fisica AS direccion_completa, fecha_inicio, fecha_fin, hora_inicio, hora_fin, es_gratuito,
   precio_euros, link_entradas_inscripcion AS url_evento, imagen_principal_url AS url_imagen,
-  tags_es AS tags_json
-FROM filas ORDER BY fecha_inicio, hora_inicio NULLS FIRST, id_unico_evento""",
+  tags_{suffix} AS tags_json, latitud, longitud, '{language}' AS idioma
+FROM filas"""
+                for language, suffix in (("es", "es"), ("ca", "cat"))
+            ),
         ),
         "batch_prefilter_top50": candidates(),
         "unknown_origin_unfiltered": candidates(where="request_id < 0"),
@@ -466,7 +536,11 @@ FROM solicitudes s LEFT JOIN (
         ),
         "search_debug": with_tables(
             "ordenadas",
-            """SELECT s.request_id, radio_km, coalesce(codigos, '') AS codigos_postales,
+            """SELECT s.request_id, radio_km, s.idioma, s.fecha_inicio, s.fecha_fin, s.es_gratuito, s.precio_max,
+  array_to_string(list_transform(s.fechas, lambda d: strftime(d, '%Y-%m-%d')), ',') AS fechas,
+  array_to_string(s.categorias, ',') AS categorias,
+  CASE WHEN s.con_conceptos THEN 'concepto ' || CAST(s.k % 7 AS VARCHAR) || ' fiesta' ELSE '' END AS texto_consulta,
+  coalesce(codigos, '') AS codigos_postales,
   CAST(coalesce(n, 0) AS INTEGER) AS num_codigos,
   coalesce(antes, 0) AS eventos_pre_filtrado, coalesce(despues, 0) AS eventos_post_semantica
 FROM solicitudes s
@@ -492,8 +566,8 @@ WHERE estado = 'ACTIVO'""",
         ),
         "category_catalog": with_tables(
             "categorias",
-            """SELECT id_categoria AS id, nombre_es AS nombre, slug, 'es' AS idioma FROM categorias WHERE activo
-UNION ALL SELECT id_categoria, nombre_cat, slug, 'ca' FROM categorias WHERE activo""",
+            """SELECT id_categoria AS id, nombre_es AS nombre, slug, orden, 'es' AS idioma FROM categorias WHERE activo
+UNION ALL SELECT id_categoria, nombre_cat, slug, orden, 'ca' FROM categorias WHERE activo""",
         ),
         "upsert_events": with_tables(
             "eventos",
@@ -552,20 +626,15 @@ WHERE idioma <> 'es' AND tags_cat = 'null'""",
         "events_loaded": with_tables("eventos", "SELECT count(*) AS total FROM eventos"),
         "tags_json_roundtrip": with_tables(
             "eventos",
-            """SELECT id_unico_evento, tags_cat <> 'null' AS convertible,
+            """SELECT id_unico_evento, 'cat' AS idioma, tags_cat <> 'null' AS convertible,
   CASE WHEN tags_cat = '' THEN 0 WHEN tags_cat <> 'null' THEN 2 END AS num_tags,
   CASE WHEN tags_cat = '' THEN '[]' WHEN tags_cat <> 'null' THEN tags_cat END AS tags_json
-FROM eventos""",
-        ),
-        "fk_orphans": _orphans(),
-        "key_duplicates": _damaged(
-            "",
-            """SELECT 'eventos_master' AS tabla, id_unico_evento AS clave, count(*) AS filas
-FROM danados GROUP BY 2 HAVING count(*) > 1
+FROM eventos
 UNION ALL
-SELECT 'evento_categorias', id_unico_evento || '/' || CAST(id_categoria AS VARCHAR), count(*)
-FROM pares GROUP BY 2 HAVING count(*) > 1""",
+SELECT id_unico_evento, 'es', true, CASE WHEN tags_es IS NULL THEN 0 ELSE 2 END, coalesce(tags_es, '[]') FROM eventos""",
         ),
+        "fk_orphans": _orphans(),
+        "key_duplicates": _duplicates(),
         "null_and_enum_violations": _violations(),
         "cascade_delete": with_tables(
             "eventos horarios evento_categorias",
@@ -582,25 +651,74 @@ WHERE id_unico_evento NOT IN (SELECT id_unico_evento FROM eventos WHERE estado =
 FROM auditoria""",
         ),
         "restricted_delete": with_tables(
-            "ciudades codigos_postales fuentes_familia eventos",
+            "ciudades codigos_postales fuentes_familia eventos evento_categorias",
             "\nUNION ALL\n".join(
-                f"SELECT '{name}' AS tabla, CAST(id_ciudad AS VARCHAR) AS valor, count(*) AS filas FROM {source} "
-                "WHERE id_ciudad IN (SELECT id_ciudad FROM ciudades WHERE provincia = 'ASIA') GROUP BY id_ciudad"
-                for name, source in [
-                    ("codigos_postales", "codigos_postales"),
-                    ("fuentes_familia", "fuentes_familia"),
-                    ("eventos_master", "eventos"),
+                f"SELECT '{parent}' AS padre, '{name}' AS tabla, CAST({column} AS VARCHAR) AS valor, count(*) AS filas "
+                f"FROM {source} WHERE {column} IN (SELECT {key} FROM {parent} WHERE {which}) GROUP BY {column}"
+                for parent, key, which, name, source, column in [
+                    ("ciudades", "id_ciudad", "provincia = 'ASIA'", "codigos_postales", "codigos_postales", "id_ciudad"),
+                    ("ciudades", "id_ciudad", "provincia = 'ASIA'", "fuentes_familia", "fuentes_familia", "id_ciudad"),
+                    ("ciudades", "id_ciudad", "provincia = 'ASIA'", "eventos_master", "eventos", "id_ciudad"),
+                    ("codigos_postales", "cp", "CAST(cp AS BIGINT) % 10 = 7", "eventos_master", "eventos", "cp_evento"),
+                    ("fuentes_familia", "id_familia", "CAST(id_familia AS BIGINT) % 5 = 0", "eventos_master", "eventos", "id_familia"),
+                    ("categorias", "id_categoria", "id_categoria = 1", "evento_categorias", "evento_categorias", "id_categoria"),
                 ]
             ),
         ),
         "column_defaults": with_tables(
-            "eventos", "SELECT id_unico_evento, estado, false AS es_patrocinado FROM (SELECT * REPLACE ("
-            "CASE WHEN estado = 'ACTIVO' THEN 'ACTIVO' ELSE estado END AS estado) FROM eventos)",
+            "categorias eventos horarios binarios auditoria",
+            """SELECT 'categorias' AS tabla, CAST(id_categoria AS VARCHAR) AS clave,
+  CAST(CASE WHEN id_categoria % 2 = 0 THEN orden ELSE 0 END AS VARCHAR) || '/true' AS valores FROM categorias
+UNION ALL SELECT 'eventos_master', id_unico_evento, estado || '/false/true' FROM eventos
+UNION ALL SELECT 'evento_horarios', CAST(id_horario AS VARCHAR), 'false' FROM horarios
+UNION ALL SELECT 'binarios_storage', CAST(id_binario AS VARCHAR), 'true' FROM binarios
+UNION ALL SELECT 'auditoria_scraping', CAST(id_auditoria AS VARCHAR),
+  CASE WHEN resultado = 'WARNING' THEN 'OK' ELSE resultado END || '/true' FROM auditoria""",
         ),
         "embedding_dimension": with_tables(
             "eventos vectores",
-            """SELECT CAST(len(v) AS INTEGER) AS dimension, count(*) AS filas, len(v) = 64 AS correcta
-FROM eventos JOIN vectores ON v_es = vec_id GROUP BY len(v)""",
+            "\nUNION ALL\n".join(
+                f"""SELECT 'tags_embedding_{name}' AS columna, CAST(len(v) AS INTEGER) AS dimension, count(*) AS filas,
+  len(v) = 64 AS correcta FROM eventos JOIN vectores ON v_{name} = vec_id GROUP BY len(v)"""
+                for name in ("es", "cat")
+            ),
+        ),
+        "json_vectors": """SELECT vec_id, CASE WHEN vec_id % 7 NOT IN (1, 2, 3, 4) THEN CAST(len(embedding) AS INTEGER) END AS dimension,
+  CASE WHEN vec_id % 7 NOT IN (1, 2, 3, 4) THEN round(sqrt(list_inner_product(CAST(embedding AS DOUBLE[]),
+    CAST(embedding AS DOUBLE[]))), 3) + 0e0 END AS norma
+FROM embeddings""",
+        "upsert_categories": with_tables(
+            "categorias",
+            """SELECT id_categoria, nombre_es || CASE WHEN id_categoria % 2 = 0 THEN ' nuevo' ELSE '' END AS nombre_es,
+  CASE WHEN id_categoria % 2 = 0 THEN 'nou' ELSE nombre_cat END AS nombre_cat, slug, orden, activo FROM categorias
+UNION ALL SELECT 500, 'Otra', 'Altra', 'otra', orden, true FROM categorias WHERE id_categoria = 1""",
+        ),
+        "load_batch_tables": with_tables(
+            "ciudades codigos_postales categorias fuentes_familia eventos evento_categorias horarios binarios auditoria",
+            "\nUNION ALL\n".join(
+                f"SELECT '{name}' AS tabla, count(*) AS filas, CAST(sum(length(k)) AS BIGINT) AS largo, min(k) AS primera FROM ({keys})"
+                for name, keys in [
+                    ("ciudades", "SELECT CAST(id_ciudad AS VARCHAR) AS k FROM ciudades"),
+                    ("codigos_postales", "SELECT cp AS k FROM codigos_postales"),
+                    ("categorias", "SELECT CAST(id_categoria AS VARCHAR) AS k FROM categorias"),
+                    ("fuentes_familia", "SELECT p || id_familia AS k FROM fuentes_familia, (VALUES (''), ('n')) v(p)"),
+                    ("eventos_master", "SELECT id_unico_evento AS k FROM eventos"),
+                    ("evento_categorias", "SELECT id_unico_evento || '/' || CAST(id_categoria AS VARCHAR) AS k FROM evento_categorias"),
+                    ("evento_horarios", "SELECT CAST(id_horario AS VARCHAR) AS k FROM horarios"),
+                    ("binarios_storage", """SELECT CAST(id_binario AS VARCHAR) AS k FROM binarios UNION ALL
+  SELECT CAST((SELECT max(id_binario) FROM binarios) + row_number() OVER () AS VARCHAR) FROM binarios"""),
+                    ("auditoria_scraping", """SELECT CAST(id_auditoria AS VARCHAR) AS k FROM auditoria UNION ALL
+  SELECT CAST((SELECT max(id_auditoria) FROM auditoria) + row_number() OVER () AS VARCHAR) FROM auditoria WHERE id_auditoria % 2 = 0"""),
+                ]
+            ),
+        ),
+        "events_view_by_town": with_tables(
+            "eventos horarios codigos_postales evento_categorias",
+            """SELECT poblacion_nombre, categorias_slugs, count(*) AS filas, min(fecha_inicio) AS primera
+FROM eventos e JOIN horarios h USING (id_unico_evento) JOIN codigos_postales p ON e.cp_evento = p.cp
+LEFT JOIN (SELECT id_unico_evento, string_agg(DISTINCT slug, ',' ORDER BY slug) AS categorias_slugs
+  FROM evento_categorias JOIN categorias USING (id_categoria) GROUP BY 1) c USING (id_unico_evento)
+WHERE estado = 'ACTIVO' AND es_gratuito GROUP BY 1, 2""",
         ),
         "request_validation": f"""SELECT conv_id, turn, trim(q, {trim_set}) AS pregunta, cp_usuario,
   CASE WHEN q IS NULL THEN 'pregunta ausente' WHEN length(q) < 3 THEN 'pregunta corta'
