@@ -128,9 +128,10 @@ def parameters_from_json(questions: DataFrame, name: str) -> DataFrame:
     that does not convert, or is out of range gives the default parameters, and
     ``extraidos`` is false.
     """
-    # the parser stops after the object
-    closed = F.col(name).rlike(r"^\s*\{(?s:.*)\}\s*$")
-    rows = questions.withColumn("_v", F.when(closed, F.try_parse_json(name)))
+    # the parser stops after the object; what follows breaks one of these frames
+    framed = [F.concat(F.lit(a), name, F.lit(b)) for a, b in (("[", "]"), ('{"x":', "}"))]
+    whole = reduce(lambda a, b: a & b, (F.try_parse_json(text).isNotNull() for text in framed))
+    rows = questions.withColumn("_v", F.when(whole, F.try_parse_json(name)))
     converted = _converted(F.col("_v"))
     rows = rows.withColumns({f"_p_{field}": value for field, (value, _) in converted.items()})
     radius, price = F.col("_p_radio_km"), F.col("_p_precio_max")

@@ -58,7 +58,15 @@ def test_annotations(spark):
         ("esta semana", saturday, "ca", {"fecha_inicio": saturday, "fecha_fin": sunday}),
         ("¿dónde? mañana", monday, "es", {"fechas": [dt.date(2025, 1, 7)]}),
         ("aquest dissabte", sunday, "ca", {"fechas": [dt.date(2025, 1, 11)]}),
-        ("avui a 500 km", monday, "ca", {"fechas": [monday]}),
+        ("avui a 500 km, gratis", monday, "ca", {}),
+        ("gratis en 2000000 km", monday, "ca", {}),
+        ("algo a 100020 km", monday, "ca", {}),
+        ("a 99999999999 km", monday, "ca", {}),
+        ("a 100 km", monday, "ca", {"radio_km": 100}),
+        ("a 2,5 km", monday, "ca", {}),
+        ("menos de 12345678 euros", monday, "ca", {"precio_max": 12345678.0}),
+        ("menos de 1.500 euros", monday, "ca", {"precio_max": 1500.0}),
+        ("máximo 1.500,25 €", monday, "ca", {"precio_max": 1500.25}),
         ("negocios sociales", monday, "ca", {}),
     ]
     df = spark.createDataFrame([(i, c[0], c[1]) for i, c in enumerate(cases)], "i int, pregunta string, as_of date")
@@ -69,3 +77,36 @@ def test_annotations(spark):
         assert row.idioma == idioma, text
         assert row.conceptos == [text]
         assert {k: row[k] for k in empty} == {**empty, **wanted}, text
+
+
+def test_parameters_are_converted_where_nothing_is_lost(spark):
+    refused = [
+        '"radio_km":"abc"', '"radio_km":20.5', '"categorias":null', '"fechas":["mala"]', '"fechas":[null]',
+        '"categorias":[1]', '"categorias":"x"', '"conceptos":[null]', '"es_gratuito":"quizás"', '"es_gratuito":2',
+        '"precio_max":"nada"', '"precio_max":"nan"', '"fecha_inicio":"2024-13-01"', '"fecha_inicio":"mañana"',
+        '"radio_km":[5]', '"radio_km":101', '"precio_max":-0.01', '"radio_km":99999999999',
+    ]
+    taken = {
+        '"radio_km":"20"': ("radio_km", 20),
+        '"radio_km":20.0': ("radio_km", 20),
+        '"radio_km":null': ("radio_km", None),
+        '"precio_max":"12.5"': ("precio_max", 12.5),
+        '"precio_max":3': ("precio_max", 3.0),
+        '"es_gratuito":"true"': ("es_gratuito", True),
+        '"es_gratuito":0': ("es_gratuito", False),
+        '"fechas":[]': ("fechas", []),
+        '"fechas":null': ("fechas", None),
+        '"fechas":["2024-02-29"]': ("fechas", [dt.date(2024, 2, 29)]),
+        '"categorias":["a b"]': ("categorias", ["a b"]),
+        '"otro":{"x":[null]}': ("categorias", []),
+    }
+    given = [f'{{"idioma":"es",{text}}}' for text in [*refused, *taken]]
+    given += ['{"idioma":5}', '{"idioma":null}', '{"idioma":"es"} sobra', '{"idioma":"es"} {"idioma":"es"}', '[]', '""', "null"]
+    df = spark.createDataFrame([(i, "pregunta", text) for i, text in enumerate(given)], "i int, pregunta string, json string")
+    rows = {r.json: r for r in parameters_from_json(df, "json").collect()}
+    for text in taken:
+        row = rows[f'{{"idioma":"es",{text}}}']
+        name, value = taken[text]
+        assert row.extraidos and row.idioma == "es" and row[name] == value, text
+    for text in given[: len(refused)] + given[len(refused) + len(taken) :]:
+        assert not rows[text].extraidos and rows[text].conceptos == ["pregunta"], text

@@ -1,4 +1,5 @@
 import decimal
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from convoca.operators.quality import (
     blockers,
     delete_parents,
     duplicate_keys,
+    duplicate_values,
     orphans,
     vector_sizes,
     violations,
@@ -16,9 +18,11 @@ from convoca.operators.quality import (
 )
 from convoca.operators.upsert import append_numbered, insert_missing, resolve_unique, upsert
 from convoca.plans.ingest import load_batch, publish
-from convoca.sources.catalog import load_catalog, read_catalog, save_bucketed, write_table
+from convoca.functions.text import padded
+from convoca.plans.views import active_events
+from convoca.sources.catalog import Catalog, load_catalog, read_catalog, save_bucketed, write_table
 from convoca.sources.seeds import seed_categories
-from convoca.sources.staging import broadcast_if_small, stage
+from convoca.sources.staging import broadcast_if_small, clear_staged, stage
 
 
 def test_upsert_touches_only_update_columns(spark):
@@ -153,7 +157,8 @@ def test_load_publish_and_reload(spark, tmp_path):
     counts = publish(spark, str(tmp_path / "v0"), batch, str(tmp_path / "v1"))
     assert counts == {
         "ciudades": 5, "codigos_postales": 5, "categorias": 8, "eventos_master": 1,
-        "evento_categorias": 1, "evento_horarios": 1,
+        "evento_categorias": 1, "evento_horarios": 1, "fuentes_familia": 0,
+        "binarios_storage": 0, "auditoria_scraping": 0,
     }
     loaded = read_catalog(spark, str(tmp_path / "v1"))
     row = loaded.events.first()
@@ -199,3 +204,57 @@ def test_batch_with_defaults(spark):
     empty = {n: spark.createDataFrame([], s) for n, s in schemas.TABLES.items()}
     loaded = load_batch(empty, {"evento_categorias": _batch(spark)["evento_categorias"]})
     assert [tuple(r) for r in loaded["evento_categorias"].collect()] == [("e1", 7)]
+
+
+def test_batches_that_lose_rows_are_refused(spark):
+    empty = {n: spark.createDataFrame([], s) for n, s in schemas.TABLES.items()}
+    batch = _batch(spark)
+    with pytest.raises(ValueError, match="no such tables: eventos"):
+        load_batch(empty, {"eventos": batch["eventos_master"]})
+    with pytest.raises(ValueError, match="without seq"):
+        load_batch(empty, {"ciudades": batch["ciudades"].withColumn("seq", F.lit(None).cast("int"))})
+    family = spark.createDataFrame([("f1", 1, "Ayuntamiento", "https://e.cat", 1)],
+                                   "id_familia string, id_ciudad int, nombre_entidad string, url_raiz_global string, seq int")
+    file = spark.createDataFrame([("e1", "cartel", "PDF", "s3://x", 1)],
+                                 "id_unico_evento string, nombre_archivo string, tipo_archivo string, url_almacenamiento_nube string, seq int")
+    loaded = load_batch(empty, {"fuentes_familia": family, "binarios_storage": file, "auditoria_scraping": file.select("id_unico_evento", "seq")})
+    assert loaded["fuentes_familia"].first().id_familia == "f1"
+    row = loaded["binarios_storage"].first()
+    assert row.id_binario == 1 and row.fecha_sincronizacion is not None
+    assert loaded["auditoria_scraping"].first().resultado == "OK"
+
+
+def test_unique_names_are_compared_under_the_collation(spark):
+    rows = spark.createDataFrame([("Calella",), ("CALELL\u00c1 ",), ("Blanes",), (None,), (None,)], "nombre string")
+    assert [tuple(r) for r in duplicate_values(rows, "nombre").select("filas").collect()] == [(2,)]
+
+
+def test_codes_are_never_shortened(spark):
+    codes = spark.createDataFrame([(7,), (99_999,), (100_000,), (100_009,)], "k bigint").select(padded(F.col("k"), 5))
+    assert [r[0] for r in codes.collect()] == ["00007", "99999", "100000", "100009"]
+
+
+def test_staged_files_can_be_removed(spark):
+    staged = stage(spark.range(3), "se-va")
+    (path,) = {f.rsplit("/", 1)[0] for f in staged.inputFiles()}
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    assert files.exists(hadoop)
+    clear_staged(spark)
+    assert not files.exists(hadoop)
+
+
+def test_schedules_are_exchanged_once(spark):
+    ids = spark.range(20).select(F.sha2(F.col("id").cast("string"), 256).alias("id_unico_evento"))
+    events = ids.withColumns({c: F.lit(1) for c in ("estado", "cp_evento")} | {"estado": F.lit("ACTIVO")}).withColumn("cp_evento", F.lit("08380"))
+    for name in ("titulo_es", "desc_larga_es", "poblacion_nombre", "lugar_nombre", "direccion_fisica", "es_gratuito",
+                 "precio_euros", "link_entradas_inscripcion", "imagen_principal_url", "tags_es"):
+        events = events.withColumn(name, F.lit("x"))
+    slots = ids.withColumns({c: F.lit("2025-01-01").cast("date") for c in ("fecha_inicio", "fecha_fin")} | {c: F.lit("10:00:00") for c in ("hora_inicio", "hora_fin")})
+    places = spark.createDataFrame([("08380", 41.0, 2.0)], "cp string, latitud double, longitud double")
+    cat = Catalog(events, slots.hint("merge"), places, ids, ids)
+    plan = active_events(cat, "es")._jdf.queryExecution().executedPlan().toString()
+    plan = plan[plan.index("AdaptiveSparkPlan"):]
+    # one for the schedules, one for the events; no sort of everything
+    assert len(re.findall(r"Exchange hashpartitioning", plan)) == 2
+    assert "rangepartitioning" not in plan
