@@ -125,18 +125,17 @@ class Words:
         self.number: dict[bytes, int] = {}
         self.columns = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)]
 
-    def numbers(self, batch: list[list[bytes]]) -> np.ndarray:
-        """Numbers of all words of ``batch``; ``columns`` then has hash, head place and hot place by number."""
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """Numbers of ``words``; ``columns`` then has hash, head place and hot place by number."""
         if len(self.number) > HELD:
             self._clear()
-        new = list({w for own in batch for w in own if w not in self.number})
+        new = [*set(words).difference(self.number)]
         if new:
             hashes = np.fromiter(map(word_hash, new), dtype=np.int64, count=len(new))
             self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
             more = (hashes, self.head.place(hashes), self.head.hot_place(hashes))
             self.columns = [np.concatenate(pair) for pair in zip(self.columns, more, strict=True)]
-        get = self.number.__getitem__
-        return np.fromiter((get(w) for own in batch for w in own), dtype=np.int64, count=sum(map(len, batch)))
+        return np.fromiter(map(self.number.__getitem__, words), dtype=np.int64, count=len(words))
 
 
 def held_out() -> Column:
@@ -194,13 +193,19 @@ def head_of(words: DataFrame, documents: int, head_rows: int = HEAD_ROWS) -> Hea
 
 def _pairs(words: Words, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, number of the context, number of the word) of all bigrams of ``texts``."""
-    batch = [[START, *tokens(t)] for t in texts]
-    numbers = words.numbers(batch)
-    sizes = np.array([len(own) for own in batch])
-    doc = np.repeat(np.arange(len(batch)), sizes)
-    inner = np.r_[False, doc[1:] == doc[:-1]] if len(doc) else np.zeros(0, bool)
-    at = np.nonzero(inner)[0]
-    return doc[at], numbers[at - 1], numbers[at]
+    flat: list[bytes] = []
+    sizes = []
+    for text in texts:
+        before = len(flat)
+        flat.append(START)
+        flat += (text or b"").translate(ASCII_LOWER).split()
+        flat.append(END)
+        sizes.append(len(flat) - before)
+    numbers = words.numbers(flat)
+    follows = np.ones(len(flat), dtype=bool)
+    follows[np.cumsum([0, *sizes[:-1]])] = False
+    doc = np.repeat(np.arange(len(sizes)), np.array(sizes) - 1)
+    return doc, numbers[:-1][follows[1:]], numbers[follows]
 
 
 def _with_frequent_pairs(docs: DataFrame, head: Head) -> Head:
@@ -321,10 +326,12 @@ def _rows(batch: pa.RecordBatch) -> np.ndarray:
 
 def _pack(held: list, shards: int) -> pa.RecordBatch:
     row, u, w, hot = (np.concatenate(c) for c in zip(*held, strict=True))
-    mixed = np.where(hot, u ^ (w * 0x5851F42D4C957F2D), u).view(np.uint64)
-    shard = ((mixed >> np.uint64(20)) % np.uint64(shards)).astype(np.int32)
-    order = np.lexsort((w, u, shard))
-    row, u, w, shard = row[order], u[order], w[order], shard[order]
+    # hashes are even over their range: a shard is a part of it, and sorting by hash sorts by shard
+    mixed = np.where(hot, _mixed(u, w), u)
+    order = np.argsort(mixed)
+    row, u, w = row[order], u[order], w[order]
+    shard = ((mixed[order] >> 31) * shards) >> 32
+    del mixed, order
     docs, at = np.unique(row, return_inverse=True)
     if len(docs) >= 1 << 32:
         raise ValueError("too many rows packed at once")
@@ -342,6 +349,12 @@ def _pack(held: list, shards: int) -> pa.RecordBatch:
     )
 
 
+def _mixed(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """A hash of both words, of 63 bits."""
+    mixed = (u.view(np.uint64) ^ (w.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
+    return (mixed ^ (mixed >> np.uint64(32))).view(np.int64) & _MASK
+
+
 def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n, docs, size = np.frombuffer(data, np.int64, 3)
     at = 24
@@ -362,19 +375,21 @@ _SUMMARY = (
 def _summary(packed: list[bytes], head: Head) -> dict:
     """A shard's table: counts of counts, hot contexts' parts, and the documents' terms."""
     row, u, w = (np.concatenate(c) for c in zip(*map(_unpack, packed), strict=True))
-    order = np.lexsort((w, u))
-    row, u, w = row[order], u[order], w[order]
-    new = np.r_[True, (u[1:] != u[:-1]) | (w[1:] != w[:-1])]
-    pair = np.cumsum(new) - 1
-    first = np.nonzero(new)[0]
-    train = (row & 1) == 0
-    c = np.bincount(pair[train], minlength=len(first))
+    packed.clear()
+    # bigrams are told apart by the hash of both words
+    _, first, pair = np.unique(_mixed(u, w), return_index=True, return_inverse=True)
+    pair = pair.astype(np.int32)
     pu, pw = u[first], w[first]
-    context_new = np.r_[True, pu[1:] != pu[:-1]]
-    context = np.cumsum(context_new) - 1
-    cu = pu[context_new]
+    del u, w, first
+    train = (row & 1) == 0
+    row >>= 1
+    c = np.bincount(pair[train], minlength=len(pu))
+    del train
+    cu, context = np.unique(pu, return_inverse=True)
+    context = context.astype(np.int32)
     hot = head.hot_place(cu)
     p_log = head.p_log(head.place(pw))
+    del pu, pw
     # per context: discounted counts 1..K, the sum of the others, the seen words' probabilities
     stats = np.zeros((len(cu), K + 2))
     for r in range(1, K + 1):
@@ -385,16 +400,16 @@ def _summary(packed: list[bytes], head: Head) -> dict:
     total[hot >= 0] = _context_counts(head, hot[hot >= 0])
     reserve = ((stats[:, :K].sum(axis=1) == 0) | (hot >= 0)) & (total > 0)
     whole = total + reserve
-    seen = c[pair] > 0
-    rows, at = np.unique(row >> 1, return_inverse=True)
-    terms = np.log10(np.maximum(c, 1)) - np.log10(np.maximum(whole[context], 1))
-    known = np.bincount(at[seen], terms[pair[seen]], minlength=len(rows))
-    few = np.stack([np.bincount(at[c[pair] == r], minlength=len(rows)) for r in range(1, K + 1)], axis=1)
+    rows, at = np.unique(row, return_inverse=True)
+    at = at.astype(np.int32)
+    terms = np.where(c > 0, np.log10(np.maximum(c, 1)) - np.log10(np.maximum(whole[context], 1)), 0.0)
+    known = np.bincount(at, terms[pair], minlength=len(rows))
+    level = np.minimum(c, K + 1)[pair]
+    few = np.bincount(at * np.int64(K + 2) + level, minlength=len(rows) * (K + 2)).reshape(-1, K + 2)[:, 1 : K + 1]
     # unseen bigrams, one row for each document and context
-    lone = np.nonzero(~seen)[0]
-    key = np.lexsort((context[pair[lone]], row[lone]))
-    lone = lone[key]
-    r, k = row[lone] >> 1, context[pair[lone]]
+    lone = np.nonzero(level == 0)[0]
+    lone = lone[np.lexsort((context[pair[lone]], row[lone]))]
+    r, k = row[lone], context[pair[lone]]
     starts = np.nonzero(np.r_[True, (r[1:] != r[:-1]) | (k[1:] != k[:-1])])[0] if len(r) else np.zeros(0, int)
     logs = np.add.reduceat(p_log[pair[lone]], starts) if len(starts) else np.zeros(0)
     used, place = np.unique(k[starts], return_inverse=True)
