@@ -54,6 +54,8 @@ HOT, PAIRS = 2000, 100_000
 SHARD_TOKENS = 2_000_000
 # counts up to K are discounted
 K = 5
+# rows whose parts are added up together
+BLOCK = 4096
 # entries a task packs at once, words it holds, distinct words it holds for counting
 PACKED, HELD = 1_000_000, 300_000
 _MASK = (1 << 63) - 1
@@ -143,10 +145,6 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def _mapped(docs: DataFrame, work, out: str) -> DataFrame:
-    return docs.mapInArrow(work, out)
-
-
 def unigrams(docs: DataFrame) -> DataFrame:
     """(w, n): hash and count of every token of the training rows of ``docs`` (row, doc_id, held_out, text)."""
 
@@ -448,7 +446,11 @@ def _alpha(stats: np.ndarray, total: np.ndarray, whole: np.ndarray, d: np.ndarra
 
 
 def _evaluated(summaries: DataFrame, d: np.ndarray, hot_alpha: np.ndarray) -> DataFrame:
-    """(row, part): every shard's part of the rows' scores."""
+    """(row, part): the rows' scores, added up over all shards.
+
+    A shard hands on one record for each block of ``BLOCK`` rows, so their number
+    does not grow with both the rows and the shards.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -464,10 +466,25 @@ def _evaluated(summaries: DataFrame, d: np.ndarray, hot_alpha: np.ndarray) -> Da
                     weight = np.where(hot >= 0, hot_alpha[np.maximum(hot, 0)], alpha[one["un_context"]])
                     at = np.searchsorted(rows, one["un_rows"])
                     part = part + np.bincount(at, one["un_n"] * weight + one["un_logs"], minlength=len(rows))
-                yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(part, pa.float64())], names=["row", "part"])
+                block = rows // BLOCK
+                starts = np.nonzero(np.r_[True, block[1:] != block[:-1]])[0] if len(rows) else np.zeros(0, int)
+                offsets = pa.array(np.r_[starts, len(rows)].astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(block[starts]),
+                        pa.ListArray.from_arrays(offsets, pa.array(rows)),
+                        pa.ListArray.from_arrays(offsets, pa.array(part, pa.float64())),
+                    ],
+                    names=["block", "rows", "parts"],
+                )
+
+    def add(block: pd.DataFrame) -> pd.DataFrame:
+        rows, at = np.unique(np.concatenate(list(block["rows"])), return_inverse=True)
+        return pd.DataFrame({"row": rows, "part": np.bincount(at, np.concatenate(list(block["parts"])), minlength=len(rows))})
 
     columns = ["rows", "known", "few", "un_rows", "un_context", "un_hot", "un_n", "un_logs", "context_stats"]
-    return summaries.select(*columns).mapInArrow(run, "row bigint, part double")
+    packed = summaries.select(*columns).mapInArrow(run, "block bigint, rows array<bigint>, parts array<double>")
+    return packed.groupBy("block").applyInPandas(add, "row bigint, part double")
 
 
 def _hot_alpha(summaries: DataFrame, head: Head, d: np.ndarray) -> np.ndarray:
@@ -506,7 +523,7 @@ def scores(docs: DataFrame, head_rows: int = HEAD_ROWS, shard_tokens: int = SHAR
     for r in counted:
         n[r["r"]] = r["n"]
     d = discounts(n)
-    bigrams = _evaluated(summaries, d, _hot_alpha(summaries, head, d)).groupBy("row").agg(F.sum("part").alias("part"))
+    bigrams = _evaluated(summaries, d, _hot_alpha(summaries, head, d))
 
     c = F.coalesce("n", F.lit(0))
     others = parts.select("row", F.explode("others").alias("o")).select("row", "o.w", "o.f")
