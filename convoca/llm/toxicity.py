@@ -61,6 +61,8 @@ SYMBOLS = 64
 # places of the weights' table, to which subsequences are hashed
 PLACES = 1 << 21
 KEEP = 250_000
+# words at once in training, which keeps the driver small
+AT_ONCE = 512
 
 _SENTENCE_END = re.compile(r"[.!?\n]+")
 _SIGNS = re.compile(r"[\W_]+")
@@ -151,35 +153,45 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
-    """Normalised kernel values, words x landmarks."""
-    row, code, value = features(landmarks)
-    known, place = np.unique(code, return_inverse=True)
-    table = np.zeros((len(known) + 1, len(landmarks)))
-    table[place, row] = value
+    """Normalised kernel values, words x landmarks, worked out for a few landmarks and words at a time."""
     out = np.zeros((len(words), len(landmarks)))
-    row, code, value = features(words)
-    at = np.searchsorted(known, code)
-    hit = (at < len(known)) & (known[np.minimum(at, len(known) - 1)] == code)
-    row, at, value = row[hit], at[hit], value[hit]
-    order = np.argsort(row, kind="stable")
-    for start in range(0, len(order), 1 << 16):
-        part = order[start : start + (1 << 16)]
-        r = row[part]
-        starts = np.nonzero(np.r_[True, r[1:] != r[:-1]])[0]
-        out[r[starts]] += np.add.reduceat(table[at[part]] * value[part, None], starts, axis=0)
+    for first in range(0, len(words), AT_ONCE):
+        row, code, value = features(words[first : first + AT_ONCE])
+        for start in range(0, len(landmarks), AT_ONCE // 8):
+            own = landmarks[start : start + AT_ONCE // 8]
+            own_row, own_code, own_value = features(own)
+            known, place = np.unique(own_code, return_inverse=True)
+            if not len(known):
+                continue
+            table = np.zeros((len(known), len(own)))
+            table[place, own_row] = own_value
+            at = np.minimum(np.searchsorted(known, code), len(known) - 1)
+            hit = np.nonzero(known[at] == code)[0]
+            if not len(hit):
+                continue
+            r = row[hit]
+            starts = np.nonzero(np.r_[True, r[1:] != r[:-1]])[0]
+            products = table[at[hit]] * value[hit, None]
+            np.add.at(out, (first + r[starts], slice(start, start + len(own))), np.add.reduceat(products, starts, axis=0))
     return out
 
 
 def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and bias of the squared hinge loss, by Newton's method on the active rows."""
-    x = np.c_[x, np.ones(len(x))]
-    ridge = np.full(x.shape[1], penalty)
+    size = x.shape[1] + 1
+    ridge = np.full(size, penalty)
     ridge[-1] = 1e-6
-    w = np.zeros(x.shape[1])
+    w = np.zeros(size)
     for _ in range(50):
-        active = 1 - y * (x @ w) > 0
-        xa, wa = x[active], weight[active]
-        new = np.linalg.solve((xa * wa[:, None]).T @ xa + np.diag(ridge), (xa * wa[:, None]).T @ y[active])
+        square, right = np.diag(ridge), np.zeros(size)
+        active = 1 - y * (x @ w[:-1] + w[-1]) > 0
+        for at in range(0, len(x), AT_ONCE):
+            part = active[at : at + AT_ONCE]
+            xa = np.c_[x[at : at + AT_ONCE][part], np.ones(part.sum())]
+            weighted = xa * weight[at : at + AT_ONCE][part][:, None]
+            square += weighted.T @ xa
+            right += weighted.T @ y[at : at + AT_ONCE][part]
+        new = np.linalg.solve(square, right)
         if np.allclose(new, w, atol=1e-8):
             break
         w = w + 0.7 * (new - w)
