@@ -3,14 +3,16 @@
 A seen bigram gets its Good-Turing discounted share of its context, an unseen one
 what the discounts leave, shared out like unigrams: p(w | u) = alpha(u) p(w) with
 alpha(u) = (1 - sum of the seen shares) / (1 - sum of the seen words' p), so every
-context adds up to one. Unigrams are discounted the same way; words outside the
-head share what is left with one unknown word, evenly.
+context adds up to one. Unigrams are discounted the same way; what is left goes
+to one unknown word. Only where a caller limits the words by ``head_rows``, the
+others share what is left with the unknown word, evenly.
 
 What is counted, and how it stays whole and bounded:
 
 * unigrams: per task, then by word. The ``HEAD_ROWS`` most frequent words at most
-  are sent to the tasks, with their counts; documents' other words meet the
-  unigram table in a shuffle.
+  are sent to the tasks, with their counts, as a cache; documents' other words
+  meet the unigram table in a shuffle, for the documents' base scores and, with
+  the shards they stand in, for the shards' unigram probabilities.
 * frequent pairs: pairs of the words with at least one in ``HOT`` of all tokens
   are counted first, and those with one in ``PAIRS`` are sent to the tasks: at
   most ``PAIRS`` rows. They hold every key that could fill a task by itself.
@@ -88,7 +90,8 @@ class Head:
 
     hashes: np.ndarray
     counts: np.ndarray
-    log_p: np.ndarray
+    factors: np.ndarray
+    # of all words that are neither in the head nor in the unigram table
     tail_log_p: float
     n: int
     v: int
@@ -102,13 +105,27 @@ class Head:
         """Place of each hash among the head's words, -1 for others."""
         return _place(self.hashes, hashes)
 
-    def p_log(self, place: np.ndarray) -> np.ndarray:
-        return np.where(place >= 0, self.log_p[np.maximum(place, 0)] if len(self.log_p) else 0.0, self.tail_log_p)
+    def log_p(self, counts: np.ndarray) -> np.ndarray:
+        """Logarithms of the unigram probabilities of words with these counts."""
+        return np.log10(_discounted(counts, self.factors) / (self.n + 1))
+
+    def p_log(self, hashes: np.ndarray, tail: np.ndarray, tail_counts: np.ndarray) -> np.ndarray:
+        """The same by hash; ``tail`` has the words known beside the head, in order."""
+        out = np.full(len(hashes), self.tail_log_p)
+        for known, counts in ((tail, tail_counts), (self.hashes, self.counts)):
+            place = _place(known, hashes)
+            inside = place >= 0
+            out[inside] = self.log_p(counts[place[inside]])
+        return out
 
     def hot_place(self, hashes: np.ndarray) -> np.ndarray:
         return _place(self.hot, hashes)
 
 
+def _discounted(counts: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    return np.where(counts <= K, factors[np.minimum(counts, K)], 1.0) * counts
+
+
 def _place(known: np.ndarray, asked: np.ndarray) -> np.ndarray:
     if not len(known):
         return np.full(len(asked), -1)
@@ -167,14 +184,14 @@ def unigrams(docs: DataFrame) -> DataFrame:
     return found.groupBy("w").agg(F.sum("n").alias("n"))
 
 
-def head_of(words: DataFrame, documents: int, head_rows: int = HEAD_ROWS) -> Head:
-    """The head of the unigram table, within its bounds."""
+def head_of(words: DataFrame, documents: int, rows: int = HEAD_ROWS, only: bool = False) -> Head:
+    """The head of the unigram table, within its bounds; ``only`` leaves other words without a probability of their own."""
     rank = F.floor(F.log2("n") * 16)
     total = words.agg(F.sum("n"), F.count(F.lit(1))).first()
     n, v = total[0] or 0, total[1]
     least, taken = 1 << 30, 0
     for row in sorted(words.groupBy(rank.alias("rank")).count().collect(), reverse=True):
-        if (taken := taken + row["count"]) > head_rows:
+        if (taken := taken + row["count"]) > rows:
             break
         least = row["rank"]
     known = words.filter(rank >= least).select("w", "n").toArrow()
@@ -183,10 +200,12 @@ def head_of(words: DataFrame, documents: int, head_rows: int = HEAD_ROWS) -> Hea
     hashes, counts = hashes[order], counts[order]
     few = {r["n"]: r["count"] for r in words.filter(F.col("n") <= K + 1).groupBy("n").count().collect()}
     d = discounts(np.array([0.0, *[few.get(r, 0) for r in range(1, K + 2)]]))
-    p = np.where(counts <= K, d[np.minimum(counts, K)], 1.0) * counts / (n + 1)
-    rest = (1.0 - p.sum()) / (v - len(counts) + 1)
+    if only:
+        rest = (1.0 - _discounted(counts, d).sum() / (n + 1)) / (v - len(counts) + 1)
+    else:
+        rest = (1.0 + sum((1.0 - d[r]) * r * few.get(r, 0) for r in range(1, K + 1))) / (n + 1)
     hot = hashes[counts * HOT >= n] if n else hashes[:0]
-    return Head(hashes, counts, np.log10(p), float(np.log10(rest)), n, v, documents, np.sort(np.r_[hot, word_hash(START)]))
+    return Head(hashes, counts, d, float(np.log10(rest)), n, v, documents, np.sort(np.r_[hot, word_hash(START)]))
 
 
 def _pairs(words: Words, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -253,7 +272,10 @@ def _context_counts(head: Head, hot_place: np.ndarray) -> np.ndarray:
 
 
 def _known_parts(docs: DataFrame, head: Head) -> DataFrame:
-    """Per row: tokens, known tokens and unigram logarithms of head words, frequent pairs' part, and other words."""
+    """Per row: tokens, known tokens and unigram logarithms of head words, frequent pairs' part, and other words.
+
+    Each other word comes with the place of its bigram in the range that shards divide.
+    """
     shipped = docs.sparkSession.sparkContext.broadcast(head)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,13 +290,17 @@ def _known_parts(docs: DataFrame, head: Head) -> DataFrame:
             pair = _frequent(own, hot, u, w)
             seen = pair >= 0
             part = np.log10(own.pair_n[pair[seen]]) - np.log10(_context_counts(own, hot[u][seen]) + 1.0)
-            order = np.lexsort((hashes[w][~inside], doc[~inside]))
-            d, h = doc[~inside][order], hashes[w][~inside][order]
-            starts = np.nonzero(np.r_[True, (d[1:] != d[:-1]) | (h[1:] != h[:-1])])[0] if len(d) else np.zeros(0, int)
+            d, h = doc[~inside], hashes[w][~inside]
+            at = _spread(hashes[u][~inside], h, hot[u][~inside] >= 0)
+            order = np.lexsort((at, h, d))
+            d, h, at = d[order], h[order], at[order]
+            new = (d[1:] != d[:-1]) | (h[1:] != h[:-1]) | (at[1:] != at[:-1])
+            starts = np.nonzero(np.r_[True, new])[0] if len(d) else np.zeros(0, int)
             f = np.diff(np.r_[starts, len(d)])
             ends = np.cumsum(np.bincount(d[starts], minlength=m)) if len(d) else np.zeros(m, int)
             offsets = pa.array(np.r_[0, ends].astype(np.int32))
-            pairs = pa.StructArray.from_arrays([pa.array(h[starts]), pa.array(f.astype(np.int64))], names=["w", "f"])
+            columns = [pa.array(h[starts]), pa.array(f.astype(np.int64)), pa.array((at[starts] - (1 << 31)).astype(np.int32))]
+            pairs = pa.StructArray.from_arrays(columns, names=["w", "f", "at"])
             yield pa.RecordBatch.from_arrays(
                 [
                     *batch.columns[:3],
@@ -290,7 +316,7 @@ def _known_parts(docs: DataFrame, head: Head) -> DataFrame:
     return docs.mapInArrow(
         run,
         "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, head_known bigint, head_logs double, "
-        "pairs_part double, others array<struct<w:bigint,f:bigint>>",
+        "pairs_part double, others array<struct<w:bigint,f:bigint,at:int>>",
     )
 
 
@@ -324,12 +350,12 @@ def _rows(batch: pa.RecordBatch) -> np.ndarray:
 
 def _pack(held: list, shards: int) -> pa.RecordBatch:
     row, u, w, hot = (np.concatenate(c) for c in zip(*held, strict=True))
-    # hashes are even over their range: a shard is a part of it, and sorting by hash sorts by shard
-    mixed = np.where(hot, _mixed(u, w), u)
-    order = np.argsort(mixed)
+    # sorting by place sorts by shard
+    at = _spread(u, w, hot)
+    order = np.argsort(at)
     row, u, w = row[order], u[order], w[order]
-    shard = ((mixed[order] >> 31) * shards) >> 32
-    del mixed, order
+    shard = (at[order] * shards) >> 32
+    del at, order
     docs, at = np.unique(row, return_inverse=True)
     if len(docs) >= 1 << 32:
         raise ValueError("too many rows packed at once")
@@ -347,6 +373,11 @@ def _pack(held: list, shards: int) -> pa.RecordBatch:
     )
 
 
+def _spread(u: np.ndarray, w: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Places of bigrams in a range of 32 bits, over which hashes are even: a shard is a part of it."""
+    return np.where(hot, _mixed(u, w), u) >> 31
+
+
 def _mixed(u: np.ndarray, w: np.ndarray) -> np.ndarray:
     """A hash of both words, of 63 bits."""
     mixed = (u.view(np.uint64) ^ (w.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
@@ -370,8 +401,11 @@ _SUMMARY = (
 )
 
 
-def _summary(packed: list[bytes], head: Head) -> dict:
-    """A shard's table: counts of counts, hot contexts' parts, and the documents' terms."""
+def _summary(packed: list[bytes], head: Head, tail: np.ndarray, tail_counts: np.ndarray) -> dict:
+    """A shard's table: counts of counts, hot contexts' parts, and the documents' terms.
+
+    ``tail`` has the hashes, in order, of the shard's words that only the unigram table knows.
+    """
     row, u, w = (np.concatenate(c) for c in zip(*map(_unpack, packed), strict=True))
     packed.clear()
     # bigrams are told apart by the hash of both words
@@ -386,7 +420,7 @@ def _summary(packed: list[bytes], head: Head) -> dict:
     cu, context = np.unique(pu, return_inverse=True)
     context = context.astype(np.int32)
     hot = head.hot_place(cu)
-    p_log = head.p_log(head.place(pw))
+    p_log = head.p_log(pw, tail, tail_counts)
     del pu, pw
     # per context: discounted counts 1..K, the sum of the others, the seen words' probabilities
     stats = np.zeros((len(cu), K + 2))
@@ -428,14 +462,22 @@ def _summary(packed: list[bytes], head: Head) -> dict:
     }
 
 
-def _summaries(packed: DataFrame, head: Head) -> DataFrame:
+def _tails(parts: DataFrame, words: DataFrame, shards: int) -> DataFrame:
+    """(shard, w, n): by shard, its words outside the head with their training counts."""
+    shard = F.shiftright((F.col("o.at").cast("bigint") + (1 << 31)) * shards, 32).cast("int")
+    return parts.select(F.explode("others").alias("o")).select(shard.alias("shard"), "o.w").join(words, "w").select("shard", "w", "n")
+
+
+def _summaries(packed: DataFrame, tails: DataFrame, head: Head) -> DataFrame:
     shipped = packed.sparkSession.sparkContext.broadcast(head)
 
-    def run(shard: pd.DataFrame) -> pd.DataFrame:
-        made = _summary(list(shard["packed"]), shipped.value)
+    def run(shard: pd.DataFrame, tail: pd.DataFrame) -> pd.DataFrame:
+        w, first = np.unique(tail["w"].to_numpy(np.int64), return_index=True)
+        n = tail["n"].to_numpy(np.int64)[first]
+        made = _summary(list(shard["packed"]), shipped.value, w, n)
         return pd.DataFrame({name: [value] for name, value in made.items()})
 
-    return packed.groupBy("shard").applyInPandas(run, _SUMMARY)
+    return packed.groupBy("shard").cogroup(tails.groupBy("shard")).applyInPandas(run, _SUMMARY)
 
 
 def _alpha(stats: np.ndarray, total: np.ndarray, whole: np.ndarray, d: np.ndarray) -> np.ndarray:
@@ -497,14 +539,22 @@ def _hot_alpha(summaries: DataFrame, head: Head, d: np.ndarray) -> np.ndarray:
     for r in parts.groupBy("hot").agg(*[F.sum(f"s{j}").alias(f"s{j}") for j in range(width)]).collect():
         stats[r["hot"]] = [r[f"s{j}"] for j in range(width)]
     np.add.at(stats[:, K], head.pair_u, head.pair_n)
-    places = head.place(head.hot[head.pair_w]) if len(head.pair_w) else np.zeros(0, int)
-    np.add.at(stats[:, K + 1], head.pair_u, 10.0 ** head.p_log(places))
+    # hot words are in the head
+    none = np.zeros(0, np.int64)
+    np.add.at(stats[:, K + 1], head.pair_u, 10.0 ** head.p_log(head.hot[head.pair_w], none, none))
     total = _context_counts(head, np.arange(len(head.hot)))
     return _alpha(stats, total, total + 1.0, d)
 
 
-def scores(docs: DataFrame, head_rows: int = HEAD_ROWS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """Per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+def scores(
+    docs: DataFrame, head_rows: int | None = None, shard_tokens: int = SHARD_TOKENS, cached_rows: int = HEAD_ROWS
+) -> DataFrame:
+    """Per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+
+    All words of the training documents have their own probability. ``cached_rows``
+    bounds those sent to the tasks and changes no score. A caller who wants a
+    smaller vocabulary in ``score`` limits it to ``head_rows`` words.
+    """
     docs = docs.select(
         F.monotonically_increasing_id().alias("row"),
         F.col("doc_id").cast("bigint").alias("doc_id"),
@@ -512,12 +562,13 @@ def scores(docs: DataFrame, head_rows: int = HEAD_ROWS, shard_tokens: int = SHAR
         F.col("text").cast("string").alias("text"),
     )
     words = stage(unigrams(docs), "unigrams")
-    head = head_of(words, docs.filter(~F.col("held_out")).count(), head_rows)
+    head = head_of(words, docs.filter(~F.col("held_out")).count(), cached_rows if head_rows is None else head_rows, head_rows is not None)
     head = _with_frequent_pairs(docs, head)
     parts = stage(_known_parts(docs, head), "known-parts")
     size = parts.agg(F.sum("n_tokens")).first()[0] or 0
-    packed = _shards(docs, head, max(1, -(-size // shard_tokens)))
-    summaries = stage(_summaries(packed, head), "bigram-shards")
+    shards = max(1, -(-size // shard_tokens))
+    tails = _tails(parts, words if head_rows is None else words.limit(0), shards)
+    summaries = stage(_summaries(_shards(docs, head, shards), tails, head), "bigram-shards")
     counted = summaries.select(F.posexplode("counts").alias("r", "n")).groupBy("r").agg(F.sum("n").alias("n")).collect()
     n = np.zeros(K + 3)
     for r in counted:

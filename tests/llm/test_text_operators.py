@@ -323,6 +323,19 @@ def test_katz(spark, prose, head_rows, hot, monkeypatch):
         assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], abs=2e-6)
 
 
+@pytest.mark.parametrize("cached", [60, 1 << 18])
+def test_katz_gives_every_word_its_own_probability(spark, prose, cached, monkeypatch):
+    """The words sent to the tasks are a cache: how many there are changes no score."""
+    monkeypatch.setattr(katz, "HOT", 25)
+    docs = [(i, t) for i, t in prose + ODD if i is not None]
+    model = brute.Katz([(i, t) for i, t in docs if brute.crc(i) % 7 != 2], 25)
+    assert len(model.uni) > 4 * 60
+    got = katz.scores(frame(spark, docs), shard_tokens=500, cached_rows=cached).collect()
+    want = sorted((i, model.score(t)) for i, t in docs)
+    for a, b in zip(sorted((r["doc_id"], r["score"]) for r in got), want, strict=True):
+        assert a[0] == b[0] and a[1] == pytest.approx(b[1], abs=2e-6)
+
+
 # --- nothing at all
 
 
