@@ -259,6 +259,20 @@ def test_license_scan(spark):
     assert sorted(rows, key=str) == scanned(docs)
 
 
+def test_license_windows(spark):
+    """Wrapped notices are whole, scattered words are none, short templates need their telling word."""
+    wrapped = [
+        (n, "# some code\n# " + template.replace(" ", "\n# " if n % 2 else "\n", 30) + "\nmore text here", label)
+        for n, (label, template) in enumerate(licenses.TEMPLATES)
+    ]
+    far = " ".join(f"{w} " + "lorem ipsum dolor " * 20 for w in licenses.TEMPLATES[1][1].split())
+    others = ["Released under the Apache License.", "Licensed under CC BY 4.0", "Licensed under CC BY-SA 4.0", far]
+    docs = [(n, text) for n, text, _ in wrapped] + [(100 + n, text) for n, text in enumerate(others)]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan(frame(spark, docs)).collect()}
+    assert all(label in got[n][0].split(",") and got[n][1] == 1 for n, _, label in wrapped)
+    assert [got[100 + n][0] for n in range(4)] == ["apache", "", "", ""]
+
+
 # --- tokens
 
 
