@@ -90,6 +90,23 @@ def test_trees_choose_spans_the_rules_miss(spark):
     assert by_doc >= {2000, 2001}
 
 
+def test_trees_choose_frequent_spans_the_rules_miss(spark):
+    """Spans in the generators' own forms are found where they are as frequent as confirmed ones."""
+    rng = random.Random(5)
+    texts = []
+    for n in range(300):
+        phone, number = f"1 ({rng.randint(200, 999)}) 555-{rng.randint(0, 9999):04d}", card(rng)
+        texts += [("sure", f"mail user{n}@mail.example.com now"), ("email", f"mail other{n} [at] mail.example.com now"),
+                  ("sure", f"call +{phone} now"), ("phone", f"call {phone} now"), ("sure", f"card {number} ok"),
+                  ("card", "card " + "/".join(number[i : i + 4] for i in (0, 4, 8, 12)) + " ok"),
+                  ("none", f"order {rng.randint(10**9, 10**10)} ok"), ("none", f"meet{n} [at] noon now")]
+    df = spark.createDataFrame([(n, text) for n, (_, text) in enumerate(texts)], "doc_id bigint, text string")
+    found = {(r["doc_id"], s["kind"]) for r in pii.find(df).collect() for s in r["spans"]}
+    for kind in ("email", "phone", "card"):
+        assert sum((n, kind) in found for n, (k, _) in enumerate(texts) if k == kind) >= 270
+    assert sum(texts[n][0] == "none" for n, _ in found) <= 12
+
+
 def test_personal_data_without_python_or_rows(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     found = pii.find(df)
