@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convoca.llm import oracles, pii, toxicity
+from convoca.llm import oracles, pii, spelling, toxicity
 from convoca.llm.bpe import encode_decode
 from convoca.llm.common import read
 from convoca.llm.decontaminate import contamination
@@ -108,6 +108,11 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    runs = spelling.letter_runs(read(spark, folder, "documents"), misspell_every=199)
+    return spelling.variants(spelling.word_counts(runs))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_decontamination": op2_decontamination,
@@ -119,8 +124,13 @@ QUERIES = {
     "op8_personal_data": op8_personal_data,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_toxicity": op10_toxicity,
+    "op11_spelling_variants": op11_spelling_variants,
 }
 
 QUERIES = {name: _prepared(query) for name, query in QUERIES.items()}
 
-ORACLES = {"op2_decontamination": oracles.DECONTAMINATION, "op4_line_dedup": oracles.LINE_DEDUP}
+ORACLES = {
+    "op2_decontamination": oracles.DECONTAMINATION,
+    "op4_line_dedup": oracles.LINE_DEDUP,
+    "op11_spelling_variants": oracles.SPELLING,
+}
