@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convoca.llm import oracles, pii, spelling, toxicity
+from convoca.llm import dialogue, oracles, pii, secrets, spelling, toxicity
 from convoca.llm.bpe import encode_decode
 from convoca.llm.common import read
 from convoca.llm.decontaminate import contamination
@@ -113,6 +113,21 @@ def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.variants(spelling.word_counts(runs))
 
 
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    said = read(spark, folder, "conversations")
+    return dialogue.report(dialogue.damaged(said), said)
+
+
+def op13_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.find(read(spark, folder, "documents")).withColumn("base", F.filter("spans", lambda s: s["base"]))
+
+    def count(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    digest = F.sha2(secrets.joined("base"), 256).alias("base_sha256")
+    return found.select("doc_id", *map(count, secrets.KINDS), digest, secrets.joined("spans").alias("spans"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_decontamination": op2_decontamination,
@@ -125,6 +140,8 @@ QUERIES = {
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_toxicity": op10_toxicity,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_secret_scan": op13_secret_scan,
 }
 
 QUERIES = {name: _prepared(query) for name, query in QUERIES.items()}

@@ -49,7 +49,7 @@ def test_stages_keep_the_columns(spark):
 
 def test_every_operator_has_its_query():
     numbers = sorted(int(n[2:].split("_")[0]) for n in entry.queries() if n.startswith("op") and n[2].isdigit())
-    assert numbers == list(range(1, 12)) and "pipeline" in entry.queries()
+    assert numbers == list(range(1, 14)) and "pipeline" in entry.queries()
 
 
 @pytest.mark.parametrize("name", sorted(entry.LLM_ORACLES))
