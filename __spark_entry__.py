@@ -33,13 +33,15 @@ from convoca.operators.quality import (
 )
 from convoca.operators.radius import postcodes_within
 from convoca.operators.rank import semantic_rank, with_scores
+from convoca.operators.streams import open_streams, stored_candidates, write_streams
 from convoca.operators.upsert import append_numbered, event_key, insert_missing, resolve_unique, upsert
 from convoca.operators.validate import check_requests, parameters_from_json
 from convoca.plans import search as S
-from convoca.plans.ingest import load_batch
+from convoca.plans.ingest import load_batch, publish_version
 from convoca.plans.views import COMPLETE_EVENTS, active_categories, active_events, complete_events, register_views
 from convoca.sources.driver_tables import DriverTables, event_id
-from convoca.sources.staging import stage
+from convoca.sources.staging import stage, staged_folder
+from convoca.sources.versions import create, read_version, resolve
 
 try:
     import corpus_pipeline
@@ -525,31 +527,81 @@ def upsert_categories(spark: SparkSession, folder: str) -> DataFrame:
     return upsert(target, batch, ["id_categoria"], schemas.UPSERT_UPDATES["categorias"], "seq")
 
 
-def load_batch_tables(spark: SparkSession, folder: str) -> DataFrame:
-    """A batch of rows for every table; rows and a checksum of the keys of each afterwards."""
-    data = DriverTables(spark, folder)
+def _batch_for_all(data: DriverTables) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """All nine tables, and a batch for each: changed rows and new ones, appended rows for the numbered tables."""
     tables = {name: getattr(data, name)() for name in schemas.TABLES}
-    batch = {name: df.limit(0).withColumn("seq", F.lit(1)) for name, df in tables.items()}
-    batch |= {
-        name: tables[name].withColumn("seq", F.lit(1))
-        for name in ("ciudades", "codigos_postales", "categorias", "evento_categorias", "binarios_storage")
+    seq = F.lit(1).alias("seq")
+    text = lambda start, column: F.concat(F.lit(start), F.col(column).cast("string"))
+    region = data.table("region")
+    cities = tables["ciudades"].filter("id_ciudad % 3 = 0").withColumn("nombre", F.concat("nombre", F.lit(" nova")))
+    new_cities = region.select((F.col("r_regionkey") + 900).alias("id_ciudad"), text("Regió ", "r_name").alias("nombre"), F.col("r_name").alias("provincia"))
+    moved = tables["codigos_postales"].withColumn("latitud", F.col("latitud") + 0.5).withColumn("id_ciudad", F.lit(-1))
+    new_codes = data.table("supplier").select(
+        F.concat(F.lit("n"), padded(F.col("s_suppkey"), 4)).alias("cp"), F.col("s_nationkey").alias("id_ciudad"),
+        F.lit(41.5).alias("latitud"), F.lit(2.5).alias("longitud"),
+    )
+    events = tables["eventos_master"].withColumn("clave", F.substring("titulo_es", 8, 30).cast("bigint"))
+    new_id = F.sha2(text("nova-", "clave"), 256)
+    fresh = events.filter("clave % 10 = 3").withColumns(
+        {"id_unico_evento": new_id, "titulo_es": text("Nova ", "clave"), "id_familia": F.lit(None).cast("string")}
+    )
+    changed = events.filter("clave % 4 = 1").withColumns({"titulo_es": text("Nou ", "clave"), "precio_euros": F.lit(1.5)})
+    own = events.select("id_unico_evento")
+    batch = {
+        "ciudades": cities.unionByName(new_cities),
+        "codigos_postales": moved.unionByName(new_codes),
+        "categorias": tables["categorias"].withColumns({c: F.concat(c, F.lit(" nou")) for c in ("nombre_es", "nombre_cat")}),
+        "fuentes_familia": tables["fuentes_familia"].withColumn("id_familia", F.concat(F.lit("n"), "id_familia")),
+        "eventos_master": changed.unionByName(fresh).drop("clave"),
+        "evento_categorias": tables["evento_categorias"].unionByName(fresh.select("id_unico_evento", F.lit(1).alias("id_categoria"))),
+        "evento_horarios": tables["evento_horarios"].filter("substring(id_unico_evento, 1, 1) < '4'").withColumn(
+            "fecha_inicio", F.date_add("fecha_inicio", 364)
+        ),
+        "binarios_storage": tables["binarios_storage"].join(own, "id_unico_evento", "left_semi"),
+        "auditoria_scraping": tables["auditoria_scraping"].join(own, "id_unico_evento", "left_semi"),
     }
-    batch["fuentes_familia"] = tables["fuentes_familia"].withColumns(
-        {"id_familia": F.concat(F.lit("n"), "id_familia"), "seq": F.lit(1)}
-    )
-    batch["auditoria_scraping"] = tables["auditoria_scraping"].filter("id_auditoria % 2 = 0").withColumn("seq", F.lit(1))
-    loaded = load_batch(tables, batch)
+    return tables, {name: rows.select("*", seq) for name, rows in batch.items()}
+
+
+def _fingerprints(tables: dict[str, DataFrame]) -> DataFrame:
+    """Per table: rows, the largest generated id, and a sum of hashes over the columns of every row."""
     out = []
-    for name, df in loaded.items():
-        key = F.concat_ws("/", *[F.col(c).cast("string") for c in schemas.PRIMARY_KEYS[name]])
+    for name, columns in oracles.LOADED.items():
+        texts = [F.coalesce(F.expr(c).cast("string"), F.lit("-")) for c in columns]
+        digest = F.conv(F.substring(F.sha2(F.concat_ws("|", *texts), 256), 1, 10), 16, 10).cast("bigint")
+        top = F.max(oracles.GENERATED[name]) if name in oracles.GENERATED else F.lit(None)
         out.append(
-            df.select(key.alias("k")).agg(
-                F.lit(name).alias("tabla"), F.count(F.lit(1)).alias("filas"), F.sum(F.length("k")).alias("largo"), F.min("k").alias("primera")
+            tables[name].agg(
+                F.lit(name).alias("tabla"), F.count(F.lit(1)).alias("filas"), top.cast("bigint").alias("mayor"), F.sum(digest).alias("huella")
             )
         )
     return reduce(DataFrame.unionByName, out)
 
 
+def load_batch_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """A batch of rows for every table, loaded into snapshots."""
+    tables, batch = _batch_for_all(DriverTables(spark, folder))
+    return _fingerprints(load_batch(tables, batch))
+
+
+def published_load(spark: SparkSession, folder: str) -> DataFrame:
+    """The same batch published as version 2 of a stored catalog, read from its files."""
+    tables, batch = _batch_for_all(DriverTables(spark, folder))
+    place = staged_folder(spark, "versiones")
+    create(spark, place, tables, cubos=8)
+    publish_version(spark, place, batch)
+    version = resolve(spark, place)
+    return _fingerprints({name: read_version(spark, version, name) for name in version.tables})
+
+
+def stored_stream_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    """The earliest candidates of all requests, read from stored streams."""
+    data = DriverTables(spark, folder)
+    catalog, place = data.catalog(), staged_folder(spark, "flujos")
+    write_streams(catalog, place, cubos=32)
+    return stored_candidates(data.requests(), catalog, open_streams(spark, place)).select(*_CANDIDATE)
+
+
 def events_view_by_town(spark: SparkSession, folder: str) -> DataFrame:
     """The view of complete events, asked in SQL."""
     register_views(DriverTables(spark, folder).catalog())
@@ -683,6 +735,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "json_vectors": json_vectors,
         "upsert_categories": upsert_categories,
         "load_batch_tables": load_batch_tables,
+        "published_load": published_load,
+        "stored_stream_candidates": stored_stream_candidates,
         "events_view_by_town": events_view_by_town,
         **LLM_QUERIES,
     }

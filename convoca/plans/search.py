@@ -11,6 +11,7 @@ from convoca.functions.text import decode_tags, short_hour
 from convoca.operators.earliest import earliest_candidates
 from convoca.operators.radius import postcodes_within
 from convoca.operators.rank import LANGUAGES, convertible, only_needed, semantic_rank
+from convoca.operators.streams import Streams, stored_candidates
 from convoca.sources.catalog import Catalog
 from convoca.sources.staging import stage
 
@@ -188,15 +189,19 @@ def search(
     with_categories: bool = False,
     zero_distance_null: bool = False,
     short_hours: bool = False,
+    streams: Streams | None = None,
 ) -> DataFrame:
     """Ranked results of every request, one row per returned occurrence.
 
     The narrow candidates are staged, then vectors are read for their events
-    only, and titles, texts and links only for what is returned.
+    only, and titles, texts and links only for what is returned. With stored
+    ``streams`` of the catalog the candidates are read from them.
     """
-    candidates = stage(
-        earliest_candidates(requests, catalog, cap, on_unknown_origin), "candidatas"
-    )
+    if streams is None:
+        candidates = earliest_candidates(requests, catalog, cap, on_unknown_origin)
+    else:
+        candidates = stored_candidates(requests, catalog, streams, cap, on_unknown_origin)
+    candidates = stage(candidates, "candidatas")
     ranked = stage(
         semantic_rank(candidates, requests, catalog, threshold, fallback, missing), "ordenadas"
     )

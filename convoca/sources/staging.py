@@ -50,6 +50,11 @@ def clear_staged(spark: SparkSession) -> None:
                 files.delete(status.getPath(), True)
 
 
+def staged_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, which ``clear_staged`` removes."""
+    return f"{shared_dir(spark)}/{STAGED}{name}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and continue from the files.
 
@@ -57,7 +62,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     executor costs no recomputation, and the file sizes give the planner real
     statistics. ``clear_staged`` removes the files.
     """
-    path = f"{shared_dir(df.sparkSession)}/{STAGED}{name}-{uuid.uuid4().hex}"
+    path = staged_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -192,6 +192,63 @@ _DEPENDS = {
 }
 
 
+# columns whose texts make up the fingerprint of a loaded row, as both engines write them
+LOADED = {
+    "ciudades": ["id_ciudad", "nombre", "provincia"],
+    "codigos_postales": ["cp", "id_ciudad", "cast(round(latitud * 100000) as bigint)", "cast(round(longitud * 100000) as bigint)"],
+    "categorias": ["id_categoria", "nombre_es", "nombre_cat", "slug", "orden", "activo"],
+    "fuentes_familia": ["id_familia", "id_ciudad", "nombre_entidad"],
+    "eventos_master": [
+        "id_unico_evento", "metodo_ingesta", "fuente_id", "estado", "id_ciudad", "cp_evento", "poblacion_nombre", "lugar_nombre",
+        "direccion_fisica", "titulo_es", "titulo_cat", "desc_larga_es", "desc_larga_cat", "tags_es", "tags_cat", "es_gratuito",
+        "cast(round(precio_euros * 100) as bigint)", "link_entradas_inscripcion", "imagen_principal_url", "id_familia",
+    ],
+    "evento_categorias": ["id_unico_evento", "id_categoria"],
+    "evento_horarios": ["id_unico_evento", "fecha_inicio", "fecha_fin", "hora_inicio", "hora_fin"],
+    "binarios_storage": ["id_unico_evento", "tipo_archivo"],
+    "auditoria_scraping": ["id_unico_evento", "resultado"],
+}
+GENERATED = {"evento_horarios": "id_horario", "binarios_storage": "id_binario", "auditoria_scraping": "id_auditoria"}
+
+# every table after the batch of the load queries
+_AFTER_LOAD = {
+    "ciudades": """SELECT id_ciudad, CASE WHEN id_ciudad % 3 = 0 THEN nombre || ' nova' ELSE nombre END AS nombre, provincia FROM ciudades
+UNION ALL SELECT r_regionkey + 900, 'Regió ' || r_name, r_name FROM region""",
+    "codigos_postales": f"""SELECT cp, id_ciudad, latitud + 0.5e0 AS latitud, longitud FROM codigos_postales
+UNION ALL SELECT 'n' || {_PAD.format('s_suppkey', 4)}, s_nationkey, 41.5e0, 2.5e0 FROM supplier""",
+    "categorias": "SELECT id_categoria, nombre_es || ' nou' AS nombre_es, nombre_cat || ' nou' AS nombre_cat, slug, orden, activo FROM categorias",
+    "fuentes_familia": "SELECT p || id_familia AS id_familia, id_ciudad, nombre_entidad FROM fuentes_familia, (VALUES (''), ('n')) v(p)",
+    "eventos_master": """SELECT * REPLACE (CASE WHEN clave % 4 = 1 THEN 'Nou ' || CAST(clave AS VARCHAR) ELSE titulo_es END AS titulo_es) FROM eventos
+UNION ALL SELECT * REPLACE (sha256('nova-' || CAST(clave AS VARCHAR)) AS id_unico_evento, 'Nova ' || CAST(clave AS VARCHAR) AS titulo_es,
+  CAST(NULL AS VARCHAR) AS id_familia) FROM eventos WHERE clave % 10 = 3""",
+    "evento_categorias": """SELECT id_unico_evento, id_categoria FROM evento_categorias
+UNION ALL SELECT sha256('nova-' || CAST(clave AS VARCHAR)), 1 FROM eventos WHERE clave % 10 = 3""",
+    "evento_horarios": """SELECT id_horario, id_unico_evento, fecha_inicio, fecha_fin, hora_inicio, hora_fin FROM horarios
+UNION ALL SELECT (SELECT max(id_horario) FROM horarios) + row_number() OVER (), id_unico_evento, fecha_inicio + 364, fecha_fin, hora_inicio, hora_fin
+FROM horarios WHERE substr(id_unico_evento, 1, 1) < '4'""",
+    "binarios_storage": """SELECT id_binario, id_unico_evento, tipo_archivo FROM binarios
+UNION ALL SELECT (SELECT max(id_binario) FROM binarios) + row_number() OVER (), id_unico_evento, tipo_archivo
+FROM binarios WHERE id_unico_evento IN (SELECT id_unico_evento FROM eventos)""",
+    "auditoria_scraping": """SELECT id_auditoria, id_unico_evento, resultado FROM auditoria
+UNION ALL SELECT (SELECT max(id_auditoria) FROM auditoria) + row_number() OVER (), id_unico_evento, resultado
+FROM auditoria WHERE id_unico_evento IN (SELECT id_unico_evento FROM eventos)""",
+}
+
+
+def _loaded() -> str:
+    parts = []
+    for name, columns in LOADED.items():
+        texts = ", ".join(f"coalesce(CAST({c} AS VARCHAR), '-')" for c in columns)
+        top = f"max({GENERATED[name]})" if name in GENERATED else "NULL"
+        parts.append(
+            f"""SELECT '{name}' AS tabla, count(*) AS filas, CAST({top} AS BIGINT) AS mayor,
+  CAST(sum(CAST(('0x' || substr(sha256(concat_ws('|', {texts})), 1, 10)) AS BIGINT)) AS BIGINT) AS huella
+FROM ({_AFTER_LOAD[name]})"""
+        )
+    tables = "ciudades codigos_postales categorias fuentes_familia eventos evento_categorias horarios binarios auditoria"
+    return with_tables(tables, "\nUNION ALL\n".join(parts))
+
+
 def with_tables(names: str, body: str, conditions: str = ALL_CONDITIONS, **replaced: str) -> str:
     """``body`` after a WITH clause that defines ``names`` and what they need."""
     texts = {**CTES, **replaced}
@@ -693,25 +750,9 @@ FROM embeddings""",
   CASE WHEN id_categoria % 2 = 0 THEN 'nou' ELSE nombre_cat END AS nombre_cat, slug, orden, activo FROM categorias
 UNION ALL SELECT 500, 'Otra', 'Altra', 'otra', orden, true FROM categorias WHERE id_categoria = 1""",
         ),
-        "load_batch_tables": with_tables(
-            "ciudades codigos_postales categorias fuentes_familia eventos evento_categorias horarios binarios auditoria",
-            "\nUNION ALL\n".join(
-                f"SELECT '{name}' AS tabla, count(*) AS filas, CAST(sum(length(k)) AS BIGINT) AS largo, min(k) AS primera FROM ({keys})"
-                for name, keys in [
-                    ("ciudades", "SELECT CAST(id_ciudad AS VARCHAR) AS k FROM ciudades"),
-                    ("codigos_postales", "SELECT cp AS k FROM codigos_postales"),
-                    ("categorias", "SELECT CAST(id_categoria AS VARCHAR) AS k FROM categorias"),
-                    ("fuentes_familia", "SELECT p || id_familia AS k FROM fuentes_familia, (VALUES (''), ('n')) v(p)"),
-                    ("eventos_master", "SELECT id_unico_evento AS k FROM eventos"),
-                    ("evento_categorias", "SELECT id_unico_evento || '/' || CAST(id_categoria AS VARCHAR) AS k FROM evento_categorias"),
-                    ("evento_horarios", "SELECT CAST(id_horario AS VARCHAR) AS k FROM horarios"),
-                    ("binarios_storage", """SELECT CAST(id_binario AS VARCHAR) AS k FROM binarios UNION ALL
-  SELECT CAST((SELECT max(id_binario) FROM binarios) + row_number() OVER () AS VARCHAR) FROM binarios"""),
-                    ("auditoria_scraping", """SELECT CAST(id_auditoria AS VARCHAR) AS k FROM auditoria UNION ALL
-  SELECT CAST((SELECT max(id_auditoria) FROM auditoria) + row_number() OVER () AS VARCHAR) FROM auditoria WHERE id_auditoria % 2 = 0"""),
-                ]
-            ),
-        ),
+        "load_batch_tables": _loaded(),
+        "published_load": _loaded(),
+        "stored_stream_candidates": candidates(),
         "events_view_by_town": with_tables(
             "eventos horarios codigos_postales evento_categorias",
             """SELECT poblacion_nombre, categorias_slugs, count(*) AS filas, min(fecha_inicio) AS primera
