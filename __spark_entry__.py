@@ -38,6 +38,7 @@ from convoca.operators.upsert import append_numbered, event_key, insert_missing,
 from convoca.operators.validate import check_requests, parameters_from_json
 from convoca.plans import search as S
 from convoca.plans.ingest import load_batch, publish_version
+from convoca.plans.stored_view import refresh_view, stored_view
 from convoca.plans.views import COMPLETE_EVENTS, active_categories, active_events, complete_events, register_views
 from convoca.sources.driver_tables import DriverTables, event_id
 from convoca.sources.staging import stage, staged_folder
@@ -594,6 +595,26 @@ def published_load(spark: SparkSession, folder: str) -> DataFrame:
     return _fingerprints({name: read_version(spark, version, name) for name in version.tables})
 
 
+def refreshed_view(spark: SparkSession, folder: str) -> DataFrame:
+    """The stored view after a batch of few changes: events, schedules, pairs, a category and some postcodes."""
+    tables, batch = _batch_for_all(DriverTables(spark, folder))
+    clave = F.regexp_extract("titulo_es", "[0-9]+$", 0).cast("bigint")
+    few = {
+        "codigos_postales": batch["codigos_postales"].filter("cp like '%7'"),
+        "categorias": batch["categorias"].filter("id_categoria = 2"),
+        "eventos_master": batch["eventos_master"].filter(clave % 20 == 13),
+        "evento_categorias": batch["evento_categorias"].join(
+            batch["eventos_master"].filter(clave % 20 == 13).select("id_unico_evento"), "id_unico_evento", "left_semi"
+        ),
+        "evento_horarios": batch["evento_horarios"].filter("substring(id_unico_evento, 1, 2) < '08'"),
+    }
+    place = staged_folder(spark, "versiones")
+    create(spark, place, tables, cubos=8)
+    refresh_view(spark, place)
+    publish_version(spark, place, few)
+    return stored_view(spark, refresh_view(spark, place)).select(*oracles.VIEW_COLUMNS)
+
+
 def stored_stream_candidates(spark: SparkSession, folder: str) -> DataFrame:
     """The earliest candidates of all requests, read from stored streams."""
     data = DriverTables(spark, folder)
@@ -736,6 +757,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "upsert_categories": upsert_categories,
         "load_batch_tables": load_batch_tables,
         "published_load": published_load,
+        "refreshed_view": refreshed_view,
         "stored_stream_candidates": stored_stream_candidates,
         "events_view_by_town": events_view_by_town,
         **LLM_QUERIES,

@@ -235,6 +235,34 @@ FROM auditoria WHERE id_unico_evento IN (SELECT id_unico_evento FROM eventos)"""
 }
 
 
+VIEW_COLUMNS = [
+    "id_unico_evento", "titulo_es", "cp_evento", "es_gratuito", "fecha_inicio", "fecha_fin", "hora_inicio",
+    "cp_latitud", "cp_longitud", "categorias_es", "categorias_cat", "categorias_slugs",
+]
+
+
+def _refreshed() -> str:
+    body = f"""SELECT {", ".join(VIEW_COLUMNS)} FROM (
+  SELECT * REPLACE (CASE WHEN clave % 20 = 13 THEN 'Nou ' || CAST(clave AS VARCHAR) ELSE titulo_es END AS titulo_es) FROM eventos
+  UNION ALL SELECT * REPLACE (sha256('nova-' || CAST(clave AS VARCHAR)) AS id_unico_evento, 'Nova ' || CAST(clave AS VARCHAR) AS titulo_es)
+  FROM eventos WHERE clave % 20 = 13) e
+JOIN (SELECT id_unico_evento, fecha_inicio, fecha_fin, hora_inicio FROM horarios
+  UNION ALL SELECT id_unico_evento, fecha_inicio + 364, fecha_fin, hora_inicio FROM horarios WHERE substr(id_unico_evento, 1, 2) < '08') h
+  USING (id_unico_evento)
+JOIN (SELECT cp, CASE WHEN cp LIKE '%7' THEN latitud + 0.5e0 ELSE latitud END AS cp_latitud, longitud AS cp_longitud FROM codigos_postales) p
+  ON e.cp_evento = p.cp
+LEFT JOIN (SELECT id_unico_evento,
+    string_agg(DISTINCT nombre_es || fin, ', ' ORDER BY nombre_es || fin) AS categorias_es,
+    string_agg(DISTINCT nombre_cat || fin, ', ' ORDER BY nombre_cat || fin) AS categorias_cat,
+    string_agg(DISTINCT slug, ',' ORDER BY slug) AS categorias_slugs
+  FROM (SELECT id_unico_evento, id_categoria FROM evento_categorias
+    UNION ALL SELECT sha256('nova-' || CAST(clave AS VARCHAR)), 1 FROM eventos WHERE clave % 20 = 13)
+  JOIN (SELECT *, CASE WHEN id_categoria = 2 THEN ' nou' ELSE '' END AS fin FROM categorias) USING (id_categoria)
+  GROUP BY 1) c USING (id_unico_evento)
+WHERE estado = 'ACTIVO'"""
+    return with_tables("eventos horarios codigos_postales evento_categorias", body)
+
+
 def _loaded() -> str:
     parts = []
     for name, columns in LOADED.items():
@@ -752,6 +780,7 @@ UNION ALL SELECT 500, 'Otra', 'Altra', 'otra', orden, true FROM categorias WHERE
         ),
         "load_batch_tables": _loaded(),
         "published_load": _loaded(),
+        "refreshed_view": _refreshed(),
         "stored_stream_candidates": candidates(),
         "events_view_by_town": with_tables(
             "eventos horarios codigos_postales evento_categorias",
