@@ -22,6 +22,7 @@ from convoca.functions.text import (
 from convoca.functions.vectors import norm, usable
 from convoca.operators.annotate import annotate
 from convoca.operators.earliest import earliest_candidates
+from convoca.operators.proximity import refresh_proximity, stored_postcodes_within
 from convoca.operators.quality import (
     all_duplicates,
     blockers,
@@ -615,6 +616,20 @@ def refreshed_view(spark: SparkSession, folder: str) -> DataFrame:
     return stored_view(spark, refresh_view(spark, place)).select(*oracles.VIEW_COLUMNS)
 
 
+def stored_postcodes_in_radius(spark: SparkSession, folder: str) -> DataFrame:
+    """The neighbours of all requests' postcodes, from a stored table: built with some codes elsewhere, then refreshed."""
+    data = DriverTables(spark, folder)
+    codes = data.codigos_postales()
+    elsewhere = codes.withColumn("latitud", F.when(F.col("cp").like("%3"), F.col("latitud") + 0.25).otherwise(F.col("latitud")))
+    place = staged_folder(spark, "versiones")
+    create(spark, place, {"ciudades": data.ciudades(), "codigos_postales": elsewhere}, cubos=8)
+    refresh_proximity(spark, place)
+    publish_version(spark, place, {"codigos_postales": codes.filter("cp like '%3'").withColumn("seq", F.lit(1))})
+    version = refresh_proximity(spark, place)
+    origins = data.requests().filter("radio_km > 0").selectExpr("cp_usuario as cp_origen", "radio_km")
+    return stored_postcodes_within(origins, version).withColumn("distancia_km", F.round("distancia_km", 2))
+
+
 def stored_stream_candidates(spark: SparkSession, folder: str) -> DataFrame:
     """The earliest candidates of all requests, read from stored streams."""
     data = DriverTables(spark, folder)
@@ -757,6 +772,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "upsert_categories": upsert_categories,
         "load_batch_tables": load_batch_tables,
         "published_load": published_load,
+        "stored_postcodes_in_radius": stored_postcodes_in_radius,
         "refreshed_view": refreshed_view,
         "stored_stream_candidates": stored_stream_candidates,
         "events_view_by_town": events_view_by_town,

@@ -570,6 +570,11 @@ FROM filas"""
         "postcodes_in_radius": with_tables(
             "alcance",
             """SELECT cp_usuario AS cp_origen, radio_km, cp, round(distancia_km, 2) AS distancia_km
+FROM alcance""",
+        ),
+        "stored_postcodes_in_radius": with_tables(
+            "alcance",
+            """SELECT cp_usuario AS cp_origen, radio_km, cp, round(distancia_km, 2) AS distancia_km
 FROM alcance""",
         ),
         "origin_coordinates": with_tables(

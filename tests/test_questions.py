@@ -1,5 +1,7 @@
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from convoca.operators.annotate import annotate
 from convoca.operators.validate import accepted, check_requests, parameters_from_json, rejected
 from convoca.sources.seeds import seed_categories
@@ -110,3 +112,20 @@ def test_parameters_are_converted_where_nothing_is_lost(spark):
         assert row.extraidos and row.idioma == "es" and row[name] == value, text
     for text in given[: len(refused)] + given[len(refused) + len(taken) :]:
         assert not rows[text].extraidos and rows[text].conceptos == ["pregunta"], text
+
+
+def test_mentions_among_many_names(spark):
+    """Names of one to four words, 50,000 of them, some within others, in two languages."""
+    names = [(f"s{i}", f"Ruta {i}", f"Fira de {i} Pobles" if i % 2 else None) for i in range(50_000)]
+    names += [("corta", "ruta", "--"), ("nada", None, ""), (None, "ruta", "ruta")]
+    categories = spark.createDataFrame(names, "slug string, nombre_es string, nombre_cat string")
+    asked = ["¿Ruta 17 o fira de 41 pobles?", "rutas 17", "fira de 42 pobles", "", None, "RÚTA-4999 ruta 4999.", "ruta " * 5000] + ["ruta 7"] * 3
+    df = spark.createDataFrame([(n, q) for n, q in enumerate(asked)], "n int, pregunta string").withColumn("as_of", F.lit("2024-01-01").cast("date"))
+    found = {r["n"]: r["categorias"] for r in annotate(df, categories).collect()}
+    assert found[0] == ["corta", "s17", "s41"] and found[1] == [] and found[2] == []
+    assert found[3] == [] and found[4] == [] and found[5] == ["corta", "s4999"] and found[6] == ["corta"]
+    assert found[7] == found[8] == found[9] == ["corta", "s7"]
+    none = annotate(df, categories.limit(0)).collect()
+    assert len(none) == len(asked) and all(r["categorias"] == [] for r in none)
+    plan = annotate(df, categories)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
