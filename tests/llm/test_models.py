@@ -74,6 +74,49 @@ def test_personal_data(spark, private):
     assert masked[2] == "nothing here" and "[email]" in masked[1000] and "[card]" in masked[1002]
 
 
+class Given:
+    """A judge that takes probabilities as they stand."""
+
+    thresholds = {k: 0.5 for k in pii.KINDS}
+
+    def judged(self, found):
+        return found
+
+
+def greedy(rows):
+    """Base spans, and proposals in order of probability that overlap nothing taken so far."""
+    kept = [r for r in rows if r[4]]
+    for r in sorted((r for r in rows if not r[4] and r[5] >= 0.5), key=lambda r: (-r[5], r[2], r[3], r[1])):
+        if all(r[3] <= k[2] or k[3] <= r[2] for k in kept):
+            kept.append(r)
+    return sorted(r[:5] for r in kept)
+
+
+def test_chains_of_overlaps(spark):
+    """A span goes only for one that stays: chains of three, four and many against a plain loop."""
+    rng = random.Random(14)
+    texts = [
+        [("email", 0, 10, True, None), ("phone", 8, 20, False, 0.7), ("phone", 18, 21, False, 0.6), ("card", 20, 30, False, 0.95)],
+        [("card", 0, 10, False, 0.6), ("phone", 8, 14, False, 0.9), ("ip", 12, 20, False, 0.8), ("card", 18, 25, False, 0.7)],
+        [("card", 0, 10, False, 0.9), ("phone", 0, 10, False, 0.9), ("ip", 10, 12, True, None), ("card", 12, 14, False, 0.4)],
+        [("ip", 5, 6, True, None), ("card", 5, 9, True, None), ("phone", 0, 30, False, 0.99), ("email", 9, 30, False, 0.5)],
+    ]
+    for _ in range(150):
+        spans = set()
+        for _ in range(rng.randint(1, 12)):
+            start = rng.randint(0, 40)
+            spans.add((rng.choice(pii.KINDS), start, start + rng.randint(1, 9)))
+        texts.append([(*s, base := rng.random() < 0.2, None if base else rng.choice([0.3, 0.5, 0.7, 0.9])) for s in sorted(spans)])
+    rows = [(n, *span) for n, spans in enumerate(texts) for span in spans]
+    found = spark.createDataFrame(rows, "mark bigint, kind string, start bigint, end bigint, base boolean, p double")
+    got = {}
+    for r in pii.chosen(found, Given()).collect():
+        got.setdefault(r["mark"], []).append((r["mark"], r["kind"], r["start"], r["end"], r["base"]))
+    for n in range(len(texts)):
+        assert sorted(got.get(n, [])) == greedy([r for r in rows if r[0] == n]), texts[n]
+    assert (0, "card", 20, 30, False) in got[0]
+
+
 def test_trees_choose_spans_the_rules_miss(spark):
     """Proposals like confirmed ones are chosen, others are not."""
     rng = random.Random(3)
