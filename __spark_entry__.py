@@ -34,7 +34,7 @@ from convoca.operators.quality import (
 )
 from convoca.operators.radius import postcodes_within
 from convoca.operators.rank import semantic_rank, with_scores
-from convoca.operators.streams import open_streams, stored_candidates, write_streams
+from convoca.operators.streams import following, open_streams, stored_candidates, write_streams
 from convoca.operators.upsert import append_numbered, event_key, insert_missing, resolve_unique, upsert
 from convoca.operators.validate import check_requests, parameters_from_json
 from convoca.plans import search as S
@@ -638,6 +638,17 @@ def stored_stream_candidates(spark: SparkSession, folder: str) -> DataFrame:
     return stored_candidates(data.requests(), catalog, open_streams(spark, place)).select(*_CANDIDATE)
 
 
+def paged_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    """The 50 earliest candidates of all requests in two pages, the second behind the last row of the first."""
+    data = DriverTables(spark, folder)
+    catalog, requests, place = data.catalog(), data.requests(), staged_folder(spark, "flujos")
+    write_streams(catalog, place, cubos=32)
+    streams = open_streams(spark, place)
+    first = stage(stored_candidates(requests, catalog, streams, 30), "pagina")
+    second = stored_candidates(following(requests, first, 30), catalog, streams, 20)
+    return first.unionByName(second.withColumn("posicion", F.col("posicion") + 30)).select(*_CANDIDATE)
+
+
 def events_view_by_town(spark: SparkSession, folder: str) -> DataFrame:
     """The view of complete events, asked in SQL."""
     register_views(DriverTables(spark, folder).catalog())
@@ -775,6 +786,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stored_postcodes_in_radius": stored_postcodes_in_radius,
         "refreshed_view": refreshed_view,
         "stored_stream_candidates": stored_stream_candidates,
+        "paged_candidates": paged_candidates,
         "events_view_by_town": events_view_by_town,
         **LLM_QUERIES,
     }

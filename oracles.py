@@ -787,6 +787,7 @@ UNION ALL SELECT 500, 'Otra', 'Altra', 'otra', orden, true FROM categorias WHERE
         "published_load": _loaded(),
         "refreshed_view": _refreshed(),
         "stored_stream_candidates": candidates(),
+        "paged_candidates": candidates(),
         "events_view_by_town": with_tables(
             "eventos horarios codigos_postales evento_categorias",
             """SELECT poblacion_nombre, categorias_slugs, count(*) AS filas, min(fecha_inicio) AS primera
