@@ -161,12 +161,20 @@ def _search(**options) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+def _event_text(event):
+    """All fields of an event of an answer, amounts as whole numbers."""
+    whole = lambda name, times: F.round(event[name] * times).cast("bigint")
+    fields = [event[name] for name in oracles.EVENT_FIELDS]
+    fields += [F.array_join(event["tags"], ","), F.array_join(event["categorias"], ",")]
+    fields += [whole("precio_euros", 100), whole("distancia_km", 100), whole("similitud_score", 1000)]
+    return F.concat_ws("|", *[F.coalesce(f.cast("string"), F.lit("-")) for f in fields])
+
+
 def search_envelope(spark: SparkSession, folder: str) -> DataFrame:
     data = DriverTables(spark, folder)
     requests = data.requests()
     answers = S.envelope(S.search(requests, data.catalog()), requests)
-    ids = F.array_join(F.transform("eventos", lambda e: e["id_unico_evento"]), ",")
-    return answers.withColumn("eventos", ids)
+    return answers.withColumn("eventos", F.array_join(F.transform("eventos", _event_text), ";"))
 
 
 def _days(days):

@@ -15,14 +15,14 @@ from convoca.sources.staging import broadcast_if_small, stage
 LANGUAGES = {"es": "idioma = 'es'", "cat": "idioma is distinct from 'es'"}
 
 
-def only_needed(table: DataFrame, needed: DataFrame) -> DataFrame:
-    """Rows of ``table`` for the events in ``needed``.
+def only_needed(table: DataFrame, needed: DataFrame, at_most: int | None = None) -> DataFrame:
+    """Rows of ``table`` for the events in ``needed``, of which there are ``at_most`` as many if that is known.
 
     Wide rows are dropped where they are read when the ids fit on every
     executor; otherwise they shuffle with the ids.
     """
     ids = needed.select("id_unico_evento").distinct()
-    return table.join(broadcast_if_small(ids), "id_unico_evento", "left_semi")
+    return table.join(broadcast_if_small(ids, at_most=at_most), "id_unico_evento", "left_semi")
 
 
 def with_scores(
@@ -35,17 +35,18 @@ def with_scores(
     events that are candidates of a request that has concepts.
     """
     semantic = F.size(F.coalesce("conceptos", F.array().cast("array<string>"))) > 0
-    asking = stage(requests.select("request_id", "idioma", semantic.alias("semantica")), "consultas")
     # the norm of a question's vector is worked out once, before it meets its candidates
-    queries = stage(
-        requests.filter(semantic).select(
+    asking = stage(
+        requests.select(
             "request_id",
             "idioma",
-            F.col("query_embedding").alias("consulta"),
-            norm(usable(F.col("query_embedding"))).alias("norma_consulta"),
+            semantic.alias("semantica"),
+            F.when(semantic, F.col("query_embedding")).alias("consulta"),
+            F.when(semantic, norm(usable(F.col("query_embedding")))).alias("norma_consulta"),
         ),
-        "vectores-consulta",
+        "consultas",
     )
+    queries, asking = asking.filter("semantica"), asking.select("request_id", "idioma", "semantica")
     scored = []
     for language, applies in LANGUAGES.items():
         ids = candidates.join(asking.filter("semantica").filter(applies), "request_id", "left_semi")
@@ -54,7 +55,7 @@ def with_scores(
         )
         column = f"tags_embedding_{language}"
         events = (
-            only_needed(vectors.select("id_unico_evento", column), ids)
+            only_needed(vectors.select("id_unico_evento", column), ids, getattr(candidates, "staged_rows", None))
             .select("id_unico_evento", usable(decode_vector(vectors, column)).alias("vector"))
             .withColumn("norma", norm(F.col("vector")))
         )

@@ -13,7 +13,7 @@ from convoca.operators.radius import postcodes_within
 from convoca.operators.rank import LANGUAGES, convertible, only_needed, semantic_rank
 from convoca.operators.streams import Streams, stored_candidates
 from convoca.sources.catalog import Catalog
-from convoca.sources.staging import stage
+from convoca.sources.staging import stage, stage_counted
 
 # --- fixed values: the sentences of an answer
 _NOTHING = {
@@ -77,9 +77,10 @@ def localized(events: DataFrame, language: str) -> DataFrame:
 
 def in_language(rows: DataFrame, events: DataFrame) -> DataFrame:
     """Join ``rows`` (id_unico_evento, idioma, ...) with the event columns of their language."""
+    known = getattr(rows, "staged_rows", None)
     parts = [
         rows.filter(applies).join(
-            only_needed(localized(events, language), rows.filter(applies)), "id_unico_evento"
+            only_needed(localized(events, language), rows.filter(applies), known), "id_unico_evento"
         )
         for language, applies in LANGUAGES.items()
     ]
@@ -135,7 +136,7 @@ def _detailed(ranked: DataFrame, requests: DataFrame, catalog: Catalog) -> DataF
         "similitud",
     )
     rows = ranked.join(requests.select("request_id", "idioma", "cp_usuario"), "request_id")
-    return in_language(stage(rows, "por-idioma"), catalog.events)
+    return in_language(stage_counted(rows, "por-idioma"), catalog.events)
 
 
 def left_out(ranked: DataFrame, requests: DataFrame, catalog: Catalog) -> DataFrame:
@@ -201,7 +202,7 @@ def search(
         candidates = earliest_candidates(requests, catalog, cap, on_unknown_origin)
     else:
         candidates = stored_candidates(requests, catalog, streams, cap, on_unknown_origin)
-    candidates = stage(candidates, "candidatas")
+    candidates = stage_counted(candidates, "candidatas")
     ranked = stage(
         semantic_rank(candidates, requests, catalog, threshold, fallback, missing), "ordenadas"
     )

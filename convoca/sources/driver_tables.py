@@ -63,7 +63,7 @@ class DriverTables:
     def eventos_master(self) -> DataFrame:
         key = F.col("o_orderkey")
         free = key % 5 < 3
-        price = F.floor(F.col("o_totalprice") / 100).cast("double") / 100
+        price = F.when(key % 20 != 3, F.floor(F.col("o_totalprice") / 100).cast("double") / 100).otherwise(0.0)
         state = (
             F.when(F.col("o_orderstatus") == "F", "ACTIVO")
             .when(F.col("o_orderstatus") == "O", "APLAZADO")
@@ -160,7 +160,7 @@ class DriverTables:
             event_id(F.col("l_orderkey")).alias("id_unico_evento"),
             start.alias("fecha_inicio"),
             F.date_add(start, (F.col("l_linenumber") % 3).cast("int")).alias("fecha_fin"),
-            F.when(F.col("l_linenumber") != 7, hour).alias("hora_inicio"),
+            F.when(F.col("l_linenumber") == 6, "00:00:00").when(F.col("l_linenumber") != 7, hour).alias("hora_inicio"),
             F.lit(None).cast("string").alias("hora_fin"),
         )
 

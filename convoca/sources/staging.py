@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 STAGED = "staged-"
@@ -67,11 +67,23 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+def stage_counted(df: DataFrame, name: str) -> DataFrame:
+    """``stage``, with the number of rows, counted while they are written, in ``staged_rows``."""
+    path, seen = staged_folder(df.sparkSession, name), Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    staged = df.sparkSession.read.schema(df.schema).parquet(path)
+    staged.staged_rows = seen.get["rows"]
+    return staged
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, at_most: int | None = None) -> DataFrame:
     """``df`` marked for broadcast when it is counted to be small, else unchanged.
 
-    The count stops after ``rows + 1`` rows. Beyond the limit the join shuffles.
+    The count stops after ``rows + 1`` rows, and is left out where ``df`` is known to have ``at_most``
+    as many. Beyond the limit the join shuffles.
     """
+    if at_most is not None and at_most <= rows:
+        return F.broadcast(df)
     if df.select(F.lit(1)).limit(rows + 1).count() <= rows:
         return F.broadcast(df)
     return df

@@ -36,7 +36,7 @@ CTES = {
          CASE WHEN o_orderkey % 13 = 0 THEN 'null' WHEN o_orderkey % 17 = 0 THEN ''
               ELSE etiquetas END AS tags_cat,
          o_orderkey % 5 < 3 AS es_gratuito,
-         CASE WHEN o_orderkey % 5 >= 3 THEN CAST(floor(o_totalprice / 100e0) AS DOUBLE) / 100e0 END AS precio_euros,
+         CASE WHEN o_orderkey % 20 = 3 THEN 0e0 WHEN o_orderkey % 5 >= 3 THEN CAST(floor(o_totalprice / 100e0) AS DOUBLE) / 100e0 END AS precio_euros,
          CASE WHEN o_orderkey % 3 = 0 THEN 'https://ejemplo.cat/e/' || CAST(o_orderkey AS VARCHAR) END
            AS link_entradas_inscripcion,
          CAST(NULL AS VARCHAR) AS imagen_principal_url,
@@ -55,7 +55,7 @@ CTES = {
          {_EVENT.format('l_orderkey')} AS id_unico_evento,
          CAST(l_shipdate AS DATE) AS fecha_inicio,
          CAST(l_shipdate AS DATE) + CAST(l_linenumber % 3 AS INTEGER) AS fecha_fin,
-         CASE WHEN l_linenumber <> 7 THEN lpad(CAST(9 + l_partkey % 13 AS VARCHAR), 2, '0')
+         CASE WHEN l_linenumber = 6 THEN '00:00:00' WHEN l_linenumber <> 7 THEN lpad(CAST(9 + l_partkey % 13 AS VARCHAR), 2, '0')
            || CASE WHEN l_suppkey % 2 = 0 THEN ':00:00' ELSE ':30:00' END END AS hora_inicio,
          CAST(NULL AS VARCHAR) AS hora_fin
   FROM lineitem JOIN (VALUES (0), (1)) c(copia) ON copia = 0 OR l_orderkey % 50 = 0""",
@@ -235,6 +235,20 @@ FROM auditoria WHERE id_unico_evento IN (SELECT id_unico_evento FROM eventos)"""
 }
 
 
+EVENT_FIELDS = [
+    "rank", "id_unico_evento", "titulo", "descripcion_corta", "descripcion_larga", "cp_evento", "poblacion_nombre", "lugar_nombre",
+    "direccion_completa", "fecha_inicio", "fecha_fin", "hora_inicio", "hora_fin", "es_gratuito", "url_evento", "url_imagen",
+]
+
+
+def _event_texts(results: str) -> str:
+    """(request_id, eventos): the events of every answer in full, by rank."""
+    fields = [*EVENT_FIELDS, "tags", "categorias"]
+    fields += [f"CAST(round({name} * {times}) AS BIGINT)" for name, times in (("precio_euros", 100), ("distancia_km", 100), ("similitud_score", 1000))]
+    texts = ", ".join(f"coalesce(CAST({f} AS VARCHAR), '-')" for f in fields)
+    return f"SELECT request_id, string_agg(concat_ws('|', {texts}), ';' ORDER BY rank) AS eventos FROM ({results}) GROUP BY request_id"
+
+
 VIEW_COLUMNS = [
     "id_unico_evento", "titulo_es", "cp_evento", "es_gratuito", "fecha_inicio", "fecha_fin", "hora_inicio",
     "cp_latitud", "cp_longitud", "categorias_es", "categorias_cat", "categorias_slugs",
@@ -616,13 +630,14 @@ JOIN codigos_postales o ON o.cp = c.cp JOIN codigos_postales d ON d.cp = e.cp_ev
        WHEN total IS NULL THEN 'Lo siento, no he encontrado ningún evento que coincida con tu búsqueda.'
        WHEN s.idioma = 'ca' THEN 'He trobat ' || CAST(total AS VARCHAR) || ' esdeveniments per a tu.'
        ELSE 'He encontrado ' || CAST(total AS VARCHAR) || ' eventos para ti.' END AS respuesta_texto,
-  coalesce(ids, '') AS eventos, coalesce(resumen, '') AS resumen
+  coalesce(eventos, '') AS eventos, coalesce(resumen, '') AS resumen
 FROM solicitudes s LEFT JOIN (
-  SELECT request_id, count(*) AS total, string_agg(id_unico_evento, ',' ORDER BY rank) AS ids,
+  SELECT request_id, count(*) AS total,
     string_agg(CAST(rank AS VARCHAR) || '. ' || titulo || ' - ' || poblacion_nombre || ' ('
       || strftime(fecha_inicio, '%Y-%m-%d') || ')' || CASE WHEN es_gratuito THEN ' [GRATUITO]' ELSE '' END,
       chr(10) ORDER BY rank) FILTER (WHERE rank <= 5) AS resumen
-  FROM resultados GROUP BY request_id) r USING (request_id)""",
+  FROM resultados GROUP BY request_id) r USING (request_id)
+LEFT JOIN (""" + _event_texts(_results("''", distance, midnight)) + ") t USING (request_id)",
         ),
         "search_debug": with_tables(
             "ordenadas",
