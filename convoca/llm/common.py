@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,6 +51,18 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS_AT_ONCE) -> Itera
             yield batch.slice(start, rows)
 
 
+def slices_of_text(batches: Iterator[pa.RecordBatch], column: int, most: int, rows: int = ROWS_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows`` whose texts in ``column`` have ``most`` bytes together, or of one row."""
+    for batch in slices(batches, rows):
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+        start = 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def schema_with(df: DataFrame, **added: str) -> T.StructType:
     """The columns of ``df``, those named in ``added`` left out, then ``added``."""
     taken = {name.lower() for name in added}

@@ -10,9 +10,9 @@ others share what is left with the unknown word, evenly.
 What is counted, and how it stays whole and bounded:
 
 * unigrams: per task, then by word. The ``HEAD_ROWS`` most frequent words at most
-  are sent to the tasks, with their counts, as a cache; documents' other words
-  meet the unigram table in a shuffle, for the documents' base scores and, with
-  the shards they stand in, for the shards' unigram probabilities.
+  are sent to the tasks, with their counts, as a cache; other words, with the
+  shards they stand in, meet the unigram table in a shuffle, and the shards use
+  their counts for the documents' base scores and for unigram probabilities.
 * frequent pairs: pairs of the words with at least one in ``HOT`` of all tokens
   are counted first, and those with one in ``PAIRS`` are sent to the tasks: at
   most ``PAIRS`` rows. They hold every key that could fill a task by itself.
@@ -30,8 +30,8 @@ reserves one count for what is unseen. Discounts that Good-Turing cannot give
 
 Defined results: a null or empty text is its end alone. Rows are scored one by
 one, so repeated rows and ids repeat; a row without ``doc_id`` is learnt from. Without training documents every word is
-unknown. Columns other than ``doc_id`` and ``text`` are not carried. The rows of
-the documents must come in the same order whenever they are read, as from files.
+unknown. Columns other than ``doc_id`` and ``text`` are not carried. Rows are known
+by a number of their text, so the order in which they are read is of no account.
 Empty tables give empty tables.
 """
 
@@ -48,18 +48,20 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from convoca.llm.common import ASCII_LOWER, as_bytes, slices
+from convoca.llm.common import ASCII_LOWER, as_bytes, slices_of_text
 from convoca.sources.staging import stage
 
 HEAD_ROWS = 1 << 18
 HOT, PAIRS = 2000, 100_000
-SHARD_TOKENS = 2_000_000
+SHARD_TOKENS = 750_000
 # counts up to K are discounted
 K = 5
-# rows whose parts are added up together
-BLOCK = 4096
-# entries a task packs at once, words it holds, distinct words it holds for counting
-PACKED, HELD = 1_000_000, 300_000
+# rows, about, whose parts are added up together, and entries a task adds up at once
+BLOCK, ADDED = 4096, 250_000
+# bits of a row's number, which is a hash of its text
+ROW_BITS = 62
+# entries a task packs at once, words it holds, distinct words it holds for counting, bytes of text it takes apart at once
+PACKED, HELD, TEXT_BYTES = 1_000_000, 100_000, 2 << 20
 _MASK = (1 << 63) - 1
 # no token holds white space
 END, START = b"\n", b"\t"
@@ -172,7 +174,7 @@ def unigrams(docs: DataFrame) -> DataFrame:
             hashes = np.fromiter(map(word_hash, held), dtype=np.int64, count=len(held))
             return pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(held.values(), pa.int64())], names=["w", "n"])
 
-        for batch in slices(batches):
+        for batch in slices_of_text(batches, 0, TEXT_BYTES):
             for text in as_bytes(batch.column(0)):
                 held.update(tokens(text))
             if len(held) >= HELD:
@@ -232,7 +234,7 @@ def _with_frequent_pairs(docs: DataFrame, head: Head) -> Head:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, held = Words(shipped.value), np.zeros(0, np.int64)
-        for batch in slices(batches):
+        for batch in slices_of_text(batches, 0, TEXT_BYTES):
             _, u, w = _pairs(words, as_bytes(batch.column(0)))
             hot = words.columns[2]
             both = (hot[u] >= 0) & (hot[w] >= 0)
@@ -272,7 +274,7 @@ def _context_counts(head: Head, hot_place: np.ndarray) -> np.ndarray:
 
 
 def _known_parts(docs: DataFrame, head: Head) -> DataFrame:
-    """Per row: tokens, known tokens and unigram logarithms of head words, frequent pairs' part, and other words.
+    """Per row: tokens, known tokens and unigram logarithms of head words, frequent pairs' part; other words.
 
     Each other word comes with the place of its bigram in the range that shards divide.
     """
@@ -281,7 +283,7 @@ def _known_parts(docs: DataFrame, head: Head) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shipped.value
         words = Words(own)
-        for batch in slices(batches):
+        for batch in slices_of_text(batches, 3, TEXT_BYTES):
             m = batch.num_rows
             doc, u, w = _pairs(words, as_bytes(batch.column(3)))
             hashes, place, hot = words.columns
@@ -290,17 +292,15 @@ def _known_parts(docs: DataFrame, head: Head) -> DataFrame:
             pair = _frequent(own, hot, u, w)
             seen = pair >= 0
             part = np.log10(own.pair_n[pair[seen]]) - np.log10(_context_counts(own, hot[u][seen]) + 1.0)
-            d, h = doc[~inside], hashes[w][~inside]
+            h = hashes[w][~inside]
             at = _spread(hashes[u][~inside], h, hot[u][~inside] >= 0)
-            order = np.lexsort((at, h, d))
-            d, h, at = d[order], h[order], at[order]
-            new = (d[1:] != d[:-1]) | (h[1:] != h[:-1]) | (at[1:] != at[:-1])
-            starts = np.nonzero(np.r_[True, new])[0] if len(d) else np.zeros(0, int)
-            f = np.diff(np.r_[starts, len(d)])
-            ends = np.cumsum(np.bincount(d[starts], minlength=m)) if len(d) else np.zeros(m, int)
-            offsets = pa.array(np.r_[0, ends].astype(np.int32))
-            columns = [pa.array(h[starts]), pa.array(f.astype(np.int64)), pa.array((at[starts] - (1 << 31)).astype(np.int32))]
-            pairs = pa.StructArray.from_arrays(columns, names=["w", "f", "at"])
+            order = np.lexsort((at, h))
+            h, at = h[order], at[order]
+            first = np.r_[True, (h[1:] != h[:-1]) | (at[1:] != at[:-1])][: len(h)]
+            # the words of a slice stand in its first row
+            offsets = pa.array(np.r_[0, np.full(m, first.sum())].astype(np.int32))
+            columns = [pa.array(h[first]), pa.array((at[first] - (1 << 31)).astype(np.int32))]
+            pairs = pa.StructArray.from_arrays(columns, names=["w", "at"])
             yield pa.RecordBatch.from_arrays(
                 [
                     *batch.columns[:3],
@@ -316,7 +316,7 @@ def _known_parts(docs: DataFrame, head: Head) -> DataFrame:
     return docs.mapInArrow(
         run,
         "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, head_known bigint, head_logs double, "
-        "pairs_part double, others array<struct<w:bigint,f:bigint,at:int>>",
+        "pairs_part double, others array<struct<w:bigint,at:int>>",
     )
 
 
@@ -327,12 +327,13 @@ def _shards(docs: DataFrame, head: Head, shards: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shipped.value
         words, held, size = Words(own), [], 0
-        for batch in slices(batches):
+        for batch in slices_of_text(batches, 3, TEXT_BYTES):
             doc, u, w = _pairs(words, as_bytes(batch.column(3)))
-            hashes, _, hot = words.columns
+            hashes, place, hot = words.columns
             rest = _frequent(own, hot, u, w) < 0
             doc, u, w = doc[rest], u[rest], w[rest]
-            held.append((_rows(batch)[doc], hashes[u], hashes[w], hot[u] >= 0))
+            codes = np.where(place >= 0, place, -1 - hashes)
+            held.append((_rows(batch)[doc], codes[u], codes[w], _spread(hashes[u], hashes[w], hot[u] >= 0)))
             size += len(doc)
             if size >= PACKED:
                 yield _pack(held, shards)
@@ -348,26 +349,53 @@ def _rows(batch: pa.RecordBatch) -> np.ndarray:
     return np.asarray(batch.column(0)) * 2 + np.asarray(batch.column(2).cast(pa.int8()))
 
 
+def _narrow(values: np.ndarray) -> np.ndarray:
+    """Numbers from 0 on in as few bytes as hold them all."""
+    top = int(values.max()) if len(values) else 0
+    return values.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
+
+
+def _written(values: np.ndarray) -> bytes:
+    small = _narrow(values)
+    return np.array([len(small), small.itemsize], np.int64).tobytes() + small.tobytes()
+
+
+def _read(data: bytes, at: int) -> tuple[np.ndarray, int]:
+    n, size = np.frombuffer(data, np.int64, 2, at)
+    return np.frombuffer(data, f"<u{size}", n, at + 16).astype(np.int64), at + 16 + int(n) * int(size)
+
+
+def _written_codes(values: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """Distinct codes of words, those of the head by their differences, and each value's place among them."""
+    own, at = np.unique(values, return_inverse=True)
+    tail = int(np.searchsorted(own, 0))
+    return [_written(-1 - own[:tail]), _written(np.diff(own[tail:], prepend=0))], at
+
+
+def _read_codes(data: bytes, at: int, head: np.ndarray) -> tuple[np.ndarray, int]:
+    """Hashes of the distinct words."""
+    tail, at = _read(data, at)
+    steps, at = _read(data, at)
+    return np.r_[tail, head[np.cumsum(steps)]], at
+
+
 def _pack(held: list, shards: int) -> pa.RecordBatch:
-    row, u, w, hot = (np.concatenate(c) for c in zip(*held, strict=True))
+    """One row a shard: its bigrams in order of their contexts, with documents and words by their places in lists."""
+    row, u, w, at = (np.concatenate(c) for c in zip(*held, strict=True))
     # sorting by place sorts by shard
-    at = _spread(u, w, hot)
     order = np.argsort(at)
     row, u, w = row[order], u[order], w[order]
-    shard = (at[order] * shards) >> 32
-    del at, order
-    docs, at = np.unique(row, return_inverse=True)
-    if len(docs) >= 1 << 32:
-        raise ValueError("too many rows packed at once")
-    edges = np.searchsorted(shard, np.arange(shards + 1))
+    edges = np.searchsorted((at[order] * shards) >> 32, np.arange(shards + 1))
     names, packed = [], []
     for s in np.nonzero(np.diff(edges))[0]:
-        a, b = edges[s], edges[s + 1]
-        own, local = np.unique(at[a:b], return_inverse=True)
-        kind = np.uint16 if len(own) < 1 << 16 else np.uint32
-        head = np.array([b - a, len(own), kind().itemsize], dtype=np.int64)
+        part = slice(edges[s], edges[s + 1])
+        order = np.argsort(u[part], kind="stable")
+        contexts, of_context = _written_codes(u[part][order])
+        known, of_word = _written_codes(w[part][order])
+        rows, of_row = np.unique(row[part][order], return_inverse=True)
+        lists = (np.diff(of_context, prepend=0), of_word, rows, of_row)
         names.append(s)
-        packed.append(b"".join(x.tobytes() for x in (head, docs[own], u[a:b], w[a:b], local.astype(kind))))
+        packed.append(b"".join([*contexts, *known, *map(_written, lists)]))
     return pa.RecordBatch.from_arrays(
         [pa.array(names, pa.int32()), pa.array(packed, pa.binary())], names=["shard", "packed"]
     )
@@ -384,29 +412,31 @@ def _mixed(u: np.ndarray, w: np.ndarray) -> np.ndarray:
     return (mixed ^ (mixed >> np.uint64(32))).view(np.int64) & _MASK
 
 
-def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n, docs, size = np.frombuffer(data, np.int64, 3)
-    at = 24
-    own = np.frombuffer(data, np.int64, docs, at)
-    u = np.frombuffer(data, np.int64, n, at := at + 8 * docs)
-    w = np.frombuffer(data, np.int64, n, at := at + 8 * n)
-    local = np.frombuffer(data, np.uint16 if size == 2 else np.uint32, n, at + 8 * n)
-    return own[local], u, w
+def _unpack(data: bytes, head: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (with the lowest bit as in ``_rows``), and hashes of contexts and words, of a packed row."""
+    contexts, at = _read_codes(data, 0, head)
+    known, at = _read_codes(data, at, head)
+    steps, at = _read(data, at)
+    of_word, at = _read(data, at)
+    rows, at = _read(data, at)
+    of_row, _ = _read(data, at)
+    return rows[of_row], contexts[np.cumsum(steps)], known[of_word]
 
 
 _SUMMARY = (
     "counts array<bigint>, hot array<int>, hot_stats array<double>, rows array<bigint>, known array<double>, "
-    "few array<int>, un_rows array<bigint>, un_context array<int>, un_hot array<int>, un_n array<int>, un_logs array<double>, "
+    "few array<int>, tail_known array<int>, tail_logs array<double>, un_rows array<int>, un_context array<int>, un_hot array<int>, un_n array<int>, un_logs array<double>, "
     "context_stats array<double>"
 )
 
 
-def _summary(packed: list[bytes], head: Head, tail: np.ndarray, tail_counts: np.ndarray) -> dict:
+def _summary(packed: list[bytes], head: Head, tail: np.ndarray, tail_counts: np.ndarray, only: bool = False) -> dict:
     """A shard's table: counts of counts, hot contexts' parts, and the documents' terms.
 
-    ``tail`` has the hashes, in order, of the shard's words that only the unigram table knows.
+    ``tail`` has the hashes, in order, of the shard's words that only the unigram table knows;
+    with ``only`` they count for the base scores and have no probability of their own.
     """
-    row, u, w = (np.concatenate(c) for c in zip(*map(_unpack, packed), strict=True))
+    row, u, w = (np.concatenate(c) for c in zip(*(_unpack(p, head.hashes) for p in packed), strict=True))
     packed.clear()
     # bigrams are told apart by the hash of both words
     _, first, pair = np.unique(_mixed(u, w), return_index=True, return_inverse=True)
@@ -420,8 +450,10 @@ def _summary(packed: list[bytes], head: Head, tail: np.ndarray, tail_counts: np.
     cu, context = np.unique(pu, return_inverse=True)
     context = context.astype(np.int32)
     hot = head.hot_place(cu)
-    p_log = head.p_log(pw, tail, tail_counts)
-    del pu, pw
+    p_log = head.p_log(pw, tail[:0], tail_counts[:0]) if only else head.p_log(pw, tail, tail_counts)
+    place = _place(tail, pw)
+    in_tail = np.where(place >= 0, tail_counts[np.maximum(place, 0)], 0) if len(tail) else np.zeros(len(pw), np.int64)
+    del pu, pw, place
     # per context: discounted counts 1..K, the sum of the others, the seen words' probabilities
     stats = np.zeros((len(cu), K + 2))
     for r in range(1, K + 1):
@@ -453,7 +485,9 @@ def _summary(packed: list[bytes], head: Head, tail: np.ndarray, tail_counts: np.
         "rows": rows,
         "known": known,
         "few": few.ravel(),
-        "un_rows": r[starts],
+        "tail_known": np.bincount(at, (in_tail > 0)[pair], minlength=len(rows)).astype(np.int32),
+        "tail_logs": np.bincount(at, np.log10(in_tail + 1.0)[pair], minlength=len(rows)),
+        "un_rows": np.searchsorted(rows, r[starts]).astype(np.int32),
         "un_context": place,
         "un_hot": hot[used][place] if len(used) else place,
         "un_n": np.diff(np.r_[starts, len(r)]),
@@ -465,16 +499,17 @@ def _summary(packed: list[bytes], head: Head, tail: np.ndarray, tail_counts: np.
 def _tails(parts: DataFrame, words: DataFrame, shards: int) -> DataFrame:
     """(shard, w, n): by shard, its words outside the head with their training counts."""
     shard = F.shiftright((F.col("o.at").cast("bigint") + (1 << 31)) * shards, 32).cast("int")
-    return parts.select(F.explode("others").alias("o")).select(shard.alias("shard"), "o.w").join(words, "w").select("shard", "w", "n")
+    asked = parts.select(F.explode("others").alias("o")).select(shard.alias("shard"), "o.w")
+    return asked.join(words, "w").select("shard", "w", "n")
 
 
-def _summaries(packed: DataFrame, tails: DataFrame, head: Head) -> DataFrame:
+def _summaries(packed: DataFrame, tails: DataFrame, head: Head, only: bool) -> DataFrame:
     shipped = packed.sparkSession.sparkContext.broadcast(head)
 
     def run(shard: pd.DataFrame, tail: pd.DataFrame) -> pd.DataFrame:
         w, first = np.unique(tail["w"].to_numpy(np.int64), return_index=True)
         n = tail["n"].to_numpy(np.int64)[first]
-        made = _summary(list(shard["packed"]), shipped.value, w, n)
+        made = _summary(list(shard["packed"]), shipped.value, w, n, only)
         return pd.DataFrame({name: [value] for name, value in made.items()})
 
     return packed.groupBy("shard").cogroup(tails.groupBy("shard")).applyInPandas(run, _SUMMARY)
@@ -487,14 +522,34 @@ def _alpha(stats: np.ndarray, total: np.ndarray, whole: np.ndarray, d: np.ndarra
     return np.where(total > 0, np.log10(np.maximum(left, 1e-300)) - np.log10(np.maximum(1.0 - stats[:, K + 1], 1e-300)), 0.0)
 
 
-def _evaluated(summaries: DataFrame, d: np.ndarray, hot_alpha: np.ndarray) -> DataFrame:
-    """(row, part): the rows' scores, added up over all shards.
+def _added(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Rows, each once, and the sums of their values."""
+    rows, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return rows, [np.bincount(at, np.concatenate([p[i] for p in parts]), minlength=len(rows)) for i in range(1, len(parts[0]))]
+
+
+_SUMS = ["part", "tail_known", "tail_logs"]
 
-    A shard hands on one record for each block of ``BLOCK`` rows, so their number
+
+def _evaluated(summaries: DataFrame, d: np.ndarray, hot_alpha: np.ndarray, rows_known: int) -> DataFrame:
+    """(row, part, tail_known, tail_logs): the rows' scores and base scores, added up over all shards and copies.
+
+    A task adds up its shards, ``ADDED`` entries at once, and hands on one record for
+    each block of about ``BLOCK`` of the ``rows_known`` rows, so the number of records
     does not grow with both the rows and the shards.
     """
+    shift = ROW_BITS - max(0, (rows_known // BLOCK).bit_length())
+
+    def record(parts: list) -> pa.RecordBatch:
+        rows, sums = _added(parts)
+        block = rows >> shift
+        starts = np.nonzero(np.r_[True, block[1:] != block[:-1]])[0] if len(rows) else np.zeros(0, int)
+        offsets = pa.array(np.r_[starts, len(rows)].astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(c)) for c in (rows, *sums)]
+        return pa.RecordBatch.from_arrays([pa.array(block[starts]), *lists], names=["block", "rows", *_SUMS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
         for batch in batches:
             for k in range(batch.num_rows):
                 one = {n: np.asarray(batch.column(i)[k].values) for i, n in enumerate(batch.schema.names)}
@@ -506,27 +561,23 @@ def _evaluated(summaries: DataFrame, d: np.ndarray, hot_alpha: np.ndarray) -> Da
                 if len(one["un_rows"]):
                     hot = one["un_hot"]
                     weight = np.where(hot >= 0, hot_alpha[np.maximum(hot, 0)], alpha[one["un_context"]])
-                    at = np.searchsorted(rows, one["un_rows"])
-                    part = part + np.bincount(at, one["un_n"] * weight + one["un_logs"], minlength=len(rows))
-                block = rows // BLOCK
-                starts = np.nonzero(np.r_[True, block[1:] != block[:-1]])[0] if len(rows) else np.zeros(0, int)
-                offsets = pa.array(np.r_[starts, len(rows)].astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(block[starts]),
-                        pa.ListArray.from_arrays(offsets, pa.array(rows)),
-                        pa.ListArray.from_arrays(offsets, pa.array(part, pa.float64())),
-                    ],
-                    names=["block", "rows", "parts"],
-                )
+                    part = part + np.bincount(one["un_rows"], one["un_n"] * weight + one["un_logs"], minlength=len(rows))
+                parts.append((rows, part, one["tail_known"], one["tail_logs"]))
+                size += len(rows)
+                if size >= ADDED:
+                    yield record(parts)
+                    parts, size = [], 0
+        if parts:
+            yield record(parts)
 
     def add(block: pd.DataFrame) -> pd.DataFrame:
-        rows, at = np.unique(np.concatenate(list(block["rows"])), return_inverse=True)
-        return pd.DataFrame({"row": rows, "part": np.bincount(at, np.concatenate(list(block["parts"])), minlength=len(rows))})
+        rows, sums = _added([tuple(block[c].iloc[i] for c in ("rows", *_SUMS)) for i in range(len(block))])
+        return pd.DataFrame({"row": rows, **dict(zip(_SUMS, sums, strict=True))})
 
-    columns = ["rows", "known", "few", "un_rows", "un_context", "un_hot", "un_n", "un_logs", "context_stats"]
-    packed = summaries.select(*columns).mapInArrow(run, "block bigint, rows array<bigint>, parts array<double>")
-    return packed.groupBy("block").applyInPandas(add, "row bigint, part double")
+    columns = ["rows", "known", "few", "tail_known", "tail_logs", "un_rows", "un_context", "un_hot", "un_n", "un_logs", "context_stats"]
+    doubles = ", ".join(f"{c} array<double>" for c in _SUMS)
+    packed = summaries.select(*columns).mapInArrow(run, f"block bigint, rows array<bigint>, {doubles}")
+    return packed.groupBy("block").applyInPandas(add, "row bigint, " + ", ".join(f"{c} double" for c in _SUMS))
 
 
 def _hot_alpha(summaries: DataFrame, head: Head, d: np.ndarray) -> np.ndarray:
@@ -546,6 +597,27 @@ def _hot_alpha(summaries: DataFrame, head: Head, d: np.ndarray) -> np.ndarray:
     return _alpha(stats, total, total + 1.0, d)
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``docs`` as (row, doc_id, held_out, text), and (row, copies); ``row`` is a number of the text alone.
+
+    So it does not depend on how the rows are read, or on their order. It is a hash
+    with the first seed under which no two different texts share a number, told
+    apart by a second hash beside it.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    for seed in range(100):
+        row = F.shiftrightunsigned(F.xxhash64(F.lit(seed), text), 64 - ROW_BITS).alias("row")
+        other = F.xxhash64(F.lit(-1 - seed), F.octet_length(text), text).alias("other")
+        copies = docs.select(row, other).groupBy("row").agg(
+            F.count(F.lit(1)).alias("copies"), F.min("other").alias("low"), F.max("other").alias("high")
+        )
+        copies = stage(copies, "text-numbers")
+        if not copies.filter("low <> high").limit(1).count():
+            break
+    columns = (row, F.col("doc_id").cast("bigint").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
+    return docs.select(*columns), copies.select("row", "copies")
+
+
 def scores(
     docs: DataFrame, head_rows: int | None = None, shard_tokens: int = SHARD_TOKENS, cached_rows: int = HEAD_ROWS
 ) -> DataFrame:
@@ -555,47 +627,35 @@ def scores(
     bounds those sent to the tasks and changes no score. A caller who wants a
     smaller vocabulary in ``score`` limits it to ``head_rows`` words.
     """
-    docs = docs.select(
-        F.monotonically_increasing_id().alias("row"),
-        F.col("doc_id").cast("bigint").alias("doc_id"),
-        held_out().alias("held_out"),
-        F.col("text").cast("string").alias("text"),
-    )
+    docs, copies = numbered(docs)
     words = stage(unigrams(docs), "unigrams")
     head = head_of(words, docs.filter(~F.col("held_out")).count(), cached_rows if head_rows is None else head_rows, head_rows is not None)
     head = _with_frequent_pairs(docs, head)
     parts = stage(_known_parts(docs, head), "known-parts")
     size = parts.agg(F.sum("n_tokens")).first()[0] or 0
     shards = max(1, -(-size // shard_tokens))
-    tails = _tails(parts, words if head_rows is None else words.limit(0), shards)
-    summaries = stage(_summaries(_shards(docs, head, shards), tails, head), "bigram-shards")
+    tails = _tails(parts, words, shards)
+    summaries = stage(_summaries(_shards(docs, head, shards), tails, head, head_rows is not None), "bigram-shards")
     counted = summaries.select(F.posexplode("counts").alias("r", "n")).groupBy("r").agg(F.sum("n").alias("n")).collect()
     n = np.zeros(K + 3)
     for r in counted:
         n[r["r"]] = r["n"]
     d = discounts(n)
-    bigrams = _evaluated(summaries, d, _hot_alpha(summaries, head, d))
-
-    c = F.coalesce("n", F.lit(0))
-    others = parts.select("row", F.explode("others").alias("o")).select("row", "o.w", "o.f")
-    tail = (
-        others.join(words, "w", "left")
-        .groupBy("row")
-        .agg(
-            F.sum(F.when(c > 0, F.col("f")).otherwise(0)).alias("tail_known"),
-            F.sum(F.col("f") * F.log10(c + 1.0)).alias("tail_logs"),
-        )
-    )
-    zero = F.lit(0.0)
+    bigrams = _evaluated(summaries, d, _hot_alpha(summaries, head, d), copies.count())
+
+    # a text's copies have been added up in all of these
+    share = lambda c: (F.coalesce(c, F.lit(0)) / F.col("copies")).alias(c)
+    terms = copies.join(bigrams, "row", "left").select("row", F.round(share("tail_known")).cast("bigint").alias("tail_known"), share("tail_logs"), share("part"))
+    terms = stage(terms, "terms")
     level = float(np.log10(head.n + head.v + 1))
     return (
-        parts.drop("others").join(tail, "row", "left").join(bigrams, "row", "left").select(
+        parts.drop("others").join(terms, "row").select(
             "doc_id",
             "held_out",
             "n_tokens",
-            (F.col("head_known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"),
+            (F.col("head_known") + F.col("tail_known")).alias("n_known"),
             F.lit(head.n).cast("bigint").alias("train_tokens"),
-            (F.col("head_logs") + F.coalesce("tail_logs", zero) - F.col("n_tokens") * level).alias("base_score"),
-            (F.col("pairs_part") + F.coalesce("part", zero)).alias("score"),
+            (F.col("head_logs") + F.col("tail_logs") - F.col("n_tokens") * level).alias("base_score"),
+            (F.col("pairs_part") + F.col("part")).alias("score"),
         )
     )

@@ -8,6 +8,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import brute
@@ -350,6 +351,23 @@ def test_katz_gives_every_word_its_own_probability(spark, prose, cached, monkeyp
         assert a[0] == b[0] and a[1] == pytest.approx(b[1], abs=2e-6)
 
 
+def test_katz_does_not_depend_on_the_order_of_rows(spark, prose, monkeypatch):
+    """Rows behind a shuffle, in other partitions every time they are read, with copies and clashing columns."""
+    monkeypatch.setattr(katz, "HOT", 25)
+    docs = [(i, t) for i, t in prose[:60] + ODD if i is not None]
+    docs += [(10_000 + n, docs[3][1]) for n in range(30)]
+    df = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(docs)], "doc_id bigint, text string, row bigint")
+    want = None
+    for parts in (1, 5):
+        mixed = df.repartition(parts, F.rand(parts)).withColumn("score", F.lit(0))
+        rows = sorted((r["doc_id"], r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in katz.scores(mixed, shard_tokens=300, cached_rows=40).collect())
+        want = want or rows
+        assert rows == want
+    model = brute.Katz([(i, t) for i, t in docs if brute.crc(i) % 7 != 2], 25)
+    for got, plain in zip(sorted((r[0], r[3]) for r in want), sorted((i, model.score(t)) for i, t in docs), strict=True):
+        assert got[0] == plain[0] and got[1] == pytest.approx(plain[1], abs=2e-6)
+
+
 # --- nothing at all
 
 
