@@ -3,9 +3,9 @@
 Rules give the base spans of four kinds. Generators of high recall propose spans
 the rules may miss - numbers with other separators, addresses written around -
 and may overlap. Gradient-boosted trees judge a proposal by its format and by
-the characters around it; they learn, from a bounded sample of proposals, which
-ones the rules confirm, but see none of the rules' checks (check digits, limits
-of parts, at and plus signs). Confirmed spans are learnt a second time in forms
+the characters around it; they learn, from all proposals, which ones the rules
+confirm, but see none of the rules' checks (check digits, limits of parts, at
+and plus signs). Confirmed spans are learnt a second time in forms
 only the generators propose: without plus, with [at], with other separators.
 A proposal that a rule would confirm in its own form is no negative: addresses
 written around and numbers with a right check digit are left out, numbers that
@@ -51,8 +51,8 @@ GENERATORS = {
     "card": r"(?<![0-9])[0-9](?:[\x20./_-]?+[0-9]){7,}+",
     "phone": r"(?<![0-9A-Za-z])\+?+\(?+[0-9](?:[\x20()./-]{0,2}+[0-9]){6,}+",
 }
-# bounds of the sample the trees learn from, and of the one thresholds are set on
-SAMPLE_ROWS, LEAST_ROWS = 20_000, 50
+# fewer spans of a label give no trees
+LEAST_ROWS = 50
 TREES, DEPTH = 15, 4
 PRECISION = 0.98
 # weight of numbers that may be phones
@@ -196,8 +196,8 @@ def _weight() -> Column:
     )
 
 
-def _rewritten(sample: DataFrame) -> DataFrame:
-    """The confirmed spans of ``sample`` in forms that the rules do not match; addresses of machines have none."""
+def _rewritten(spans: DataFrame) -> DataFrame:
+    """The confirmed spans of ``spans`` in forms that the rules do not match; addresses of machines have none."""
     kind, text = F.col("kind"), F.col("found")
     one_of = lambda *forms: F.element_at(F.array(*forms), (F.pmod("__order", F.lit(len(forms) * 10)) / 10).cast("int") + 1)
     name, host = F.substring_index(text, "@", 1), F.substring_index(text, "@", -1)
@@ -211,26 +211,31 @@ def _rewritten(sample: DataFrame) -> DataFrame:
         .when(kind == "card", one_of(*parted))
         .when(kind == "phone", F.regexp_replace(text, r"^\+", ""))
     )
-    return sample.filter("base").withColumn("found", form).filter("found is not null")
+    return spans.filter("base").withColumn("found", form).filter("found is not null")
 
 
 def fit(found: DataFrame, precision: float = PRECISION) -> Judge | None:
-    """Trees on a sample of at most ``SAMPLE_ROWS`` spans; None where too few are of either label."""
+    """Trees on all spans of ``found``; None where too few are of either label.
+
+    Spans alike in features and label are one row of their weight, in a fixed order, so the trees do not
+    depend on partitions. Three tenths, by hash, are kept apart and set the thresholds.
+    """
     order = F.xxhash64("found", "before", "start")
-    sample = found.withColumn("label", F.col("base").cast("double")).withColumn("weight", _weight()).withColumn("__order", order).orderBy("__order", "mark", "start", "kind").limit(SAMPLE_ROWS)
-    sample = stage(sample, "pii-sample")
-    sample = sample.filter("weight > 0").unionByName(_rewritten(sample))
-    sides = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
+    spans = found.withColumn("label", F.col("base").cast("double")).withColumn("weight", _weight()).withColumn("__order", order)
+    spans = spans.filter("weight > 0").unionByName(_rewritten(spans))
+    apart = F.pmod("__order", F.lit(10)) >= 7
+    rows, names = _features(spans)
+    alike = rows.groupBy(*names, "label", apart.alias("apart")).agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("n"))
+    alike = stage(alike.sortWithinPartitions(*names, "label"), "pii-lessons")
+    sides = {r["label"]: r["n"] for r in alike.groupBy("label").agg(F.sum("n").alias("n")).collect()}
     if min(sides.get(0.0, 0), sides.get(1.0, 0)) < LEAST_ROWS:
         return None
-    rows, names = _features(sample)
-    vectors = VectorAssembler(inputCols=names, outputCol="features").transform(rows)
-    apart = F.pmod("__order", F.lit(10)) >= 7
+    vectors = VectorAssembler(inputCols=names, outputCol="features").transform(alike)
     trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=1, weightCol="weight", maxBins=32, checkpointInterval=-1).fit(
-        vectors.filter(~apart).select("features", "label", "weight")
+        vectors.filter(~F.col("apart")).select("features", "label", "weight")
     )
     judge = Judge(trees, {})
-    tried = judge.judged(sample.filter(apart).filter("weight = 1")).groupBy("kind", F.floor(F.col("p") * 1000).alias("level")).agg(
+    tried = judge.judged(spans.filter(apart).filter("weight = 1")).groupBy("kind", F.floor(F.col("p") * 1000).alias("level")).agg(
         F.sum("label").alias("right"), F.count(F.lit(1)).alias("all")
     )
     for kind in KINDS:
