@@ -13,7 +13,7 @@ def test_all_spans_are_learnt(spark, monkeypatch):
         F.when(base, F.format_string("+34 9%08d", "id")).otherwise(F.format_string("9%07d", F.col("id") % 100)).alias("found"),
         F.when(base, "tel ").otherwise("v ").alias("before"),
         F.lit("").alias("after"),
-        F.col("id").cast("binary").alias("mark"),
+        F.encode(F.col("id").cast("string"), "UTF-8").alias("mark"),
     )
     staged = {}
 
