@@ -1,25 +1,32 @@
 """Secrets in texts: rules, and automata inferred from the credentials the rules label.
 
-Base spans come from three rules. Their values are labelled credentials: of each
-kind a bounded sample (``CREDENTIALS`` values of at most ``LONGEST`` characters)
-becomes a prefix tree with counts, and states whose distributions are compatible
-by Hoeffding's bound are merged until none is left to try, red states against
-blue ones. The result is a probabilistic automaton for the format. Ordinary runs
-(``ORDINARY`` of them) give one for everything else.
+Base spans come from three rules. Their values are labelled credentials of a kind,
+and runs that touch no span are ordinary; both are known by their text, each once,
+at most ``LONGEST`` characters long. The values of even hash fit the automata, the others
+set the thresholds:
+
+1. States: of each kind a bounded sample (``CREDENTIALS`` values, ``ORDINARY`` runs; of them those of even hash)
+   becomes a prefix tree with counts, and states whose distributions are compatible
+   by Hoeffding's bound are merged until none is left to try, red states against
+   blue ones. Only which states there are, and where symbols lead, comes from the sample.
+2. Shares: all values of even hash pass the automaton, and the counts of what they
+   do in each state are its probabilities. Symbols that the sample never showed count too.
+3. Thresholds, from the scores of all other values and of all ordinary runs, in steps
+   of one part in ``STEPS``: below what all but ``MISSED`` of the credentials score, in the middle of the
+   widest gap among the scores of the highest ``SUSPECT`` of the ordinary runs there. If over ``SUSPECT``
+   of ordinary runs score like credentials, the format is no mark of one, and the
+   threshold is what only ``FALSE`` of all of them reach. It is never below that of an
+   ordinary run. A kind with fewer than ``ENOUGH`` credentials adds nothing.
 
 Every run of ``LEAST`` or more characters that can stand in a credential, holds a
 letter and touches no base span is scored by each automaton: its log-likelihood a character
 less that of an ordinary run, an even mixture of their automaton and of any characters. A run belongs to the kind that scores best and
-is a span where it reaches the kind's threshold. Half of the samples fits the
-automata, the other half sets the thresholds: midway between what all but ``MISSED``
-of the credentials score and what only ``FALSE`` of the ordinary runs below that do.
-If over ``SUSPECT`` of ordinary runs score like credentials, the format is no mark of
-one, and the threshold is what only ``FALSE`` of all of them reach. It is never below
-that of an ordinary run. A kind with fewer than ``ENOUGH`` credentials adds nothing.
-
-Scale: two passes over the texts, no shuffle of texts and no state across rows.
-Samples are the values of least hash, whatever the partitions: each task keeps
-that many at most, the rest is left out there. Runs are scored in tables of
+is a span where it reaches the kind's threshold.
+
+Scale: two passes over the texts and no state across rows. The first writes the
+distinct values, which are shuffled once; steps 2 and 3 read them, and their
+tables are bounded by the states and by the range of scores.
+Samples are the values of least hash, whatever the partitions. Runs are scored in tables of
 ``RUNS_AT_ONCE``, one character of all runs at a time.
 
 Defined results: a null or empty text has no spans; the same text gives the same
@@ -30,12 +37,11 @@ learned or returned. Columns named ``spans`` are replaced, others stay.
 
 from __future__ import annotations
 
-import heapq
 import math
 import re
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +50,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from convoca.llm.common import replaced, schema_with, slices
+from convoca.sources.staging import stage
 
 KINDS = ("assign", "access", "hex")
 # every find of the first rule has one of these in lower case
@@ -62,9 +69,13 @@ FALSE, MISSED, SUSPECT = 0.0005, 0.02, 0.01
 # chance of parting two equal states, and the weight of the even distribution in every state
 ALPHA, EVEN = 0.01, 0.5
 RUNS_AT_ONCE = 50_000
+# values a task holds to tell them apart, and steps of a score in the tables behind the thresholds
+HELD, STEPS = 100_000, 4096
 
 N_SYMBOLS = len(SYMBOLS)
 END = N_SYMBOLS
+# the number under which ordinary runs go
+PLAIN = len(KINDS)
 CODES = np.full(128, 255, dtype=np.uint8)
 CODES[np.frombuffer(SYMBOLS.encode(), dtype=np.uint8)] = np.arange(N_SYMBOLS)
 
@@ -210,6 +221,24 @@ class Automaton:
             logs[i] = (counts + EVEN / (N_SYMBOLS + 1)) / (counts.sum() + EVEN)
         return cls(np.log(logs), to)
 
+    def counts(self, codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """How often the runs of ``codes``, longest first, show each symbol or end in each state."""
+        out, width = np.zeros(self.logs.size, dtype=np.int64), N_SYMBOLS + 1
+        state, left = np.zeros(len(starts), dtype=np.int32), len(starts)
+        for at in range(int(lengths[0]) if left else 0):
+            while lengths[left - 1] <= at:
+                left -= 1
+            symbol = codes[starts[:left] + at]
+            out += np.bincount(state[:left] * np.int64(width) + symbol, minlength=len(out))
+            state[:left] = self.to[state[:left], symbol]
+        out += np.bincount(state * np.int64(width) + END, minlength=len(out))
+        return out.reshape(self.logs.shape)
+
+    def with_counts(self, counts: np.ndarray) -> Automaton:
+        """The same states and targets with the shares of ``counts``."""
+        total = counts.sum(axis=1, keepdims=True)
+        return replace(self, logs=np.log((counts + EVEN / (N_SYMBOLS + 1)) / (total + EVEN)))
+
     def score(self, codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Log-likelihood of each run of ``codes``, longest first."""
         out, state = np.zeros(len(starts)), np.zeros(len(starts), dtype=np.int32)
@@ -223,6 +252,15 @@ class Automaton:
         return out + self.logs[state, END]
 
 
+def _laid(runs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of all runs, and their starts, lengths and numbers, longest first."""
+    lengths = np.array([len(r) for r in runs], dtype=np.int64)
+    order = np.argsort(-lengths, kind="stable")
+    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]) if len(runs) else lengths
+    codes = CODES[np.frombuffer("".join(runs).encode(), dtype=np.uint8)]
+    return codes, starts[order], lengths[order], order
+
+
 @dataclass
 class Model:
     ordinary: Automaton
@@ -231,17 +269,13 @@ class Model:
 
     def scores(self, runs: list[str]) -> np.ndarray:
         """kinds x runs: log-likelihood a character above that of an ordinary run."""
-        lengths = np.array([len(r) for r in runs], dtype=np.int64)
-        order = np.argsort(-lengths, kind="stable")
-        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]) if len(runs) else lengths
-        codes = CODES[np.frombuffer("".join(runs).encode(), dtype=np.uint8)]
-        place = (codes, starts[order], lengths[order])
+        *place, order = _laid(runs)
         even = -(place[2] + 1) * math.log(N_SYMBOLS + 1)
         plain = np.logaddexp(self.ordinary.score(*place), even) - math.log(2)
         out = np.full((len(KINDS), len(runs)), -np.inf)
         for k, automaton in enumerate(self.kinds):
             if automaton is not None:
-                out[k, order] = (automaton.score(*place) - plain) / (lengths[order] + 1)
+                out[k, order] = (automaton.score(*place) - plain) / (place[2] + 1)
         return out
 
     def chosen(self, runs: list[str]) -> list[tuple[int, int, float]]:
@@ -259,93 +293,160 @@ def _rank(value: str) -> int:
     return xxhash.xxh64_intdigest(value.encode(), seed=13)
 
 
-class Least:
-    """Distinct values of least hash, a bounded number of them."""
-
-    def __init__(self, most: int):
-        self.most, self.heap, self.known = most, [], set()
-
-    def add(self, value: str) -> None:
-        rank = -_rank(value)
-        if len(self.heap) == self.most and rank <= self.heap[0][0]:
-            return
-        if value not in self.known:
-            self.known.add(value)
-            gone = heapq.heappush(self.heap, (rank, value)) if len(self.heap) < self.most else heapq.heappushpop(self.heap, (rank, value))
-            if gone is not None:
-                self.known.discard(gone[1])
+def values(docs: DataFrame) -> DataFrame:
+    """(kind, value, rank): all labelled values of ``docs`` (text) and, as ``PLAIN``, all ordinary runs, each once."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[set[str]] = [set() for _ in range(PLAIN + 1)]
 
-def samples(docs: DataFrame, credentials: int = CREDENTIALS, ordinary: int = ORDINARY) -> list[list[str]]:
-    """Labelled values of every kind and ordinary runs, by hash; bounded by the two numbers."""
-    most = [credentials] * len(KINDS) + [ordinary]
+        def rows() -> pa.RecordBatch:
+            kinds = np.repeat(np.arange(PLAIN + 1, dtype=np.int32), [len(own) for own in held])
+            found = [value for own in held for value in own]
+            ranks = pa.array(map(_signed, found), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(found, pa.string()), ranks], names=["kind", "value", "rank"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [Least(n) for n in most]
         for batch in slices(batches):
-            runs: set[str] = set()
             for text in batch.column(0).to_pylist():
                 if text:
                     spans, free = spans_and_runs(text)
                     for _, kind, _, value in spans:
                         if len(value) <= LONGEST:
                             held[kind].add(value)
-                    runs.update(r for _, r in free if len(r) <= LONGEST)
-            for value in runs:
-                held[-1].add(value)
-        rows = [(k, value) for k, kept in enumerate(held) for _, value in kept.heap]
-        kinds, values = zip(*rows, strict=True) if rows else ((), ())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(kinds, pa.int32()), pa.array(values, pa.string()), pa.array(map(_signed, values), pa.int64())],
-            names=["kind", "value", "rank"],
-        )
-
-    found = docs.select("text").mapInArrow(run, "kind int, value string, rank bigint").distinct()
-    out = []
-    for kind, n in enumerate(most):
-        least = found.filter(F.col("kind") == kind).orderBy("rank", "value").limit(n)
-        out.append([r["value"] for r in least.collect()])
-    return out
+                    held[PLAIN].update(r for _, r in free if len(r) <= LONGEST)
+            if sum(map(len, held)) >= HELD:
+                yield rows()
+                for own in held:
+                    own.clear()
+        yield rows()
+
+    return docs.select("text").mapInArrow(run, "kind int, value string, rank bigint").distinct()
 
 
 def _signed(value: str) -> int:
     return _rank(value) - (1 << 63)
 
 
-def train(docs: DataFrame, credentials: int = CREDENTIALS, ordinary: int = ORDINARY) -> Model:
-    """Automata and thresholds from the labelled credentials and ordinary runs of ``docs`` (text)."""
-    return fit(samples(docs, credentials, ordinary))
+def _least(found: DataFrame, credentials: int, ordinary: int) -> list[list[str]]:
+    out = []
+    for kind, n in enumerate([credentials] * PLAIN + [ordinary]):
+        least = found.filter(F.col("kind") == kind).orderBy("rank", "value").limit(n)
+        out.append([r["value"] for r in least.collect()])
+    return out
 
 
-def _bar(low: float, usual: np.ndarray) -> float:
-    """Threshold of a kind whose credentials reach ``low``, given the scores of ordinary runs."""
-    below = usual[usual < low]
-    if len(usual) - len(below) > SUSPECT * len(usual):
-        return max(0.0, float(np.nextafter(np.quantile(usual, 1 - FALSE, method="higher"), np.inf)))
-    tail = float(np.quantile(below, 1 - FALSE)) if len(below) else low
-    return max(0.0, (low + tail) / 2)
+def samples(docs: DataFrame, credentials: int = CREDENTIALS, ordinary: int = ORDINARY) -> list[list[str]]:
+    """Labelled values of every kind and ordinary runs, by hash; bounded by the two numbers."""
+    return _least(values(docs), credentials, ordinary)
 
 
-def fit(values: list[list[str]]) -> Model:
-    """Every second value of a sample fits its automaton, the others set the thresholds.
+def train(docs: DataFrame, credentials: int = CREDENTIALS, ordinary: int = ORDINARY) -> Model:
+    """Automata and thresholds from the labelled credentials and ordinary runs of ``docs`` (text).
 
+    The two numbers bound the samples that states are merged on; shares and thresholds are those of all values.
     Ordinary runs that score like credentials are taken out and the rest is fitted
     again, as credentials that the rules do not know stand among them.
     """
-    *labelled, plain = values
-    kinds = [Automaton.of(infer(mine[::2])) if len(mine) >= ENOUGH else None for mine in labelled]
-    for last in (False, True):
-        model = Model(Automaton.of(infer(plain[::2])), kinds, [])
-        usual = model.scores(plain)
-        for k, mine in enumerate(labelled):
-            bar = math.inf
-            if kinds[k] is not None:
-                bar = _bar(float(np.quantile(model.scores(mine[1::2])[k], MISSED)), usual[k])
-            model.thresholds.append(bar)
-        if not last:
-            like = (usual >= np.array(model.thresholds)[:, None]).any(axis=0)
-            plain = [run for run, x in zip(plain, like, strict=True) if not x]
-    return model
+    found = stage(values(docs), "secret-values")
+    seen = _least(found, credentials, ordinary)
+    *labelled, plain = [[value for value in own if not _rank(value) & 1] for own in seen]
+    kinds = [Automaton.of(infer(own)) if len(all_of) >= ENOUGH else None for own, all_of in zip(labelled, seen, strict=False)]
+    first = Automaton.of(infer(plain))
+    if all(k is None for k in kinds):
+        return Model(first, kinds, [math.inf] * PLAIN)
+    *kinds, first = _counted(found, [*kinds, first])
+    model = Model(first, kinds, [])
+    model.thresholds = _thresholds(found, model)
+    plain = _unlike(model, plain)
+    *_, second = _counted(found, [None] * PLAIN + [Automaton.of(infer(plain))], model)
+    last = Model(second, kinds, [])
+    last.thresholds = _thresholds(found, last, model)
+    return last
+
+
+def _unlike(model: Model, runs: list[str]) -> list[str]:
+    """The runs that reach no threshold."""
+    like = {i for i, _, _ in model.chosen(runs)}
+    return [run for i, run in enumerate(runs) if i not in like]
+
+
+def _by_kind(batch: pa.RecordBatch, odd: bool, without: Model | None) -> Iterator[tuple[int, list[str]]]:
+    """(kind, its values of even or odd hash); all ordinary runs go with the odd ones, less those that ``without`` takes for credentials."""
+    for part in slices(iter([batch]), RUNS_AT_ONCE):
+        kinds, odds = np.asarray(part.column(0)), (np.asarray(part.column(2)) & 1) == 1
+        said = part.column(1)
+        for kind in range(PLAIN + 1):
+            inside = (kinds == kind) & ((odds == odd) | (odd and kind == PLAIN))
+            own = said.filter(pa.array(inside)).to_pylist()
+            if without is not None and kind == PLAIN:
+                own = _unlike(without, own)
+            if own:
+                yield kind, own
+
+
+def _counted(found: DataFrame, automata: list[Automaton | None], without: Model | None = None) -> list[Automaton | None]:
+    """``automata``, one for each kind, with the shares of all values of even hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = [None if a is None else np.zeros(a.logs.shape, dtype=np.int64) for a in automata]
+        for batch in batches:
+            for kind, own in _by_kind(batch, False, without):
+                if automata[kind] is not None:
+                    sums[kind] += automata[kind].counts(*_laid(own)[:3])
+        for kind, own in enumerate(sums):
+            if own is not None:
+                state, symbol = np.nonzero(own)
+                columns = [np.full(len(state), kind, np.int32), state.astype(np.int32), symbol.astype(np.int32), own[state, symbol]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["kind", "state", "symbol", "n"])
+
+    rows = found.mapInArrow(run, "kind int, state int, symbol int, n bigint")
+    sums = [None if a is None else np.zeros(a.logs.shape, dtype=np.int64) for a in automata]
+    # at most a row for each state and symbol
+    for r in rows.groupBy("kind", "state", "symbol").agg(F.sum("n").alias("n")).collect():
+        sums[r["kind"]][r["state"], r["symbol"]] = r["n"]
+    return [None if a is None else a.with_counts(n) for a, n in zip(automata, sums, strict=True)]
+
+
+def _thresholds(found: DataFrame, model: Model, without: Model | None = None) -> list[float]:
+    """A threshold for each kind from the scores of its values of odd hash and of all ordinary runs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for kind, own in _by_kind(batch, True, without):
+                scores = model.scores(own)
+                for k in range(PLAIN) if kind == PLAIN else [kind]:
+                    if model.kinds[k] is not None:
+                        step, n = np.unique(np.floor(scores[k] * STEPS).astype(np.int64), return_counts=True)
+                        columns = [np.full(len(step), k, np.int32), np.full(len(step), kind == PLAIN), step, n.astype(np.int64)]
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["kind", "plain", "step", "n"])
+
+    rows = found.mapInArrow(run, "kind int, plain boolean, step bigint, n bigint")
+    tables: dict[tuple[int, bool], list[tuple[int, int]]] = defaultdict(list)
+    for r in rows.groupBy("kind", "plain", "step").agg(F.sum("n").alias("n")).collect():
+        tables[r["kind"], r["plain"]].append((r["step"], r["n"]))
+    out = []
+    for k in range(PLAIN):
+        mine, usual = (np.array(sorted(tables[k, plain]), dtype=np.int64).reshape(-1, 2) for plain in (False, True))
+        out.append(_bar(_quantile(mine, MISSED), usual) if len(mine) else math.inf)
+    return out
+
+
+def _quantile(table: np.ndarray, share: float) -> int:
+    """Least step of ``table`` (step, n) with over ``share`` of the rows up to it."""
+    upto = np.cumsum(table[:, 1])
+    return int(table[np.searchsorted(upto, share * (upto[-1] - 1), side="right"), 0])
+
+
+def _bar(low: int, usual: np.ndarray) -> float:
+    """Threshold of a kind whose credentials reach the step ``low``, given the steps of ordinary runs and how often they occur."""
+    below = usual[usual[:, 0] < low]
+    n, n_below = usual[:, 1].sum(), below[:, 1].sum()
+    if n - n_below > SUSPECT * n:
+        return max(0.0, float((_quantile(usual, 1 - FALSE) + 1) / STEPS))
+    # credentials that the rules do not know form a group of their own in the tail
+    tail = below[below[:, 0] >= _quantile(below, 1 - SUSPECT), 0] if len(below) else below[:, 0]
+    steps = np.r_[tail, low] if len(tail) else np.array([low, low])
+    widest = int(np.argmax(np.diff(steps)))
+    return max(0.0, float((steps[widest] + steps[widest + 1]) / 2 / STEPS))
 
 
 def find(docs: DataFrame, model: Model | None = None) -> DataFrame:

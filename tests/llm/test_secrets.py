@@ -77,6 +77,40 @@ def test_same_sample_however_the_rows_lie(spark, leaks):
     assert one == other and [len(v) for v in one] == [50, 50, 50, 80]
 
 
+def test_shares_and_thresholds_follow_all_values(spark, leaks):
+    """However small the samples are, the shares are those of all values of even hash, and thresholds those of all others."""
+    docs = spark.createDataFrame([(i, t) for i, t in leaks[0]], "doc_id bigint, text string")
+    model = secrets.train(docs.repartition(5), 60, 90)
+    labelled, ordinary = {0: set(), 1: set(), 2: set()}, set()
+    for _, text in leaks[0]:
+        spans, free = secrets.spans_and_runs(text or "")
+        for _, kind, _, found in spans:
+            if len(found) <= secrets.LONGEST:
+                labelled[kind].add(found)
+        ordinary.update(r for _, r in free if len(r) <= secrets.LONGEST)
+    for kind, automaton in enumerate(model.kinds):
+        assert len(labelled[kind]) > 200
+        counts = np.zeros(automaton.logs.shape)
+        for found in labelled[kind]:
+            if secrets._rank(found) % 2 == 0:
+                state = 0
+                for symbol in found:
+                    counts[state, secrets.SYMBOLS.index(symbol)] += 1
+                    state = automaton.to[state, secrets.SYMBOLS.index(symbol)]
+                counts[state, secrets.END] += 1
+        shares = (counts + secrets.EVEN / (secrets.N_SYMBOLS + 1)) / (counts.sum(axis=1, keepdims=True) + secrets.EVEN)
+        assert automaton.logs == pytest.approx(np.log(shares))
+        # the credentials' part of the threshold: all but MISSED of the other half reach it, within a step
+        others = [v for v in labelled[kind] if secrets._rank(v) % 2]
+        low = np.quantile(model.scores(others)[kind], secrets.MISSED, method="higher")
+        usual = model.scores(sorted(ordinary))[kind]
+        if (usual >= low).mean() <= secrets.SUSPECT:
+            assert model.thresholds[kind] <= low
+        assert (usual >= model.thresholds[kind]).mean() < 0.05
+    again = secrets.train(docs.repartition(2), 60, 90)
+    assert again.thresholds == model.thresholds
+
+
 def reached(tree):
     seen = [0]
     for state in seen:
