@@ -9,20 +9,22 @@ others share what is left with the unknown word, evenly.
 
 What is counted, and how it stays whole and bounded:
 
-* unigrams: per task, then by word. The ``HEAD_ROWS`` most frequent words at most
+* chunks: the texts are taken apart once and written as chunks of ``CHUNK_TOKENS``
+  tokens, about: the chunk's distinct words as hashes, and every token by its
+  word's place among them. All later steps read the chunks.
+* unigrams: per chunk, then by word. The ``HEAD_ROWS`` most frequent words at most
   are sent to the tasks, with their counts, as a cache; other words, with the
   shards they stand in, meet the unigram table in a shuffle, and the shards use
-  their counts for the documents' base scores and for unigram probabilities.
-* frequent pairs: pairs of the words with at least one in ``HOT`` of all tokens
-  are counted first, and those with one in ``PAIRS`` are sent to the tasks: at
-  most ``PAIRS`` rows. They hold every key that could fill a task by itself.
-* all other bigrams, with the documents they stand in, go in packed columns to
-  shards by their context (of hot contexts: by both words); the number of shards
-  follows the number of tokens. A shard counts its bigrams and keeps, per
-  document, the sums of known terms and how often each discounted count occurs,
-  and per unseen bigram its context. These tables, one row a shard, are written.
-* The counts of counts of all shards give the discounts; then each shard row is
-  evaluated, and its documents' sums are added up.
+  their counts for unigram probabilities and hand them on to the chunks.
+* bigrams: the distinct ones of each chunk, with their training counts there, go
+  in packed columns to shards by their context (of hot contexts, which are words
+  with at least one in ``HOT`` of all tokens: by both words); the number of shards
+  follows the number of tokens. A shard gets a bigram once a chunk at most,
+  however frequent it is. It adds up the counts and answers every chunk: the
+  counts of its bigrams, and of contexts with unseen ones what the backoff needs.
+  No table holds anything by document and shard.
+* The counts of counts of all shards give the discounts; then each chunk meets its
+  answers, takes its bigrams in the same order again and adds up its documents.
 
 A context whose followers all occur more than ``K`` times, and every hot context,
 reserves one count for what is unseen. Discounts that Good-Turing cannot give
@@ -30,21 +32,22 @@ reserves one count for what is unseen. Discounts that Good-Turing cannot give
 
 Defined results: a null or empty text is its end alone. Rows are scored one by
 one, so repeated rows and ids repeat; a row without ``doc_id`` is learnt from. Without training documents every word is
-unknown. Columns other than ``doc_id`` and ``text`` are not carried. Rows are known
-by a number of their text, so the order in which they are read is of no account.
+unknown. Columns other than ``doc_id`` and ``text`` are not carried. Which rows share a
+chunk changes no score, so the order in which they are read is of no account.
 Empty tables give empty tables.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,16 +55,13 @@ from convoca.llm.common import ASCII_LOWER, as_bytes, slices_of_text
 from convoca.sources.staging import stage
 
 HEAD_ROWS = 1 << 18
-HOT, PAIRS = 2000, 100_000
-SHARD_TOKENS = 750_000
+HOT = 2000
+# tokens, about, whose bigrams a shard counts, and of a chunk
+SHARD_TOKENS, CHUNK_TOKENS = 1_500_000, 1_500_000
 # counts up to K are discounted
 K = 5
-# rows, about, whose parts are added up together, and entries a task adds up at once
-BLOCK, ADDED = 4096, 250_000
-# bits of a row's number, which is a hash of its text
-ROW_BITS = 62
-# entries a task packs at once, words it holds, distinct words it holds for counting, bytes of text it takes apart at once
-PACKED, HELD, TEXT_BYTES = 1_000_000, 100_000, 2 << 20
+# bytes of text a task takes apart at once
+TEXT_BYTES = 2 << 20
 _MASK = (1 << 63) - 1
 # no token holds white space
 END, START = b"\n", b"\t"
@@ -88,7 +88,7 @@ def discounts(n: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Head:
-    """What every task knows: frequent words with counts and probabilities, totals, frequent pairs."""
+    """What every task knows: frequent words with counts, discounts, totals, hot contexts."""
 
     hashes: np.ndarray
     counts: np.ndarray
@@ -99,9 +99,6 @@ class Head:
     v: int
     documents: int
     hot: np.ndarray
-    pair_u: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    pair_w: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    pair_n: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
 
     def place(self, hashes: np.ndarray) -> np.ndarray:
         """Place of each hash among the head's words, -1 for others."""
@@ -111,13 +108,18 @@ class Head:
         """Logarithms of the unigram probabilities of words with these counts."""
         return np.log10(_discounted(counts, self.factors) / (self.n + 1))
 
-    def p_log(self, hashes: np.ndarray, tail: np.ndarray, tail_counts: np.ndarray) -> np.ndarray:
-        """The same by hash; ``tail`` has the words known beside the head, in order."""
-        out = np.full(len(hashes), self.tail_log_p)
-        for known, counts in ((tail, tail_counts), (self.hashes, self.counts)):
-            place = _place(known, hashes)
-            inside = place >= 0
-            out[inside] = self.log_p(counts[place[inside]])
+    def p_log(self, counts: np.ndarray) -> np.ndarray:
+        """The same, where words that were never counted have what is left."""
+        out = np.full(len(counts), self.tail_log_p)
+        out[counts > 0] = self.log_p(counts[counts > 0])
+        return out
+
+    def known(self, hashes: np.ndarray, tail: np.ndarray, tail_counts: np.ndarray) -> np.ndarray:
+        """Training counts by hash; ``tail`` has the words known beside the head, in order."""
+        out = np.zeros(len(hashes), np.int64)
+        for words, counts in ((tail, tail_counts), (self.hashes, self.counts)):
+            place = _place(words, hashes)
+            out[place >= 0] = counts[place[place >= 0]]
         return out
 
     def hot_place(self, hashes: np.ndarray) -> np.ndarray:
@@ -135,54 +137,80 @@ def _place(known: np.ndarray, asked: np.ndarray) -> np.ndarray:
     return np.where(known[at] == asked, at, -1)
 
 
-class Words:
-    """A task's words: each is hashed and looked up once, up to ``HELD`` of them."""
-
-    def __init__(self, head: Head):
-        self.head = head
-        self._clear()
-
-    def _clear(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.columns = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)]
-
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        """Numbers of ``words``; ``columns`` then has hash, head place and hot place by number."""
-        if len(self.number) > HELD:
-            self._clear()
-        new = [*set(words).difference(self.number)]
-        if new:
-            hashes = np.fromiter(map(word_hash, new), dtype=np.int64, count=len(new))
-            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
-            more = (hashes, self.head.place(hashes), self.head.hot_place(hashes))
-            self.columns = [np.concatenate(pair) for pair in zip(self.columns, more, strict=True)]
-        return np.fromiter(map(self.number.__getitem__, words), dtype=np.int64, count=len(words))
-
-
 def held_out() -> Column:
     """Rows not learnt from: the CRC-32 of the id, as text, leaves 2 when divided by 7."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def unigrams(docs: DataFrame) -> DataFrame:
-    """(w, n): hash and count of every token of the training rows of ``docs`` (row, doc_id, held_out, text)."""
+_CHUNK = "chunk bigint, n_tokens bigint, n_train bigint, ids binary, marks binary, sizes binary, words binary, stream binary"
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
 
-        def rows() -> pa.RecordBatch:
-            hashes = np.fromiter(map(word_hash, held), dtype=np.int64, count=len(held))
-            return pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(held.values(), pa.int64())], names=["w", "n"])
+def chunks(docs: DataFrame) -> DataFrame:
+    """``docs`` as chunks: rows with their ids, marks and sizes, distinct words, and the tokens by their words' places."""
+    most = CHUNK_TOKENS
 
-        for batch in slices_of_text(batches, 0, TEXT_BYTES):
-            for text in as_bytes(batch.column(0)):
-                held.update(tokens(text))
-            if len(held) >= HELD:
-                yield rows()
-                held.clear()
-        yield rows()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 32
+        number: dict[bytes, int] = {}
+        ids, marks, sizes, held, size = [], [], [], [], 0
+
+        def made() -> pa.RecordBatch:
+            nonlocal first
+            stream = np.concatenate(held)
+            hashes = np.fromiter(map(word_hash, number), dtype=np.int64, count=len(number))
+            # frequent words come first, as small numbers pack well
+            order = np.argsort(-np.bincount(stream, minlength=len(number)), kind="stable")
+            rank = np.empty(len(order), np.int32)
+            rank[order] = np.arange(len(order))
+            mark = np.concatenate(marks)
+            values = (
+                first, len(stream), int((mark & 1 == 0).sum()),
+                _packed(np.concatenate(ids).view(np.uint64)), _packed(mark), _packed(np.array(sizes)), _packed(hashes[order]), _packed(rank[stream]),
+            )
+            first += 1
+            kinds = [pa.int64()] * 3 + [pa.binary()] * 5
+            names = ["chunk", "n_tokens", "n_train", "ids", "marks", "sizes", "words", "stream"]
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=names)
+
+        for batch in slices_of_text(batches, 2, TEXT_BYTES):
+            flat: list[bytes] = []
+            for text in as_bytes(batch.column(2)):
+                before = len(flat)
+                flat += tokens(text)
+                sizes.append(len(flat) - before)
+            new = set(flat).difference(number)
+            number.update(zip(new, range(len(number), len(number) + len(new)), strict=True))
+            held.append(np.fromiter(map(number.__getitem__, flat), dtype=np.int32, count=len(flat)))
+            ids.append(pc.fill_null(batch.column(0), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            flags = batch.column(1).to_numpy(zero_copy_only=False).astype(np.uint8)
+            marks.append(flags + 2 * pc.is_null(batch.column(0)).to_numpy(zero_copy_only=False).astype(np.uint8))
+            size += len(flat)
+            if size >= most:
+                yield made()
+                number, ids, marks, sizes, held, size = {}, [], [], [], [], 0
+        if sizes:
+            yield made()
+
+    columns = (F.col("doc_id").cast("bigint").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
+    return docs.select(*columns).mapInArrow(run, _CHUNK)
+
+
+def _learnt(marks: bytes, sizes: bytes) -> np.ndarray:
+    """Of each token of a chunk, whether its row is learnt from."""
+    return np.repeat(_unpacked(marks)[0] & 1 == 0, _unpacked(sizes)[0])
+
+
+def unigrams(parts: DataFrame) -> DataFrame:
+    """(w, n): hash and count of every token of the training rows of chunks."""
 
-    found = docs.filter(~F.col("held_out")).select("text").mapInArrow(count, "w bigint, n bigint")
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for marks, sizes, words, stream in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                hashes = _unpacked(words)[0]
+                n = np.bincount(_unpacked(stream)[0][_learnt(marks, sizes)], minlength=len(hashes))
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[n > 0]), pa.array(n[n > 0].astype(np.int64))], names=["w", "n"])
+
+    found = parts.select("marks", "sizes", "words", "stream").mapInArrow(count, "w bigint, n bigint")
     return found.groupBy("w").agg(F.sum("n").alias("n"))
 
 
@@ -210,61 +238,6 @@ def head_of(words: DataFrame, documents: int, rows: int = HEAD_ROWS, only: bool
     return Head(hashes, counts, d, float(np.log10(rest)), n, v, documents, np.sort(np.r_[hot, word_hash(START)]))
 
 
-def _pairs(words: Words, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, number of the context, number of the word) of all bigrams of ``texts``."""
-    flat: list[bytes] = []
-    sizes = []
-    for text in texts:
-        before = len(flat)
-        flat.append(START)
-        flat += (text or b"").translate(ASCII_LOWER).split()
-        flat.append(END)
-        sizes.append(len(flat) - before)
-    numbers = words.numbers(flat)
-    follows = np.ones(len(flat), dtype=bool)
-    follows[np.cumsum([0, *sizes[:-1]])] = False
-    doc = np.repeat(np.arange(len(sizes)), np.array(sizes) - 1)
-    return doc, numbers[:-1][follows[1:]], numbers[follows]
-
-
-def _with_frequent_pairs(docs: DataFrame, head: Head) -> Head:
-    """Count the pairs of hot words; the frequent ones join the head."""
-    shipped = docs.sparkSession.sparkContext.broadcast(head)
-    width = len(head.hot)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held = Words(shipped.value), np.zeros(0, np.int64)
-        for batch in slices_of_text(batches, 0, TEXT_BYTES):
-            _, u, w = _pairs(words, as_bytes(batch.column(0)))
-            hot = words.columns[2]
-            both = (hot[u] >= 0) & (hot[w] >= 0)
-            held = np.r_[held, hot[u][both] * width + hot[w][both]]
-            if len(held) > PACKED:
-                yield _counted(held)
-                held = held[:0]
-        yield _counted(held)
-
-    rows = docs.filter(~F.col("held_out")).select("text").mapInArrow(count, "pair bigint, n bigint")
-    least = max(K + 2, -(-head.n // PAIRS))
-    found = rows.groupBy("pair").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toArrow()
-    pair, n = found["pair"].to_numpy().astype(np.int64), found["n"].to_numpy().astype(np.int64)
-    order = np.argsort(pair)
-    head.pair_u, head.pair_w, head.pair_n = pair[order] // width, pair[order] % width, n[order]
-    return head
-
-
-def _counted(values: np.ndarray) -> pa.RecordBatch:
-    keys, n = np.unique(values, return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], names=["pair", "n"])
-
-
-def _frequent(head: Head, hot: np.ndarray, u: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Place of each bigram among the frequent pairs, -1 for others."""
-    known = head.pair_u * len(head.hot) + head.pair_w
-    asked = np.where((hot[u] >= 0) & (hot[w] >= 0), hot[u] * len(head.hot) + hot[w], -1)
-    return np.where(asked >= 0, _place(known, asked), -1)
-
-
 def _context_counts(head: Head, hot_place: np.ndarray) -> np.ndarray:
     """Training count of hot contexts; the start of a text counts once a document."""
     hashes = head.hot[hot_place]
@@ -273,132 +246,150 @@ def _context_counts(head: Head, hot_place: np.ndarray) -> np.ndarray:
     return np.where(hashes == word_hash(START), head.documents, counts)
 
 
-def _known_parts(docs: DataFrame, head: Head) -> DataFrame:
-    """Per row: tokens, known tokens and unigram logarithms of head words, frequent pairs' part; other words.
+def _narrow(values: np.ndarray) -> np.ndarray:
+    """Numbers from 0 on in as few bytes as hold them all."""
+    top = int(values.max()) if len(values) else 0
+    return values.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
 
-    Each other word comes with the place of its bigram in the range that shards divide.
-    """
-    shipped = docs.sparkSession.sparkContext.broadcast(head)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shipped.value
-        words = Words(own)
-        for batch in slices_of_text(batches, 3, TEXT_BYTES):
-            m = batch.num_rows
-            doc, u, w = _pairs(words, as_bytes(batch.column(3)))
-            hashes, place, hot = words.columns
-            inside = place[w] >= 0
-            logs = np.log10(own.counts[place[w][inside]] + 1.0)
-            pair = _frequent(own, hot, u, w)
-            seen = pair >= 0
-            part = np.log10(own.pair_n[pair[seen]]) - np.log10(_context_counts(own, hot[u][seen]) + 1.0)
-            h = hashes[w][~inside]
-            at = _spread(hashes[u][~inside], h, hot[u][~inside] >= 0)
-            order = np.lexsort((at, h))
-            h, at = h[order], at[order]
-            first = np.r_[True, (h[1:] != h[:-1]) | (at[1:] != at[:-1])][: len(h)]
-            # the words of a slice stand in its first row
-            offsets = pa.array(np.r_[0, np.full(m, first.sum())].astype(np.int32))
-            columns = [pa.array(h[first]), pa.array((at[first] - (1 << 31)).astype(np.int32))]
-            pairs = pa.StructArray.from_arrays(columns, names=["w", "at"])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *batch.columns[:3],
-                    pa.array(np.bincount(doc, minlength=m).astype(np.int64)),
-                    pa.array(np.bincount(doc[inside], minlength=m).astype(np.int64)),
-                    pa.array(np.bincount(doc[inside], logs, minlength=m), pa.float64()),
-                    pa.array(np.bincount(doc[seen], part, minlength=m), pa.float64()),
-                    pa.ListArray.from_arrays(offsets, pairs),
-                ],
-                names=["row", "doc_id", "held_out", "n_tokens", "head_known", "head_logs", "pairs_part", "others"],
-            )
+def _written(values: np.ndarray) -> bytes:
+    """Numbers with the bytes of equal weight together, which pack better."""
+    small = _narrow(values)
+    return np.array([len(small), small.itemsize], np.int64).tobytes() + small.view(np.uint8).reshape(-1, small.itemsize).T.tobytes()
 
-    return docs.mapInArrow(
-        run,
-        "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, head_known bigint, head_logs double, "
-        "pairs_part double, others array<struct<w:bigint,at:int>>",
-    )
 
+def _packed(*lists: np.ndarray) -> bytes:
+    data = b"".join(map(_written, lists))
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
 
-def _shards(docs: DataFrame, head: Head, shards: int) -> DataFrame:
-    """(shard, packed): the bigrams that are no frequent pairs, with their documents."""
-    shipped = docs.sparkSession.sparkContext.broadcast(head)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shipped.value
-        words, held, size = Words(own), [], 0
-        for batch in slices_of_text(batches, 3, TEXT_BYTES):
-            doc, u, w = _pairs(words, as_bytes(batch.column(3)))
-            hashes, place, hot = words.columns
-            rest = _frequent(own, hot, u, w) < 0
-            doc, u, w = doc[rest], u[rest], w[rest]
-            codes = np.where(place >= 0, place, -1 - hashes)
-            held.append((_rows(batch)[doc], codes[u], codes[w], _spread(hashes[u], hashes[w], hot[u] >= 0)))
-            size += len(doc)
-            if size >= PACKED:
-                yield _pack(held, shards)
-                held, size = [], 0
-        if held:
-            yield _pack(held, shards)
-
-    return docs.mapInArrow(run, "shard int, packed binary")
-
-
-def _rows(batch: pa.RecordBatch) -> np.ndarray:
-    """Row numbers, with the lowest bit telling whether the row is held out."""
-    return np.asarray(batch.column(0)) * 2 + np.asarray(batch.column(2).cast(pa.int8()))
+def _unpacked(data: bytes) -> list[np.ndarray]:
+    size = int.from_bytes(data[:8], "little")
+    plain = pa.decompress(data[8:], decompressed_size=size, codec="zstd", asbytes=True)
+    out, at = [], 0
+    while at < size:
+        n, width = map(int, np.frombuffer(plain, np.int64, 2, at))
+        planes = np.frombuffer(plain, np.uint8, n * width, at + 16).reshape(width, n)
+        out.append(np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(np.int64))
+        at += 16 + n * width
+    return out
 
 
-def _narrow(values: np.ndarray) -> np.ndarray:
-    """Numbers from 0 on in as few bytes as hold them all."""
-    top = int(values.max()) if len(values) else 0
-    return values.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
+@dataclass
+class Bigrams:
+    """A chunk's words and distinct bigrams, those of a shard together, in order of their contexts and words.
 
+    Words are numbered in order of their codes: places in the head, or less than 0.
+    """
 
-def _written(values: np.ndarray) -> bytes:
-    small = _narrow(values)
-    return np.array([len(small), small.itemsize], np.int64).tobytes() + small.tobytes()
+    hashes: np.ndarray
+    codes: np.ndarray
+    # of the bigrams: contexts, words, training counts in the chunk, edges of shards
+    u: np.ndarray
+    w: np.ndarray
+    n: np.ndarray
+    edges: np.ndarray
+    # of the tokens: words, bigrams
+    word: np.ndarray
+    pair: np.ndarray
+
+    def runs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Where the bigrams of a context in a shard start, and how many they are."""
+        new = np.r_[True, self.u[1:] != self.u[:-1]][: len(self.u)]
+        new[self.edges[:-1][np.diff(self.edges) > 0]] = True
+        starts = np.nonzero(new)[0]
+        return starts, np.diff(np.r_[starts, len(self.u)])
+
+
+def _numbered(words: bytes, stream: bytes, sizes: np.ndarray, head: Head) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and codes of a chunk's words and the start in order of the codes, and the tokens' contexts and words by it."""
+    hashes = np.r_[_unpacked(words)[0], word_hash(START)]
+    place = head.place(hashes)
+    codes = np.where(place >= 0, place, -1 - hashes)
+    order = np.argsort(codes)
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order))
+    w = rank[_unpacked(stream)[0]]
+    u = np.roll(w, 1)
+    u[np.cumsum(np.r_[0, sizes[:-1]])] = rank[-1]
+    return hashes[order], codes[order], u, w
+
+
+def _bigrams(words: bytes, stream: bytes, sizes: bytes, marks: bytes, head: Head, shards: int) -> Bigrams:
+    hashes, codes, u, w = _numbered(words, stream, _unpacked(sizes)[0], head)
+    key = u.astype(np.int64) * len(hashes) + w
+    del u
+    order = np.argsort(key)
+    key = key[order]
+    new = np.r_[True, key[1:] != key[:-1]]
+    starts = np.nonzero(new)[0]
+    n = np.add.reduceat(_learnt(marks, sizes)[order].astype(np.int64), starts)
+    pair = np.empty(len(order), np.int32)
+    pair[order] = np.cumsum(new) - 1
+    del new, order
+    key = key[starts]
+    pu, pw = (key // len(hashes)).astype(np.int32), (key % len(hashes)).astype(np.int32)
+    del key, starts
+    shard = _shard(hashes[pu], hashes[pw], head.hot_place(hashes)[pu] >= 0, shards)
+    order = np.argsort(shard, kind="stable")
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
+    edges = np.searchsorted(shard[order], np.arange(shards + 1))
+    return Bigrams(hashes, codes, pu[order], pw[order], n[order], edges, w, rank[pair])
+
+
+def _asked(parts: DataFrame, head: Head, shards: int) -> DataFrame:
+    """(shard, chunk, packed): the distinct bigrams of every chunk, by shard."""
+    shipped = parts.sparkSession.sparkContext.broadcast(head)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, *data in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                names, packed = _pack(_bigrams(*data, shipped.value, shards), len(shipped.value.hashes))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(names, pa.int32()), pa.array([chunk] * len(names), pa.int64()), pa.array(packed, pa.binary())],
+                    names=["shard", "chunk", "packed"],
+                )
 
-def _read(data: bytes, at: int) -> tuple[np.ndarray, int]:
-    n, size = np.frombuffer(data, np.int64, 2, at)
-    return np.frombuffer(data, f"<u{size}", n, at + 16).astype(np.int64), at + 16 + int(n) * int(size)
+    return parts.select("chunk", "words", "stream", "sizes", "marks").mapInArrow(run, "shard int, chunk bigint, packed binary")
 
 
-def _written_codes(values: np.ndarray) -> tuple[list[bytes], np.ndarray]:
-    """Distinct codes of words, those of the head by their differences, and each value's place among them."""
-    own, at = np.unique(values, return_inverse=True)
-    tail = int(np.searchsorted(own, 0))
-    return [_written(-1 - own[:tail]), _written(np.diff(own[tail:], prepend=0))], at
+def _pack(found: Bigrams, head_size: int) -> tuple[list[int], list[bytes]]:
+    """By shard: contexts, outside the head as hashes and in it by their steps, with the numbers of their bigrams;
+    words outside the head as hashes, all words by their places in the head and behind it; counts."""
+    names, packed = [], []
+    starts, sizes = found.runs()
+    for s in np.nonzero(np.diff(found.edges))[0]:
+        part = slice(found.edges[s], found.edges[s + 1])
+        own = slice(*np.searchsorted(starts, found.edges[s : s + 2]))
+        contexts = found.codes[found.u[starts[own]]]
+        tail = int(np.searchsorted(contexts, 0))
+        outside, places = _outside(found, part, head_size)
+        lists = (-1 - contexts[:tail], np.diff(contexts[tail:], prepend=0), sizes[own], found.hashes[outside], places, found.n[part])
+        names.append(int(s))
+        packed.append(_packed(*lists))
+    return names, packed
 
 
-def _read_codes(data: bytes, at: int, head: np.ndarray) -> tuple[np.ndarray, int]:
-    """Hashes of the distinct words."""
-    tail, at = _read(data, at)
-    steps, at = _read(data, at)
-    return np.r_[tail, head[np.cumsum(steps)]], at
+def _outside(found: Bigrams, part: slice, head_size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of a shard's bigrams: the distinct words outside the head, and every word's place, those of the head first."""
+    w = found.w[part]
+    places = found.codes[w]
+    outside, at = np.unique(w[places < 0], return_inverse=True)
+    places[places < 0] = head_size + at
+    return outside, places
 
 
-def _pack(held: list, shards: int) -> pa.RecordBatch:
-    """One row a shard: its bigrams in order of their contexts, with documents and words by their places in lists."""
-    row, u, w, at = (np.concatenate(c) for c in zip(*held, strict=True))
-    # sorting by place sorts by shard
-    order = np.argsort(at)
-    row, u, w = row[order], u[order], w[order]
-    edges = np.searchsorted((at[order] * shards) >> 32, np.arange(shards + 1))
-    names, packed = [], []
-    for s in np.nonzero(np.diff(edges))[0]:
-        part = slice(edges[s], edges[s + 1])
-        order = np.argsort(u[part], kind="stable")
-        contexts, of_context = _written_codes(u[part][order])
-        known, of_word = _written_codes(w[part][order])
-        rows, of_row = np.unique(row[part][order], return_inverse=True)
-        lists = (np.diff(of_context, prepend=0), of_word, rows, of_row)
-        names.append(s)
-        packed.append(b"".join([*contexts, *known, *map(_written, lists)]))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(names, pa.int32()), pa.array(packed, pa.binary())], names=["shard", "packed"]
-    )
+def _unpack(data: bytes, head: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of contexts, with the numbers of their bigrams; hashes of words outside the head; places of words, and counts."""
+    tail, steps, sizes, outside, places, n = _unpacked(data)
+    return np.r_[tail, head[np.cumsum(steps)]], sizes, outside, places, n
+
+
+def _shard(u: np.ndarray, w: np.ndarray, hot: np.ndarray, shards: int) -> np.ndarray:
+    """Shards of bigrams, in as few bytes as hold them."""
+    shard = (_spread(u, w, hot) * shards) >> 32
+    return shard.astype(np.uint16) if shards <= 1 << 16 else shard
 
 
 def _spread(u: np.ndarray, w: np.ndarray, hot: np.ndarray) -> np.ndarray:
@@ -412,107 +403,111 @@ def _mixed(u: np.ndarray, w: np.ndarray) -> np.ndarray:
     return (mixed ^ (mixed >> np.uint64(32))).view(np.int64) & _MASK
 
 
-def _unpack(data: bytes, head: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows (with the lowest bit as in ``_rows``), and hashes of contexts and words, of a packed row."""
-    contexts, at = _read_codes(data, 0, head)
-    known, at = _read_codes(data, at, head)
-    steps, at = _read(data, at)
-    of_word, at = _read(data, at)
-    rows, at = _read(data, at)
-    of_row, _ = _read(data, at)
-    return rows[of_row], contexts[np.cumsum(steps)], known[of_word]
-
+_ANSWER = "chunk bigint, shard int, packed binary, counts array<bigint>, hot array<int>, hot_stats array<double>"
 
-_SUMMARY = (
-    "counts array<bigint>, hot array<int>, hot_stats array<double>, rows array<bigint>, known array<double>, "
-    "few array<int>, tail_known array<int>, tail_logs array<double>, un_rows array<int>, un_context array<int>, un_hot array<int>, un_n array<int>, un_logs array<double>, "
-    "context_stats array<double>"
-)
 
-
-def _summary(packed: list[bytes], head: Head, tail: np.ndarray, tail_counts: np.ndarray, only: bool = False) -> dict:
-    """A shard's table: counts of counts, hot contexts' parts, and the documents' terms.
+def _answers(asked: list[bytes], head: Head, tail: np.ndarray, tail_counts: np.ndarray, only: bool = False) -> tuple[list[bytes], dict]:
+    """A shard's answers to what chunks have asked, and its counts of counts and hot contexts' parts.
 
     ``tail`` has the hashes, in order, of the shard's words that only the unigram table knows;
     with ``only`` they count for the base scores and have no probability of their own.
+    An answer has the counts of the bigrams; twice their contexts' totals, and one more for
+    those that reserve a count; of those with unseen bigrams the numbers of followers by
+    discounted count, the sum of the other counts and the bits of the seen words' probability;
+    the training counts of words outside the head.
     """
-    row, u, w = (np.concatenate(c) for c in zip(*(_unpack(p, head.hashes) for p in packed), strict=True))
-    packed.clear()
+    lists = [[], [], [], [], []]
+    for data in asked:
+        for held, values in zip(lists, _unpack(data, head.hashes), strict=True):
+            held.append(values)
+    asked.clear()
+    # where each chunk's bigrams, contexts and words outside the head end
+    ends, runs, outer = (np.cumsum([0, *map(len, lists[i])]) for i in (4, 1, 2))
+    contexts, sizes, outside, places, n = map(np.concatenate, lists)
+    lists.clear()
+    u = np.repeat(contexts, sizes)
+    w = np.empty(len(places), np.int64)
+    inside = places < len(head.hashes)
+    w[inside] = head.hashes[places[inside]]
+    w[~inside] = outside[(places + np.repeat(outer[:-1] - len(head.hashes), np.diff(ends)))[~inside]]
+    del contexts, places, inside
     # bigrams are told apart by the hash of both words
     _, first, pair = np.unique(_mixed(u, w), return_index=True, return_inverse=True)
     pair = pair.astype(np.int32)
     pu, pw = u[first], w[first]
     del u, w, first
-    train = (row & 1) == 0
-    row >>= 1
-    c = np.bincount(pair[train], minlength=len(pu))
-    del train
+    c = np.bincount(pair, n, minlength=len(pu)).astype(np.int64)
+    del n, _
     cu, context = np.unique(pu, return_inverse=True)
     context = context.astype(np.int32)
     hot = head.hot_place(cu)
-    p_log = head.p_log(pw, tail[:0], tail_counts[:0]) if only else head.p_log(pw, tail, tail_counts)
-    place = _place(tail, pw)
-    in_tail = np.where(place >= 0, tail_counts[np.maximum(place, 0)], 0) if len(tail) else np.zeros(len(pw), np.int64)
-    del pu, pw, place
+    seen = c > 0
+    p = 10.0 ** head.p_log(head.known(pw[seen], tail[:0], tail_counts[:0]) if only else head.known(pw[seen], tail, tail_counts))
+    del pu, pw
     # per context: discounted counts 1..K, the sum of the others, the seen words' probabilities
     stats = np.zeros((len(cu), K + 2))
     for r in range(1, K + 1):
         stats[:, r - 1] = np.bincount(context[c == r], minlength=len(cu))
     stats[:, K] = np.bincount(context[c > K], c[c > K], minlength=len(cu))
-    stats[:, K + 1] = np.bincount(context[c > 0], 10.0 ** p_log[c > 0], minlength=len(cu))
+    stats[:, K + 1] = np.bincount(context[seen], p, minlength=len(cu))
     total = stats[:, :K] @ np.arange(1, K + 1) + stats[:, K]
     total[hot >= 0] = _context_counts(head, hot[hot >= 0])
-    reserve = ((stats[:, :K].sum(axis=1) == 0) | (hot >= 0)) & (total > 0)
-    whole = total + reserve
-    rows, at = np.unique(row, return_inverse=True)
-    at = at.astype(np.int32)
-    terms = np.where(c > 0, np.log10(np.maximum(c, 1)) - np.log10(np.maximum(whole[context], 1)), 0.0)
-    known = np.bincount(at, terms[pair], minlength=len(rows))
-    level = np.minimum(c, K + 1)[pair]
-    few = np.bincount(at * np.int64(K + 2) + level, minlength=len(rows) * (K + 2)).reshape(-1, K + 2)[:, 1 : K + 1]
-    # unseen bigrams, one row for each document and context
-    lone = np.nonzero(level == 0)[0]
-    lone = lone[np.lexsort((context[pair[lone]], row[lone]))]
-    r, k = row[lone], context[pair[lone]]
-    starts = np.nonzero(np.r_[True, (r[1:] != r[:-1]) | (k[1:] != k[:-1])])[0] if len(r) else np.zeros(0, int)
-    logs = np.add.reduceat(p_log[pair[lone]], starts) if len(starts) else np.zeros(0)
-    used, place = np.unique(k[starts], return_inverse=True)
+    reserving = ((stats[:, :K].sum(axis=1) == 0) | (hot >= 0)) & (total > 0)
+    c_asked, starts = c[pair], np.cumsum(sizes) - sizes
+    which = context[pair[starts]]
+    totals = (2 * total.astype(np.int64) + reserving)[which]
+    lone = np.nonzero(np.minimum.reduceat(c_asked, starts) == 0)[0]
+    table, edges = stats[which[lone]], np.searchsorted(lone, runs)
+    known = head.known(outside, tail, tail_counts)
+    made = []
+    for k in range(len(ends) - 1):
+        few = table[edges[k] : edges[k + 1]]
+        made.append(
+            _packed(
+                c_asked[ends[k] : ends[k + 1]],
+                totals[runs[k] : runs[k + 1]],
+                few[:, :K].T.ravel().astype(np.int64),
+                few[:, K].astype(np.int64),
+                np.ascontiguousarray(few[:, K + 1]).view(np.uint64),
+                known[outer[k] : outer[k + 1]],
+            )
+        )
     hots = np.nonzero(hot >= 0)[0]
-    return {
-        "counts": np.bincount(np.minimum(c[c > 0], K + 2), minlength=K + 3).tolist(),
-        "hot": hot[hots].tolist(),
-        "hot_stats": stats[hots].ravel().tolist(),
-        "rows": rows,
-        "known": known,
-        "few": few.ravel(),
-        "tail_known": np.bincount(at, (in_tail > 0)[pair], minlength=len(rows)).astype(np.int32),
-        "tail_logs": np.bincount(at, np.log10(in_tail + 1.0)[pair], minlength=len(rows)),
-        "un_rows": np.searchsorted(rows, r[starts]).astype(np.int32),
-        "un_context": place,
-        "un_hot": hot[used][place] if len(used) else place,
-        "un_n": np.diff(np.r_[starts, len(r)]),
-        "un_logs": logs,
-        "context_stats": np.c_[stats, total, whole][used].ravel(),
-    }
-
-
-def _tails(parts: DataFrame, words: DataFrame, shards: int) -> DataFrame:
+    counts = np.bincount(np.minimum(c[seen], K + 2), minlength=K + 3)
+    return made, {"counts": counts.tolist(), "hot": hot[hots].tolist(), "hot_stats": stats[hots].ravel().tolist()}
+
+
+def _tails(parts: DataFrame, words: DataFrame, head: Head, shards: int) -> DataFrame:
     """(shard, w, n): by shard, its words outside the head with their training counts."""
-    shard = F.shiftright((F.col("o.at").cast("bigint") + (1 << 31)) * shards, 32).cast("int")
-    asked = parts.select(F.explode("others").alias("o")).select(shard.alias("shard"), "o.w")
+    shipped = parts.sparkSession.sparkContext.broadcast(head)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data, stream, sizes in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                hashes, codes, u, w = _numbered(data, stream, _unpacked(sizes)[0], shipped.value)
+                outside = codes[w] < 0
+                u, w = u[outside], w[outside]
+                shard = _shard(hashes[u], hashes[w], shipped.value.hot_place(hashes)[u] >= 0, shards)
+                w, shard = np.divmod(np.unique(w.astype(np.int64) * shards + shard), shards)
+                yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), pa.array(hashes[w])], names=["shard", "w"])
+
+    asked = parts.select("words", "stream", "sizes").mapInArrow(run, "shard int, w bigint")
     return asked.join(words, "w").select("shard", "w", "n")
 
 
-def _summaries(packed: DataFrame, tails: DataFrame, head: Head, only: bool) -> DataFrame:
-    shipped = packed.sparkSession.sparkContext.broadcast(head)
+def _answered(asked: DataFrame, tails: DataFrame, head: Head, only: bool) -> DataFrame:
+    """The shards' answers, a row for each chunk, and a row for each shard, with chunk -1, of its counts of counts and hot contexts."""
+    shipped = asked.sparkSession.sparkContext.broadcast(head)
 
     def run(shard: pd.DataFrame, tail: pd.DataFrame) -> pd.DataFrame:
         w, first = np.unique(tail["w"].to_numpy(np.int64), return_index=True)
         n = tail["n"].to_numpy(np.int64)[first]
-        made = _summary(list(shard["packed"]), shipped.value, w, n, only)
-        return pd.DataFrame({name: [value] for name, value in made.items()})
+        asking = [*shard["chunk"], -1]
+        made, own = _answers(list(shard["packed"]), shipped.value, w, n, only)
+        columns = {name: [[]] * len(made) + [value] for name, value in own.items()}
+        return pd.DataFrame({"chunk": asking, "shard": [shard["shard"].iloc[0]] * len(asking), "packed": [*made, b""], **columns})
 
-    return packed.groupBy("shard").cogroup(tails.groupBy("shard")).applyInPandas(run, _SUMMARY)
+    return asked.groupBy("shard").cogroup(tails.groupBy("shard")).applyInPandas(run, _ANSWER)
 
 
 def _alpha(stats: np.ndarray, total: np.ndarray, whole: np.ndarray, d: np.ndarray) -> np.ndarray:
@@ -522,62 +517,65 @@ def _alpha(stats: np.ndarray, total: np.ndarray, whole: np.ndarray, d: np.ndarra
     return np.where(total > 0, np.log10(np.maximum(left, 1e-300)) - np.log10(np.maximum(1.0 - stats[:, K + 1], 1e-300)), 0.0)
 
 
-def _added(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Rows, each once, and the sums of their values."""
-    rows, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    return rows, [np.bincount(at, np.concatenate([p[i] for p in parts]), minlength=len(rows)) for i in range(1, len(parts[0]))]
-
-
-_SUMS = ["part", "tail_known", "tail_logs"]
-
-
-def _evaluated(summaries: DataFrame, d: np.ndarray, hot_alpha: np.ndarray, rows_known: int) -> DataFrame:
-    """(row, part, tail_known, tail_logs): the rows' scores and base scores, added up over all shards and copies.
-
-    A task adds up its shards, ``ADDED`` entries at once, and hands on one record for
-    each block of about ``BLOCK`` of the ``rows_known`` rows, so the number of records
-    does not grow with both the rows and the shards.
-    """
-    shift = ROW_BITS - max(0, (rows_known // BLOCK).bit_length())
-
-    def record(parts: list) -> pa.RecordBatch:
-        rows, sums = _added(parts)
-        block = rows >> shift
-        starts = np.nonzero(np.r_[True, block[1:] != block[:-1]])[0] if len(rows) else np.zeros(0, int)
-        offsets = pa.array(np.r_[starts, len(rows)].astype(np.int32))
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(c)) for c in (rows, *sums)]
-        return pa.RecordBatch.from_arrays([pa.array(block[starts]), *lists], names=["block", "rows", *_SUMS])
+def _values(found: Bigrams, answers: list[bytes], head: Head, d: np.ndarray, hot_alpha: np.ndarray, only: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of a chunk's bigrams, and training counts of its words, from the answers in order of their shards."""
+    starts, sizes = found.runs()
+    c, totals, lone, known = [], [], [], np.zeros(len(found.hashes), np.int64)
+    inside = found.codes >= 0
+    known[inside] = head.counts[found.codes[inside]]
+    asked = np.nonzero(np.diff(found.edges))[0]
+    for s, data in zip(asked, answers, strict=True):
+        own, total, few, more, seen, n = _unpacked(data)
+        c.append(own.astype(np.int32) if len(own) and own.max() < 1 << 31 else own)
+        totals.append(total)
+        lone.append(np.c_[few.reshape(K, -1).T, more, seen.view(np.float64)])
+        w = found.w[found.edges[s] : found.edges[s + 1]]
+        known[np.unique(w[found.codes[w] < 0])] = n
+    c, totals, lone = np.concatenate(c), np.concatenate(totals), np.concatenate(lone)
+    total = totals >> 1
+    whole = total + (totals & 1)
+    few = np.minimum(c, K)
+    value = np.log10(np.maximum(np.where(c <= K, d[few] * few, c), 1e-300)) - np.log10(np.maximum(np.repeat(whole, sizes), 1))
+    # what contexts with unseen bigrams leave
+    some = np.nonzero(np.minimum.reduceat(c, starts) == 0)[0]
+    hot = head.hot_place(found.hashes[found.u[starts[some]]])
+    alpha = np.zeros(len(starts))
+    alpha[some] = np.where(hot >= 0, hot_alpha[np.maximum(hot, 0)], _alpha(lone, total[some], whole[some], d))
+    unseen = np.nonzero(c == 0)[0]
+    p_log = head.p_log(np.where(inside, known, 0) if only else known)
+    value[unseen] = np.repeat(alpha, sizes)[unseen] + p_log[found.w[unseen]]
+    return value, known
+
+
+def _scored(parts: DataFrame, answered: DataFrame, head: Head, shards: int, d: np.ndarray, hot_alpha: np.ndarray, only: bool) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, logs, score): the rows of all chunks."""
+    shipped = parts.sparkSession.sparkContext.broadcast((head, d, hot_alpha))
+
+    def run(chunk: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        own, factors, weights = shipped.value
+        data = {name: chunk[name].iloc[0] for name in ("words", "stream", "sizes", "marks")}
+        found = _bigrams(**data, head=own, shards=shards)
+        packed = list(answers.sort_values("shard")["packed"])
+        value, known = _values(found, packed, own, factors, weights, only)
+        sizes, marks = _unpacked(data["sizes"])[0], _unpacked(data["marks"])[0]
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        # sums follow the order of the text, so they do not depend on the chunk
+        added = lambda values: np.bincount(row, values, minlength=len(sizes))
+        return pd.DataFrame(
+            {
+                "doc_id": pd.arrays.IntegerArray(_unpacked(chunk["ids"].iloc[0])[0], marks >= 2),
+                "held_out": marks & 1 == 1,
+                "n_tokens": sizes,
+                "n_known": added((known > 0)[found.word]).astype(np.int64),
+                "logs": added(np.log10(known + 1.0)[found.word]),
+                "score": added(value[found.pair]),
+            }
+        )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, size = [], 0
-        for batch in batches:
-            for k in range(batch.num_rows):
-                one = {n: np.asarray(batch.column(i)[k].values) for i, n in enumerate(batch.schema.names)}
-                rows = one["rows"]
-                few = one["few"].reshape(len(rows), K)
-                part = one["known"] + few @ np.log10(d[1:])
-                table = one["context_stats"].reshape(-1, K + 4)
-                alpha = _alpha(table[:, : K + 2], table[:, K + 2], table[:, K + 3], d)
-                if len(one["un_rows"]):
-                    hot = one["un_hot"]
-                    weight = np.where(hot >= 0, hot_alpha[np.maximum(hot, 0)], alpha[one["un_context"]])
-                    part = part + np.bincount(one["un_rows"], one["un_n"] * weight + one["un_logs"], minlength=len(rows))
-                parts.append((rows, part, one["tail_known"], one["tail_logs"]))
-                size += len(rows)
-                if size >= ADDED:
-                    yield record(parts)
-                    parts, size = [], 0
-        if parts:
-            yield record(parts)
-
-    def add(block: pd.DataFrame) -> pd.DataFrame:
-        rows, sums = _added([tuple(block[c].iloc[i] for c in ("rows", *_SUMS)) for i in range(len(block))])
-        return pd.DataFrame({"row": rows, **dict(zip(_SUMS, sums, strict=True))})
-
-    columns = ["rows", "known", "few", "tail_known", "tail_logs", "un_rows", "un_context", "un_hot", "un_n", "un_logs", "context_stats"]
-    doubles = ", ".join(f"{c} array<double>" for c in _SUMS)
-    packed = summaries.select(*columns).mapInArrow(run, f"block bigint, rows array<bigint>, {doubles}")
-    return packed.groupBy("block").applyInPandas(add, "row bigint, " + ", ".join(f"{c} double" for c in _SUMS))
+    columns = parts.select("chunk", "ids", "marks", "sizes", "words", "stream").groupBy("chunk")
+    return columns.cogroup(answered.groupBy("chunk")).applyInPandas(
+        run, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, logs double, score double"
+    )
 
 
 def _hot_alpha(summaries: DataFrame, head: Head, d: np.ndarray) -> np.ndarray:
@@ -589,35 +587,10 @@ def _hot_alpha(summaries: DataFrame, head: Head, d: np.ndarray) -> np.ndarray:
     stats = np.zeros((len(head.hot), width))
     for r in parts.groupBy("hot").agg(*[F.sum(f"s{j}").alias(f"s{j}") for j in range(width)]).collect():
         stats[r["hot"]] = [r[f"s{j}"] for j in range(width)]
-    np.add.at(stats[:, K], head.pair_u, head.pair_n)
-    # hot words are in the head
-    none = np.zeros(0, np.int64)
-    np.add.at(stats[:, K + 1], head.pair_u, 10.0 ** head.p_log(head.hot[head.pair_w], none, none))
     total = _context_counts(head, np.arange(len(head.hot)))
     return _alpha(stats, total, total + 1.0, d)
 
 
-def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``docs`` as (row, doc_id, held_out, text), and (row, copies); ``row`` is a number of the text alone.
-
-    So it does not depend on how the rows are read, or on their order. It is a hash
-    with the first seed under which no two different texts share a number, told
-    apart by a second hash beside it.
-    """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    for seed in range(100):
-        row = F.shiftrightunsigned(F.xxhash64(F.lit(seed), text), 64 - ROW_BITS).alias("row")
-        other = F.xxhash64(F.lit(-1 - seed), F.octet_length(text), text).alias("other")
-        copies = docs.select(row, other).groupBy("row").agg(
-            F.count(F.lit(1)).alias("copies"), F.min("other").alias("low"), F.max("other").alias("high")
-        )
-        copies = stage(copies, "text-numbers")
-        if not copies.filter("low <> high").limit(1).count():
-            break
-    columns = (row, F.col("doc_id").cast("bigint").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
-    return docs.select(*columns), copies.select("row", "copies")
-
-
 def scores(
     docs: DataFrame, head_rows: int | None = None, shard_tokens: int = SHARD_TOKENS, cached_rows: int = HEAD_ROWS
 ) -> DataFrame:
@@ -627,35 +600,29 @@ def scores(
     bounds those sent to the tasks and changes no score. A caller who wants a
     smaller vocabulary in ``score`` limits it to ``head_rows`` words.
     """
-    docs, copies = numbered(docs)
-    words = stage(unigrams(docs), "unigrams")
-    head = head_of(words, docs.filter(~F.col("held_out")).count(), cached_rows if head_rows is None else head_rows, head_rows is not None)
-    head = _with_frequent_pairs(docs, head)
-    parts = stage(_known_parts(docs, head), "known-parts")
-    size = parts.agg(F.sum("n_tokens")).first()[0] or 0
+    only = head_rows is not None
+    parts = stage(chunks(docs), "chunks")
+    size, documents = parts.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_train"), F.lit(0))).first()
+    words = stage(unigrams(parts), "unigrams")
+    head = head_of(words, documents, head_rows if only else cached_rows, only)
     shards = max(1, -(-size // shard_tokens))
-    tails = _tails(parts, words, shards)
-    summaries = stage(_summaries(_shards(docs, head, shards), tails, head, head_rows is not None), "bigram-shards")
-    counted = summaries.select(F.posexplode("counts").alias("r", "n")).groupBy("r").agg(F.sum("n").alias("n")).collect()
+    tails = _tails(parts, words, head, shards)
+    answered = stage(_answered(_asked(parts, head, shards), tails, head, only), "bigram-shards")
+    of_shards = answered.filter("chunk < 0")
+    counted = of_shards.select(F.posexplode("counts").alias("r", "n")).groupBy("r").agg(F.sum("n").alias("n")).collect()
     n = np.zeros(K + 3)
     for r in counted:
         n[r["r"]] = r["n"]
     d = discounts(n)
-    bigrams = _evaluated(summaries, d, _hot_alpha(summaries, head, d), copies.count())
-
-    # a text's copies have been added up in all of these
-    share = lambda c: (F.coalesce(c, F.lit(0)) / F.col("copies")).alias(c)
-    terms = copies.join(bigrams, "row", "left").select("row", F.round(share("tail_known")).cast("bigint").alias("tail_known"), share("tail_logs"), share("part"))
-    terms = stage(terms, "terms")
+    hot_alpha = _hot_alpha(of_shards, head, d)
+    answers = answered.filter("chunk >= 0").select("chunk", "shard", "packed")
     level = float(np.log10(head.n + head.v + 1))
-    return (
-        parts.drop("others").join(terms, "row").select(
-            "doc_id",
-            "held_out",
-            "n_tokens",
-            (F.col("head_known") + F.col("tail_known")).alias("n_known"),
-            F.lit(head.n).cast("bigint").alias("train_tokens"),
-            (F.col("head_logs") + F.col("tail_logs") - F.col("n_tokens") * level).alias("base_score"),
-            (F.col("pairs_part") + F.col("part")).alias("score"),
-        )
-    )
+    return _scored(parts, answers, head, shards, d, hot_alpha, only).select(
+        "doc_id",
+        "held_out",
+        "n_tokens",
+        "n_known",
+        F.lit(head.n).cast("bigint").alias("train_tokens"),
+        (F.col("logs") - F.col("n_tokens") * level).alias("base_score"),
+        "score",
+    )

@@ -13,6 +13,7 @@ from tokenizers import Tokenizer
 
 import brute
 from convoca.llm import bpe, decontaminate, katz, licenses, line_dedup, simhash, token_counts
+from convoca.sources.staging import stage
 
 SCHEMA = "doc_id bigint, text string, key string, n_lines int, ids string, row string, mark string, spans string"
 LONG = "palabra " * 3000
@@ -368,6 +369,37 @@ def test_katz_does_not_depend_on_the_order_of_rows(spark, prose, monkeypatch):
         assert got[0] == plain[0] and got[1] == pytest.approx(plain[1], abs=2e-6)
 
 
+def test_katz_tables_do_not_grow_with_documents_times_shards(spark, monkeypatch):
+    """Documents of the same bigrams: what the shards hand on follows the bigrams of a chunk, not the documents in every shard."""
+    kept = {}
+    monkeypatch.setattr(katz, "HOT", 1)
+    monkeypatch.setattr(katz, "stage", lambda df, name: kept.setdefault(name, stage(df, name)))
+    length = []
+    for count in (60, 1200):
+        draw = random.Random(7)
+        docs = [(i, " ".join(draw.choices("abcdefgh", k=60))) for i in range(count)]
+        katz.scores(frame(spark, docs).coalesce(1), shard_tokens=count * 3)
+        length.append(kept.pop("bigram-shards").agg(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0])
+        kept.clear()
+    assert length[1] < 3 * length[0]
+
+
+def test_katz_in_chunks(spark, prose, monkeypatch):
+    """Small chunks, each with answers of many shards, and a row without an id."""
+    monkeypatch.setattr(katz, "HOT", 25)
+    monkeypatch.setattr(katz, "CHUNK_TOKENS", 150)
+    monkeypatch.setattr(katz, "TEXT_BYTES", 400)
+    docs = [(i, t) for i, t in prose + ODD if i is not None]
+    train = [(i, t) for i, t in docs if brute.crc(i) % 7 != 2]
+    model = brute.Katz([*train, (None, docs[1][1])], 25)
+    got = katz.scores(frame(spark, [*docs, (None, docs[1][1])]), shard_tokens=400, cached_rows=60).collect()
+    rows = sorted((r["doc_id"], r["score"]) for r in got if r["doc_id"] is not None)
+    for a, b in zip(rows, sorted((i, model.score(t)) for i, t in docs), strict=True):
+        assert a[0] == b[0] and a[1] == pytest.approx(b[1], abs=2e-6)
+    [lone] = [r for r in got if r["doc_id"] is None]
+    assert not lone["held_out"] and lone["score"] == pytest.approx(model.score(docs[1][1]), abs=2e-6)
+
+
 # --- nothing at all
 
 
