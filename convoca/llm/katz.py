@@ -195,6 +195,13 @@ def chunks(docs: DataFrame) -> DataFrame:
     return docs.select(*columns).mapInArrow(run, _CHUNK)
 
 
+def _one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+    """Rows as lists of values; a batch may have many chunks."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield [column[k].as_py() for column in batch.columns]
+
+
 def _learnt(marks: bytes, sizes: bytes) -> np.ndarray:
     """Of each token of a chunk, whether its row is learnt from."""
     return np.repeat(_unpacked(marks)[0] & 1 == 0, _unpacked(sizes)[0])
@@ -204,11 +211,10 @@ def unigrams(parts: DataFrame) -> DataFrame:
     """(w, n): hash and count of every token of the training rows of chunks."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for marks, sizes, words, stream in zip(*(column.to_pylist() for column in batch.columns), strict=True):
-                hashes = _unpacked(words)[0]
-                n = np.bincount(_unpacked(stream)[0][_learnt(marks, sizes)], minlength=len(hashes))
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[n > 0]), pa.array(n[n > 0].astype(np.int64))], names=["w", "n"])
+        for marks, sizes, words, stream in _one_by_one(batches):
+            hashes = _unpacked(words)[0]
+            n = np.bincount(_unpacked(stream)[0][_learnt(marks, sizes)], minlength=len(hashes))
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[n > 0]), pa.array(n[n > 0].astype(np.int64))], names=["w", "n"])
 
     found = parts.select("marks", "sizes", "words", "stream").mapInArrow(count, "w bigint, n bigint")
     return found.groupBy("w").agg(F.sum("n").alias("n"))
@@ -343,13 +349,12 @@ def _asked(parts: DataFrame, head: Head, shards: int) -> DataFrame:
     shipped = parts.sparkSession.sparkContext.broadcast(head)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for chunk, *data in zip(*(column.to_pylist() for column in batch.columns), strict=True):
-                names, packed = _pack(_bigrams(*data, shipped.value, shards), len(shipped.value.hashes))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(names, pa.int32()), pa.array([chunk] * len(names), pa.int64()), pa.array(packed, pa.binary())],
-                    names=["shard", "chunk", "packed"],
-                )
+        for chunk, *data in _one_by_one(batches):
+            names, packed = _pack(_bigrams(*data, shipped.value, shards), len(shipped.value.hashes))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names, pa.int32()), pa.array([chunk] * len(names), pa.int64()), pa.array(packed, pa.binary())],
+                names=["shard", "chunk", "packed"],
+            )
 
     return parts.select("chunk", "words", "stream", "sizes", "marks").mapInArrow(run, "shard int, chunk bigint, packed binary")
 
@@ -482,14 +487,13 @@ def _tails(parts: DataFrame, words: DataFrame, head: Head, shards: int) -> DataF
     shipped = parts.sparkSession.sparkContext.broadcast(head)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data, stream, sizes in zip(*(column.to_pylist() for column in batch.columns), strict=True):
-                hashes, codes, u, w = _numbered(data, stream, _unpacked(sizes)[0], shipped.value)
-                outside = codes[w] < 0
-                u, w = u[outside], w[outside]
-                shard = _shard(hashes[u], hashes[w], shipped.value.hot_place(hashes)[u] >= 0, shards)
-                w, shard = np.divmod(np.unique(w.astype(np.int64) * shards + shard), shards)
-                yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), pa.array(hashes[w])], names=["shard", "w"])
+        for data, stream, sizes in _one_by_one(batches):
+            hashes, codes, u, w = _numbered(data, stream, _unpacked(sizes)[0], shipped.value)
+            outside = codes[w] < 0
+            u, w = u[outside], w[outside]
+            shard = _shard(hashes[u], hashes[w], shipped.value.hot_place(hashes)[u] >= 0, shards)
+            w, shard = np.divmod(np.unique(w.astype(np.int64) * shards + shard), shards)
+            yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), pa.array(hashes[w])], names=["shard", "w"])
 
     asked = parts.select("words", "stream", "sizes").mapInArrow(run, "shard int, w bigint")
     return asked.join(words, "w").select("shard", "w", "n")
